@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .best_fit_packing import pack_documents
 from .common import table
+from .html_extraction import extract_pages
 from .license_scan import license_scan
 from .media_columns import media_column, media_features
 from .mix_sources import mix_sources
@@ -19,6 +20,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(media_column(table(spark, sf_dir, "documents")))
 
@@ -42,5 +47,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_license_scan, op5_media_columns, op6_token_files, op8_quality_rules, op9_mix_sources, op10_best_fit_packing)
+    f.__name__: f for f in (op3_license_scan, op4_html_extraction, op5_media_columns, op6_token_files, op8_quality_rules, op9_mix_sources, op10_best_fit_packing)
 }
