@@ -14,6 +14,11 @@ from .media_columns import media_column, media_features
 from .mix_sources import mix_sources
 from .quality_rules import quality_rules
 from .token_files import read_token_files, write_token_files
+from .toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,5 +52,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_license_scan, op4_html_extraction, op5_media_columns, op6_token_files, op8_quality_rules, op9_mix_sources, op10_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op3_license_scan, op4_html_extraction, op5_media_columns, op6_token_files, op8_quality_rules, op9_mix_sources, op10_best_fit_packing)
 }
