@@ -13,6 +13,7 @@ from .license_scan import license_scan
 from .media_columns import media_column, media_features
 from .mix_sources import mix_sources
 from .quality_rules import quality_rules
+from .suffix_dedup import suffix_dedup
 from .token_files import read_token_files, write_token_files
 from .toxicity import toxicity
 
@@ -21,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -52,5 +57,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_license_scan, op4_html_extraction, op5_media_columns, op6_token_files, op8_quality_rules, op9_mix_sources, op10_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_license_scan, op4_html_extraction, op5_media_columns, op6_token_files, op8_quality_rules, op9_mix_sources, op10_best_fit_packing)
 }
