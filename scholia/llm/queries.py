@@ -12,6 +12,7 @@ from .html_extraction import extract_pages
 from .license_scan import license_scan
 from .media_columns import media_column, media_features
 from .mix_sources import mix_sources
+from .ngram_join import similar_documents
 from .quality_rules import quality_rules
 from .suffix_dedup import suffix_dedup
 from .token_files import read_token_files, write_token_files
@@ -42,6 +43,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents")))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -57,5 +62,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_license_scan, op4_html_extraction, op5_media_columns, op6_token_files, op8_quality_rules, op9_mix_sources, op10_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_license_scan, op4_html_extraction, op5_media_columns, op6_token_files, op7_ngram_join, op8_quality_rules, op9_mix_sources, op10_best_fit_packing)
 }
