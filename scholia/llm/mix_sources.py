@@ -139,15 +139,9 @@ def mixed_documents(df: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
         lambda i: F.least(F.col("size"), F.col("taken") - (i - 1) * F.col("size")).cast("int"),
     )
     got = got.withColumn("_words", F.explode(copies))
-    lead = F.regexp_extract(F.col("text"), F.lit(r"(?s)^[\x20\x09-\x0D]*"), 0)
-    cut = F.concat(
-        lead,
-        F.regexp_extract(
-            F.substring(F.col("text"), F.length(lead) + 1, F.length("text")),
-            F.concat(F.lit(r"^(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("_words").cast("string"), F.lit("}")),
-            0,
-        ),
-    )
+    # The words up to the cut, with the white space before and between them.
+    pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_words").cast("string"), F.lit("}"))
+    cut = F.regexp_substr(F.col("text"), pattern)
     text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(cut)
     out = got.withColumn("text", text)
     if "n_chars" in df.columns:

@@ -117,3 +117,13 @@ def quality_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
     })
     return out.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+
+
+def kept_documents(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of `df` that the rules keep.
+
+    The row number keeps the optimiser from moving the filter below the projections, where
+    every metric would be computed again inside it.
+    """
+    scored = quality_rules(df, rules=rules).withColumn("_row", F.monotonically_increasing_id())
+    return scored.where(F.col("kept") & (F.col("_row") >= 0)).select(*df.columns)

@@ -41,7 +41,7 @@ from .common import Workspace
 
 #: Segments of one anchor value that one task compares, and bytes sorted at a time.
 CHUNK = 4096
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
 #: Stands for a null id; places are start * 256 + 128 if windows may repeat + number of windows.
 NULL_ID = -(1 << 63)
 _STEP, _REPEATS, _COUNT = 256, 128, 127
@@ -49,7 +49,7 @@ _STEP, _REPEATS, _COUNT = 256, 128, 127
 _SEGMENT = "m long, seg long, doc long, th int, pos long"
 
 
-def _split(text_rows: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _split(text_rows: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     start = held = 0
     for i, n in enumerate(pc.binary_length(text_rows.column("text")).to_pylist()):
         held += n

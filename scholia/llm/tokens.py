@@ -37,7 +37,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # What reaches the library is new to this cache, so the library's own need not be large.
+        self.tokenizer.model._resize_cache(1000)
         self.cache: dict[str, bytes] = {}
+        self.marks = dict(zip(",.", self._library([",", "."]), strict=True))
         # Byte-level tokens: one character of the token's name stands for one byte.
         self.lengths = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for name, i in self.tokenizer.get_vocab().items():
@@ -51,7 +54,7 @@ class Encoder:
         ]
 
     def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that each follow a space, encoded a few thousand to a call.
+        """Ids of pieces that each follow a space, encoded a few hundred to a call.
 
         Where a piece ends in the ids follows from the tokens' known lengths in bytes.
         """
@@ -59,9 +62,8 @@ class Encoder:
         alone = [p for p in pieces if p[-1:].isspace() or not p]
         out.update(zip(alone, self._library([" " + p for p in alone]), strict=True))
         joined = [p for p in pieces if p not in out]
-        for i in range(0, len(joined), 4096):
-            part = joined[i : i + 4096]
-            blob = self._library([" " + " ".join(part)])[0]
+        parts = [joined[i : i + 256] for i in range(0, len(joined), 256)]
+        for part, blob in zip(parts, self._library([" " + " ".join(p) for p in parts]) if parts else (), strict=True):
             ids = np.frombuffer(blob, dtype="<u4")
             ends = np.cumsum([len(p.encode()) + 1 for p in part])
             cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * 4
@@ -73,35 +75,45 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cache = self.cache
-        split: list[list[str] | None] = []
-        unknown: set[str] = set()
+        found: list[list[bytes | None] | None] = []
+        missing: list[tuple[int, int, str, bytes]] = []
         whole: list[str] = []
+        firsts: list[str] = []
         for t in texts:
             t = t or ""
-            if _UNSAFE.search(t) or t.startswith(" "):
-                split.append(None)
+            if t.startswith(" ") or _UNSAFE.search(t):
+                found.append(None)
                 whole.append(t)
                 continue
             pieces = t.split(" ")
-            split.append(pieces)
-            unknown.update([p for p in pieces[1:] if p not in cache])
-        known = self._pieces(list(unknown))
-        for t in list(known)[: max(0, self.cache_pieces - len(cache))]:
-            cache[t] = known[t]
+            firsts.append(pieces[0])
+            ids = list(map(cache.get, pieces))
+            ids[0] = b""
+            if None in ids:
+                k = len(found)
+                for i, got in enumerate(ids):
+                    if got is None:
+                        # A mark after a letter starts a token of its own.
+                        p = pieces[i]
+                        mark = self.marks.get(p[-1:]) if p[-2:-1].isalpha() else None
+                        if mark is None:
+                            missing.append((k, i, p, b""))
+                        elif (got := cache.get(p[:-1])) is not None:
+                            ids[i] = got + mark
+                        else:
+                            missing.append((k, i, p[:-1], mark))
+            found.append(ids)
+        known = self._pieces(list({p for _, _, p, _ in missing}))
+        for k, i, p, mark in missing:
+            found[k][i] = known[p] + mark
+        for p in list(known)[: max(0, self.cache_pieces - len(cache))]:
+            cache[p] = known[p]
         encoded = iter(self._library(whole) if whole else ())
-        firsts = [p[0] for p in split if p is not None]
         lead = iter(self._library(firsts) if firsts else ())
         end = np.uint32(END_ID).astype("<u4").tobytes()
-        out = []
-        for pieces in split:
-            if pieces is None:
-                blob = next(encoded)
-            elif known:
-                blob = next(lead) + b"".join([cache[p] if p in cache else known[p] for p in pieces[1:]])
-            else:
-                blob = next(lead) + b"".join(map(cache.__getitem__, pieces[1:]))
-            out.append(np.frombuffer(blob + end, dtype="<u4"))
-        return out
+        return [
+            np.frombuffer((next(encoded) if ids is None else next(lead) + b"".join(ids)) + end, dtype="<u4") for ids in found
+        ]
 
 
 @lru_cache(maxsize=1)

@@ -61,6 +61,9 @@ _EDGE = ".,;:!?\"'()[]{}<>*%&#$|~_-=/\\…¡¿«»“”‘’"
 COST_LOOK, COST_LOST, COST_DROP, COST_PART, COST_STRETCH, COST_DOUBLE = 0.7, 10.0, 1.5, 4.0, 0.3, 4.0
 READINGS = 4
 
+#: Characters of a token that are decoded at once, and of two pieces' overlap.
+PIECE, OVERLAP = 96, 48
+
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|])){3,}(?![^\W_])")
 
@@ -165,6 +168,9 @@ class Restorer:
         self.seen: dict[tuple[str, bool], list[tuple[str, float]]] = {}
 
     def readings(self, token: str, apart: bool) -> list[tuple[str, float]]:
+        if len(token) > PIECE:
+            # Long runs are read in overlapping pieces; a disguised word fits in the overlap.
+            return [r for i in range(0, len(token) - OVERLAP, PIECE - OVERLAP) for r in self.readings(token[i : i + PIECE], apart)]
         key = (token, apart)
         found = self.seen.get(key)
         if found is None:
