@@ -16,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,10 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Keep Arrow batches of whole texts to a few megabytes on both sides of the Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 class Workspace:
     """Parquet tables in the shared folder; they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession):
+        bound_batches(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/scholia-{uuid.uuid4().hex}"
 
