@@ -56,8 +56,12 @@ class Workspace:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/scholia-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """Write a table and read it again.  Tables of pairs and links, `small` against the
+        corpus, are gathered into a sixteenth of the session's partitions, to keep files few."""
         path = f"{self.base}/{name}"
+        if small:
+            df = df.repartition(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16))
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
