@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Workspace
+from .common import SPACE_CHARS, WORD, Workspace
 
 #: Rows aimed at in a bucket of a source's order, and buckets in a group of buckets.
 BUCKET_ROWS = 4096
@@ -139,9 +139,15 @@ def mixed_documents(df: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
         lambda i: F.least(F.col("size"), F.col("taken") - (i - 1) * F.col("size")).cast("int"),
     )
     got = got.withColumn("_words", F.explode(copies))
-    # The words up to the cut, with the white space before and between them.
-    pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_words").cast("string"), F.lit("}"))
-    cut = F.regexp_substr(F.col("text"), pattern)
+    # The text up to the end of its last word in the budget, by a fold over its pieces between
+    # white space (every kind of it is one character, so lengths stay right).
+    pieces = F.split(F.translate("text", SPACE_CHARS, " " * len(SPACE_CHARS)), " ")
+    state = lambda words, chars: F.struct(words.cast("int").alias("words"), chars.cast("int").alias("chars"))
+    walked = F.aggregate(
+        pieces, state(F.lit(0), F.lit(0)),
+        lambda s, p: F.when(s["words"] < F.col("_words"), state(s["words"] + F.least(F.lit(1), F.length(p)), s["chars"] + F.length(p) + 1)).otherwise(s),
+    )
+    cut = F.substring(F.col("text"), F.lit(1), walked["chars"] - 1)
     text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(cut)
     out = got.withColumn("text", text)
     if "n_chars" in df.columns:

@@ -91,17 +91,18 @@ class Encoder:
             ids[0] = b""
             if None in ids:
                 k = len(found)
-                for i, got in enumerate(ids):
-                    if got is None:
-                        # A mark after a letter starts a token of its own.
-                        p = pieces[i]
-                        mark = self.marks.get(p[-1:]) if p[-2:-1].isalpha() else None
-                        if mark is None:
-                            missing.append((k, i, p, b""))
-                        elif (got := cache.get(p[:-1])) is not None:
-                            ids[i] = got + mark
-                        else:
-                            missing.append((k, i, p[:-1], mark))
+                for i in [i for i, got in enumerate(ids) if got is None]:
+                    # A mark after a letter starts a token of its own.
+                    p = pieces[i]
+                    mark = self.marks.get(p[-1:]) if p[-2:-1].isalpha() else None
+                    if mark is None:
+                        missing.append((k, i, p, b""))
+                    elif (got := cache.get(p[:-1])) is not None:
+                        ids[i] = got + mark
+                        if len(cache) < self.cache_pieces:
+                            cache[p] = ids[i]
+                    else:
+                        missing.append((k, i, p[:-1], mark))
             found.append(ids)
         known = self._pieces(list({p for _, _, p, _ in missing}))
         for k, i, p, mark in missing:
