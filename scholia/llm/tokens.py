@@ -18,7 +18,7 @@ END_ID = 0
 #: Name of the vocabulary among the public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a worker's cache keeps; beyond it, pieces are encoded each time.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
 
 _UNSAFE = re.compile(r"\s ")
 
