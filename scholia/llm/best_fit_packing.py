@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .tokens import encoder, vocabulary_path
+from .tokens import CACHE_PIECES, encoder, vocabulary_path
 
 CAPACITY = 2048
 #: Pieces aimed at in a partition, rounds of exchange, and the fill above which a
@@ -39,7 +39,8 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", part long, bin int, offset long, fill int, gap int"
 
 
-def cut_pieces(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+def cut_pieces(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
+               vocabulary: str | None = None, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32); a scan, without any exchange."""
     path = vocabulary or vocabulary_path()
 
@@ -48,7 +49,7 @@ def cut_pieces(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", cap
             for i in range(0, batch.num_rows, 500):
                 rows = batch.slice(i, 500)
                 out: list[tuple] = []
-                for name, ids in zip(rows.column(0).to_pylist(), encoder(path).encode(rows.column(1).to_pylist()), strict=True):
+                for name, ids in zip(rows.column(0).to_pylist(), encoder(path, cache_pieces).encode(rows.column(1).to_pylist()), strict=True):
                     raw = memoryview(ids.tobytes())
                     first = len(ids) % capacity or capacity
                     bounds = [0, *range(first, len(ids) + 1, capacity)]
@@ -138,10 +139,11 @@ def _pack(pieces: DataFrame, n_parts: int, seed: int, capacity: int) -> DataFram
 def pack_documents(
     df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
     vocabulary: str | None = None, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS,
+    cache_pieces: int = CACHE_PIECES,
 ) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
     space = Workspace(df.sparkSession)
-    pool = space.save(cut_pieces(df, doc_id=doc_id, text=text, capacity=capacity, vocabulary=vocabulary), "pieces")
+    pool = space.save(cut_pieces(df, doc_id=doc_id, text=text, capacity=capacity, vocabulary=vocabulary, cache_pieces=cache_pieces), "pieces")
     names = [c.split()[0] for c in _PIECES.split(", ")]
     # At most `capacity` rows, whatever the corpus.
     counts = pool.groupBy("length").count().collect()

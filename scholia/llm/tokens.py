@@ -118,9 +118,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> Encoder:
     """One encoder for each Python worker."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return Encoder(path)
+    return Encoder(path, cache_pieces)
