@@ -39,7 +39,8 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
-    return pack_documents(docs)
+    # A small cache: idle workers of this stage stay beside the stages of a next run.
+    return pack_documents(docs, cache_pieces=50_000)
 
 
 STAGES = [
