@@ -6,7 +6,7 @@ over the page's order of blocks, fused into one score per path, and paths under
 threshold relative to the page's scores are left out.  Elements that never hold article
 text (scripts, menus, forms, adverts, comments and so on, by tag or by the words of class,
 id and role) are cut before; where the page marks its article, only paths inside compete,
-and headings stay with the content that they head.
+against its middle score, and headings stay with the content that they head.
 
 Narrow: a scan and one Arrow stage, no exchange.  Defined results: null or empty html gives
 an empty text; broken or cut markup is read as far as it goes; null ids and repeated rows
@@ -59,6 +59,15 @@ SIGMA = 1.0
 THRESHOLD = 0.35
 LINKS = 0.5
 
+#: Inside a marked article, the share of its middle score (by characters, of a block at most
+#: `WEIGHT`) that a path has to reach: a path that ends in a bare container, and any other.
+#: Cells are short by nature and have no bar.
+WEIGHT = 500
+BARE_SHARE = 0.1
+ARTICLE_SHARE = 0.02
+BARE = frozenset("div section article main center header".split())
+CELLS = frozenset("td th".split())
+
 #: Innermost tags that make up a path; deeper nesting shares paths.
 PATH_TAGS = 32
 
@@ -194,6 +203,21 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
+def _article_share(path: str) -> float:
+    last = path.rpartition("/")[2]
+    return 0.0 if last in CELLS else BARE_SHARE if last in BARE else ARTICLE_SHARE
+
+
+def _middle(weighted: list[tuple[float, int]]) -> float:
+    """The score at which half of the weight lies."""
+    left = sum(w for _, w in weighted) / 2
+    for score, weight in sorted(weighted):
+        left -= weight
+        if left <= 0:
+            return score
+    return 0.0
+
+
 def select(found: list[Block]) -> list[Block]:
     """The content blocks, by fused and smoothed ratios of their paths."""
     if any(b.in_article for b in found):
@@ -215,10 +239,13 @@ def select(found: list[Block]) -> list[Block]:
     fused = {p: sum(s) / len(s) for p, s in scores.items()}
     bar = THRESHOLD * sum(fused[b.path] for b in found) / len(found) if found else 0.0
     linked = {p for p, t in totals.items() if t[3] > LINKS * t[1]}
-    kept = {p for p in totals if p not in linked and fused[p] >= bar}
     if any(b.in_article for b in found):
-        # Inside a marked article, low scores alone do not make a block noise.
-        kept = set(totals) - linked
+        # Neighbours lift a short block between long ones, so the path's own ratios count as much.
+        fused = {p: math.sqrt(fused[p] * length[p] * (1.0 + stops[p])) for p in totals}
+        middle = _middle([(fused[b.path], min(len(b.text), WEIGHT)) for b in found])
+        kept = {p for p in totals if p not in linked and fused[p] >= _article_share(p) * middle}
+    else:
+        kept = {p for p in totals if p not in linked and fused[p] >= bar}
     homes = {p.rpartition("/")[0] for p in kept}
     return [b for b in found if b.path in kept or (b.heading and b.path not in linked and b.path.rpartition("/")[0] in homes)]
 

@@ -296,6 +296,24 @@ def test_html():
     assert main_text(None) == main_text("") == main_text("<p") == ""
 
 
+def test_html_ratios_inside_article():
+    long = "<p>" + "This is one of the long paragraphs, with several clauses and stops. " * 5 + "</p>"
+    share = "<div>Share this on Twitter and Facebook</div>"
+    cut = [f"{long * 4}{share}", f"{long * 2}{share}{long * 3}", f"{share}{long * 4}<div><p>Share this</p><p>Print this page</p><p>Send to a friend</p></div>"]
+    for tag in ("article", "main"):
+        for body in cut:
+            got = main_text(f"<body><{tag}><h1>T</h1>{body}</{tag}></body>").split("\n")
+            assert got[0] == "T" and all(len(b) > 200 for b in got[1:]) and len(got) == 1 + body.count(long[:60])
+    # Short parts of an article stay.
+    for short in ("<ul><li>two hundred grams of flour<li>a pinch of salt</ul>", "<blockquote>We did it, he said.</blockquote>",
+                  "<figure><figcaption>The mayor in May.</figcaption></figure>", "<table><tr><td>1990<td>12</table>"):
+        words = re.sub("<[^>]*>", " ", short).split()
+        got = main_text(f"<body><article><h1>T</h1>{long * 3}{short}{long * 2}</article></body>")
+        assert " ".join(words) in " ".join(got.split())
+    big = "<pre>" + "x = 1; y = 2, z. " * 3000 + "</pre>"
+    assert main_text(f"<body><article>{long * 4}{big}</article></body>").count("This is one") == 20
+
+
 def test_deobfuscation():
     counts = np.zeros((64, 64, 64))
     for word in ["stupid", "loser", "moron", "pathetic", "the", "of", "reading"] * 30:
