@@ -7,7 +7,7 @@
    channel's costs gives their likeliest readings.
 3. Words and word beginnings of restored texts that tell labelled toxic rows from clean
    ones become rules, from a bounded sample of the labelled rows that are not held out.
-   Copies and near copies of a text count once as support.
+   Copies of a text, and near copies whose min-hashes all agree, count once as support.
 4. A document's score is the noisy-or of the rules that its restored text fires.
 
 Scoring is a scan with two broadcasts of proven size (the model and at most `MAX_RULES`
@@ -21,6 +21,7 @@ by row; without any toxic label every document gets the base score of 0.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -43,6 +44,8 @@ MAX_RULES = 5_000
 HELD_OUT = 2
 PREDICT_AT = 0.3
 PREFIXES = (4, 5, 6)
+#: Independent min-hashes that near copies share: unrelated texts at Jaccard 0.5 meet once in 256.
+MIN_HASHES = 8
 
 #: Letters of the model; place 0 is any other character.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß"
@@ -219,6 +222,20 @@ def _features(restore: Restorer, text: str) -> set[str]:
     return {w + " " for w in words if len(w) > 1} | {w[:n] for w in words for n in PREFIXES if len(w) >= n}
 
 
+#: Odd factors of the min-hashes; all of them have to agree in near copies.
+_FACTORS = np.random.default_rng(1).integers(0, 2**63, MIN_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def kind_of(features: list[str]) -> bytes:
+    """The least hashes of a set: equal in copies, and in near copies at Jaccard ** MIN_HASHES."""
+    if not features:
+        return b""
+    marks = np.array([zlib.crc32(f.encode("utf-8", "replace")) + 1 for f in features], dtype=np.uint64)
+    mixed = marks[:, None] * _FACTORS[None]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed ^ (mixed >> np.uint64(32))).min(axis=0).tobytes()
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
@@ -235,11 +252,11 @@ def learn_rules(docs: DataFrame, labels: DataFrame, model: np.ndarray, *, sample
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 found = [sorted(_features(restore, t or "")) for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found, pa.list_(pa.string()))], names=["toxic", "features"])
+                kinds = pa.array([kind_of(f) for f in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(1), kinds, pa.array(found, pa.list_(pa.string()))], names=["toxic", "kind", "features"])
 
-    table = Workspace(docs.sparkSession).save(rows.mapInArrow(extract, "toxic int, features array<string>"), "labelled")
-    # Copies and near copies have the same smallest hash, so they support a text once.
-    kinds = table.withColumn("kind", F.array_min(F.transform("features", lambda f: F.xxhash64(f))))
+    # Copies and near copies are of one kind, so they support a rule once.
+    kinds = Workspace(docs.sparkSession).save(rows.mapInArrow(extract, "toxic int, kind binary, features array<string>"), "labelled")
     single = kinds.select("toxic", "kind", F.explode("features").alias("f")).distinct()
     counts = single.groupBy("f").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     sure = (F.col("pos") >= LEAST_SUPPORT) & (F.col("pos") >= LEAST_PRECISION * (F.col("pos") + F.col("neg")))

@@ -338,3 +338,18 @@ def test_toxicity_held_out(spark):
     hit = ((both["predicted"] == 1) & (both["toxic"] == 1)).sum()
     assert ((both["predicted"] == 1) & (both["toxic"] == 0)).sum() <= 2 and hit >= 0
     assert got["score"].between(0, 1).all()
+
+
+def test_toxicity_counts_distinct_texts(spark):
+    """Different texts of common words each support a rule; copies support it once."""
+    common = "the of and to in that was his with they this have from one had word what all were when".split()
+    name = lambda i, j: "".join(chr(97 + (i * 31 + j * 7 + k * (i + 3)) % 26) for k in range(3))
+    texts = [" ".join([*common, *(name(i, j) for j in range(6)), "zorbly"]) for i in range(6)]
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != toxicity.HELD_OUT]
+    toxic = [(ids[i], t, 1) for i, t in enumerate(texts)] + [(ids[10 + i], texts[0].replace("zorbly", "quuxly"), 1) for i in range(6)]
+    rows = toxic + [(ids[20 + i], " ".join([*common, name(i, 9)]), 0) for i in range(6)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    rules = toxicity.learn_rules(docs, labels, toxicity.letter_model(toxicity.letter_counts(docs)))
+    found = {r.text for r in rules if not r.prefix}
+    assert "zorbly" in found and "quuxly" not in found
