@@ -2,7 +2,7 @@
 
 1. A character trigram model is counted over all documents (`letter_counts`): a table of
    at most 64 ** 3 sums, whatever the corpus.
-2. Every text is restored: tokens with look-alike characters, stretched letters or letters
+2. Every text is restored: tokens with look-alike characters, repeated letters or letters
    set apart become character lattices, and Viterbi decoding under the model and the
    channel's costs gives their likeliest readings.
 3. Words and word beginnings of restored texts that tell labelled toxic rows from clean
@@ -58,6 +58,7 @@ LOOK_ALIKE = {
 }
 _SEPARATORS = ".-_*~ /\\'^,:;#%&=\"<>)[]{}?"
 _EDGE = ".,;:!?\"'()[]{}<>*%&#$|~_-=/\\…¡¿«»“”‘’"
+_MARKS = "".join(c for c in _EDGE if c not in LOOK_ALIKE)
 
 #: Channel costs in nats: a look-alike, a look-alike or a stray mark that stands for nothing,
 #: a mark that parts words, each further copy in a stretched letter, and a double one for one.
@@ -67,7 +68,7 @@ READINGS = 4
 #: Characters of a token that are decoded at once, and of two pieces' overlap.
 PIECE, OVERLAP = 96, 48
 
-_STRETCHED = re.compile(r"([^\W\d_])\1\1")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|])){3,}(?![^\W_])")
 
 
@@ -163,6 +164,17 @@ def decode(token: str, model: np.ndarray, apart: bool = False, readings: int = R
     return [(t, float(np.exp(s - top) / total)) for t, s in best.items()]
 
 
+def _forms(token: str) -> set[str]:
+    """A token without its edges, and with those of its edge marks that may stand for letters."""
+    core = token.strip(_EDGE)
+    if not core:
+        return set()
+    at = token.index(core)
+    left = token[:at].lstrip(_MARKS)
+    right = token[at + len(core) :].rstrip(_MARKS)
+    return {a + core + b for a in {"", left} for b in {"", right}}
+
+
 class Restorer:
     """Restores texts; keeps the readings of tokens seen before, up to a bound."""
 
@@ -185,20 +197,15 @@ class Restorer:
     def __call__(self, text: str) -> tuple[str, list[tuple[str, float]]]:
         """The lower-case text, and readings of its disguised tokens with their shares."""
         lower = text.lower()
-        stretched = _STRETCHED.search(lower) is not None
         found: list[tuple[str, float]] = []
         for token in set(lower.split()):
-            if token.isalpha() and not stretched:
-                continue
-            core = token.strip(_EDGE)
-            if core.isalpha():
-                if stretched and _STRETCHED.search(core):
-                    found += self.readings(core, False)
+            if token.isalpha() and not _DOUBLED.search(token):
                 continue
-            if any(map(str.isalpha, core)) and not core.isdigit():
-                found += self.readings(core, False)
-            elif token[:1] in LOOK_ALIKE and any(map(str.isalpha, token)):
-                found += self.readings(token, False)
+            for form in _forms(token):
+                if form.isalpha() and not _DOUBLED.search(form):
+                    continue
+                if any(map(str.isalpha, form)):
+                    found += self.readings(form, False)
         for m in _APART.finditer(lower):
             found += self.readings(m[0], True)
         return lower, found

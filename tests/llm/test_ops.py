@@ -353,3 +353,19 @@ def test_toxicity_counts_distinct_texts(spark):
     rules = toxicity.learn_rules(docs, labels, toxicity.letter_model(toxicity.letter_counts(docs)))
     found = {r.text for r in rules if not r.prefix}
     assert "zorbly" in found and "quuxly" not in found
+
+
+def test_toxicity_disguised_edges_and_doubles():
+    words = ["stupid", "scum", "idiot", "loser", "clown", "ass"]
+    counts = np.zeros((64, 64, 64))
+    for word in [*words, "the", "of", "reading", "tell"] * 30:
+        codes = [0, 0, *(toxicity._CODE_OF[c] for c in word), 0]
+        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+            counts[a, b, c] += 1
+    rules = [toxicity.Rule(w, False, 0.99) for w in words]
+    restore, matcher = toxicity.Restorer(toxicity.letter_model(counts)), toxicity._matcher(rules)
+    score = lambda t: toxicity.score_text(t, restore, matcher, rules)
+    for token in ("$tupid", "$cum", "!diot", "|oser", "(lown", "$tup1d", "a$$", "stuupid", "iddiot", '"$tupid!"', "(sstupid)", "stup1d!"):
+        assert score(f"you {token}, reading") > toxicity.PREDICT_AT, token
+    for clean in ("(the reading!)", "tell $5 of the", "$$$ the!!", "of|the (of"):
+        assert score(clean) < 0.05, clean
