@@ -197,13 +197,22 @@ def toc_render(spark: SparkSession, sf: str) -> DataFrame:
     return syllabus.render_toc(rows, "n_regionkey")
 
 
-def sources_block(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "orders").where("o_orderkey < 400").select(F.col("o_custkey").cast("string").alias("document_id"), F.col("o_orderkey").alias("ord"))
+def _sources_block(spark: SparkSession, sf: str, orders: DataFrame) -> DataFrame:
+    lines = orders.select(F.col("o_custkey").cast("string").alias("document_id"), F.col("o_orderkey").alias("ord"))
     docs = table(spark, sf, "customer").select(
         F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("source_path"), (F.col("c_custkey") % 10 == 0).alias("is_syllabus"))
     return assemble.sources_block(lines, docs)
 
 
+def sources_block(spark: SparkSession, sf: str) -> DataFrame:
+    """The first orders only, as its SQL has it; `sources_block_all` has them all."""
+    return _sources_block(spark, sf, table(spark, sf, "orders").where("o_orderkey < 400"))
+
+
+def sources_block_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _sources_block(spark, sf, table(spark, sf, "orders"))
+
+
 def json_props(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.try_parse_json("props").isNotNull().alias("valid"))
 
@@ -233,6 +242,7 @@ QUERIES: dict[str, Query] = {
         paragraphs_sentences, chunks, keyword_chunks, tiered_chunks, best_match_entry, chapter_topic_overlap, image_rank_topk,
         first_wins_distinct, anchors_unique, language_ratio, sentence_overlap_dups, split_sections, order_violations, budget_prefix,
         validation_rollup, incremental_state, cache_probe, cache_misses, upsert_latest, latest_hashes, toc_render, sources_block,
+        sources_block_all,
         json_props, image_refs_antijoin, plain_text_metrics, latest_document,
     )
 }

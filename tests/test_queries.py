@@ -31,3 +31,9 @@ def test_query_matches_sql(spark, duck, sf, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_sources_block_of_all_orders(spark, duck, sf):
+    whole = SQL["sources_block"].replace("WHERE o_orderkey < 400 ", "")
+    assert whole != SQL["sources_block"]
+    assert rows(QUERIES["sources_block_all"](spark, sf).toPandas()) == rows(duck.sql(whole).df())
