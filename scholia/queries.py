@@ -42,6 +42,18 @@ def dedup_near(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.deduplicate(items, "text", "path", "ord", Store(spark)).select("ord", F.length("text").cast("long").alias("n_chars"))
 
 
+def dedup_near_pairs_bound_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", F.length("text").alias("n"))
+    return dedup.length_bound_pairs(docs, "n", "doc_id", 0.92).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
+
+
+def dedup_near_documents(spark: SparkSession, sf: str) -> DataFrame:
+    from .plans.storage import Store
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text", F.col("source").alias("path"))
+    return dedup.deduplicate(docs, "text", "path", "ord", Store(spark)).select("ord", F.length("text").cast("long").alias("n_chars"))
+
+
 def normalize_metrics(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", T.normalize_lines(F.col("text")).alias("clean"))
     return docs.select(
@@ -131,6 +143,10 @@ def sentence_overlap_dups(spark: SparkSession, sf: str) -> DataFrame:
     return markdown.sentence_overlaps(table(spark, sf, "benchmark"), "item_id", "text", 0.1)
 
 
+def sentence_overlap_dups_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return markdown.sentence_overlaps(table(spark, sf, "documents"), "doc_id", "text", 0.1)
+
+
 def _manuals(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as Markdown: each turn is a section."""
     turns = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("## "), "role", F.lit("\n"), "text").alias("part"))
@@ -242,7 +258,7 @@ QUERIES: dict[str, Query] = {
         paragraphs_sentences, chunks, keyword_chunks, tiered_chunks, best_match_entry, chapter_topic_overlap, image_rank_topk,
         first_wins_distinct, anchors_unique, language_ratio, sentence_overlap_dups, split_sections, order_violations, budget_prefix,
         validation_rollup, incremental_state, cache_probe, cache_misses, upsert_latest, latest_hashes, toc_render, sources_block,
-        sources_block_all,
+        sources_block_all, dedup_near_pairs_bound_documents, dedup_near_documents, sentence_overlap_dups_documents,
         json_props, image_refs_antijoin, plain_text_metrics, latest_document,
     )
 }
