@@ -85,6 +85,10 @@ def _topics(spark: SparkSession, sf: str) -> DataFrame:
     return items.select(F.col("item_id").alias("ord"), F.array_join(words, " ").alias("name"))
 
 
+def _whole_topics(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("ord"), F.col("text").alias("name"))
+
+
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select(
         F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
@@ -95,12 +99,37 @@ def keyword_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return matching.chunks_by_keyword(_topics(spark, sf), _chunks(spark, sf))
 
 
-def tiered_chunks(spark: SparkSession, sf: str) -> DataFrame:
+def _document_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.col("doc_id").cast("string")
+    return table(spark, sf, "documents").select(F.concat(name, F.lit("/0")).alias("id"), name.alias("document_id"), F.col("text").alias("content"))
+
+
+def keyword_chunks_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.chunks_by_keyword(_whole_topics(spark, sf), _chunks(spark, sf))
+
+
+def keyword_chunks_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.chunks_by_keyword(_whole_topics(spark, sf), _document_chunks(spark, sf))
+
+
+def _tiered(topics: DataFrame, chunks: DataFrame) -> DataFrame:
     by_turn = F.array(F.concat_ws("/", F.col("ord").cast("string"), F.lit("0")))
     listed = F.when(F.col("ord") % 3 == 0, by_turn).otherwise(F.array().cast("array<string>"))
     related = F.when(F.col("ord") % 3 == 1, F.array(F.col("ord").cast("string"))).otherwise(F.array().cast("array<string>"))
-    topics = _topics(spark, sf).withColumns({"chunk_ids": listed, "related_documents": related})
-    return matching.chunks_for_topics(topics, _chunks(spark, sf)).select("ord", "id", "tier")
+    topics = topics.withColumns({"chunk_ids": listed, "related_documents": related})
+    return matching.chunks_for_topics(topics, chunks).select("ord", "id", "tier")
+
+
+def tiered_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return _tiered(_topics(spark, sf), _chunks(spark, sf))
+
+
+def tiered_chunks_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _tiered(_whole_topics(spark, sf), _chunks(spark, sf))
+
+
+def tiered_chunks_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return _tiered(_whole_topics(spark, sf), _document_chunks(spark, sf))
 
 
 def best_match_entry(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,13 +146,21 @@ def chapter_topic_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return matching.chapter_topics(chapters, topics).select("idx", "ord", F.col("common").cast("long").alias("common"))
 
 
-def image_rank_topk(spark: SparkSession, sf: str) -> DataFrame:
-    topics = _topics(spark, sf).withColumn("description", F.lit(""))
+def _ranked_images(spark: SparkSession, sf: str, topics: DataFrame) -> DataFrame:
+    topics = topics.withColumn("description", F.lit(""))
     images = table(spark, sf, "pages").select(
         F.col("page_id").alias("id"), F.col("page_id").alias("ord"), F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("caption"), F.lit("").alias("file_path"))
     return matching.images_for_topics(topics, images).select("ord", "id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def image_rank_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranked_images(spark, sf, _topics(spark, sf))
+
+
+def image_rank_topk_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranked_images(spark, sf, _whole_topics(spark, sf))
+
+
 def first_wins_distinct(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").withColumn("ord", F.col("conv_id") * 10000 + F.col("turn"))
     return dedup.first_wins(turns, [F.lower(F.trim("text"))], "ord").select("conv_id", "turn", "role")
@@ -259,6 +296,7 @@ QUERIES: dict[str, Query] = {
         first_wins_distinct, anchors_unique, language_ratio, sentence_overlap_dups, split_sections, order_violations, budget_prefix,
         validation_rollup, incremental_state, cache_probe, cache_misses, upsert_latest, latest_hashes, toc_render, sources_block,
         sources_block_all, dedup_near_pairs_bound_documents, dedup_near_documents, sentence_overlap_dups_documents,
+        keyword_chunks_whole, keyword_chunks_documents, tiered_chunks_whole, tiered_chunks_documents, image_rank_topk_whole,
         json_props, image_refs_antijoin, plain_text_metrics, latest_document,
     )
 }

@@ -58,3 +58,11 @@ def test_near_copies_of_documents_go(spark, sf):
             if 2 * min(len(a), len(b)) >= 0.92 * (len(a) + len(b)):
                 m = SequenceMatcher(None, a, b)
                 assert m.quick_ratio() < 0.92 or m.ratio() < 0.92
+
+
+@pytest.mark.parametrize("name", ["keyword_chunks", "tiered_chunks", "image_rank_topk"])
+def test_topics_of_whole_texts(spark, duck, sf, name):
+    cut = "array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) > 3)[1:2], ' ')"
+    whole = SQL[name].replace(cut, "text")
+    assert whole != SQL[name]
+    assert rows(QUERIES[f"{name}_whole"](spark, sf).toPandas()) == rows(duck.sql(whole).df())
