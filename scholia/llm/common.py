@@ -3,7 +3,6 @@ streaming over sorted partitions, and the word class of the contracts."""
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 #: The white space of the word contracts: space and U+0009 to U+000D.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a few numbers that one file holds where a table's size is bounded beforehand.
+FILE_ROWS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,11 @@ def words_of(text: Column) -> Column:
     )
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of `df` as one struct, which no column of an operator's own can clash with."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -56,20 +62,17 @@ class Workspace:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/scholia-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
-        """Write a table and read it again.  Tables of pairs and links, `small` against the
-        corpus, are gathered into a sixteenth of the session's partitions, to keep files few."""
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write a table and read it again.  With a proven bound of its rows, a table that needs
+        fewer files than the session has shuffle partitions gets as many as the bound asks for."""
         path = f"{self.base}/{name}"
-        if small:
-            df = df.repartition(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+        if rows is not None:
+            files = -(-max(1, rows) // FILE_ROWS)
+            if files < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+                df = df.repartition(files)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of steps whose results are written."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         """Delete tables that no later plan reads."""
         jvm = self.spark.sparkContext._jvm

@@ -18,7 +18,7 @@ from scholia.llm.html_extraction import extract_pages, main_text
 from scholia.llm.license_scan import license_scan
 from scholia.llm.media_columns import media_column, media_features, padded
 from scholia.llm.mix_sources import mix_sources, mixed_documents
-from scholia.llm.ngram_join import one_of_each, similar_documents
+from scholia.llm.ngram_join import Trie, one_of_each, similar_documents
 from scholia.llm.quality_rules import kept_documents, quality_rules
 from scholia.llm.queries import QUERIES
 from scholia.llm.suffix_dedup import deduplicated, suffix_dedup
@@ -198,6 +198,87 @@ def test_jaccard_brute_force(spark, rows):
     assert got == {name: (len(s), find(name)) for name, s in sets.items()}
 
 
+def _brute_components(sets):
+    """Least name reachable by links, from name -> set of positive numbers; for large groups."""
+    names = sorted(sets)
+    root = {n: n for n in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    words = {w: k for k, w in enumerate(sorted(set().union(*sets.values())))}
+    m = np.zeros((len(names), len(words)), dtype=np.float32)
+    for i, n in enumerate(names):
+        m[i, [words[w] for w in sets[n]]] = 1
+    size = m.sum(axis=1)
+    common = m @ m.T
+    for i, j in np.argwhere(9 * common >= 4 * (size[:, None] + size[None])).tolist():
+        x, y = find(names[i]), find(names[j])
+        root[max(x, y)] = min(x, y)
+    return {n: find(n) for n in names}
+
+
+@pytest.mark.parametrize("trie_elements", [1 << 22, 30_000])
+def test_jaccard_large_group_of_edited_copies(spark, trie_elements):
+    """2000 copies of one text, edited so that they lie around a similarity of 0.8, in one trie and in many."""
+    rng = np.random.default_rng(5)
+    origin = [f"w{i}" for i in range(130)]
+    texts = []
+    for k in range(2000):
+        w = list(origin)
+        for at in rng.choice(len(w), rng.integers(1, 6), replace=False):
+            w[at] = f"e{rng.integers(0, 400)}"
+        texts.append((k, " ".join(w if k % 3 else w[rng.integers(0, 9) :])))
+    sets = {k: {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in texts for w in [t.split()]}
+    got = similar_documents(spark.createDataFrame(texts, "doc_id long, text string"), trie_elements=trie_elements).collect()
+    want = _brute_components(sets)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and 1 < len(set(want.values())) < 1500
+
+
+def test_trie_finds_what_pairs_find():
+    rng = np.random.default_rng(3)
+    base = [np.sort(rng.choice(5000, rng.integers(1, 300), replace=False)) for _ in range(12)]
+    sets = [np.unique(np.concatenate((rng.choice(b, max(1, int(len(b) * share)), replace=False), rng.integers(0, 5000, len(b) // 12))))
+            for b in base for share in (1, 0.97, 0.9, 0.8, 1)]
+    trie = Trie(sets)
+    for s in [*sets, *base]:
+        want = [k for k, o in enumerate(sets) if 9 * len(np.intersect1d(s, o)) >= 4 * (len(s) + len(o))]
+        assert sorted(trie.similar(s)) == want
+
+
+def test_reachable_rows_lose_no_pair(monkeypatch):
+    import scholia.llm.ngram_join as J
+
+    rng = np.random.default_rng(4)
+    n = rng.integers(1, 60, 600)
+    rows = sorted((int(rng.integers(0, 25)), int(k) * J._STEP + int(rng.integers(0, k))) for k in n)
+    e, place = np.array([x for x, _ in rows]), np.array([y for _, y in rows])
+    size, at = place // J._STEP, place % J._STEP
+    for most in (256, 3):
+        monkeypatch.setattr(J, "NEIGHBOURS", most)
+        got = J.reachable(e, place)
+        for k in range(len(e)):
+            o = np.flatnonzero((e == e[k]) & (np.arange(len(e)) != k))
+            room = np.minimum(at[o], at[k]) + 1 + np.minimum(size[o] - at[o] - 1, size[k] - at[k] - 1)
+            near = bool((9 * room >= 4 * (size[o] + size[k])).any())
+            assert got[k] or not near
+            assert most == 3 or got[k] == near
+
+
+def test_one_of_each_by_class(spark):
+    """Repeated and null ids, blank texts, and columns named like the operator's own."""
+    schema = "doc_id long, text string, doc string, th int, root int, least string, again int, blank int"
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, a), (1, b), (2, a), (2, a), (None, b), (None, "x y z"), (None, "x y z"), (3, " "), (3, " "), (None, None)]
+    df = spark.createDataFrame([(*r, "k", 1, 2, "l", 3, 4) for r in rows], schema)
+    got = one_of_each(df)
+    assert got.columns == df.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (None, "x y z"), (3, " "), (3, " "), (None, None)], key=str)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 20)] + [(100, 105), (105, 103)]
     df = spark.createDataFrame(links, "u long, v long")
