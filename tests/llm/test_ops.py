@@ -253,9 +253,9 @@ def test_reachable_rows_lose_no_pair(monkeypatch):
 
     rng = np.random.default_rng(4)
     n = rng.integers(1, 60, 600)
-    rows = sorted((int(rng.integers(0, 25)), int(k) * J._STEP + int(rng.integers(0, k))) for k in n)
+    rows = sorted((int(rng.integers(0, 25)), int(J.places(k, rng.integers(0, k), 0))) for k in n)
     e, place = np.array([x for x, _ in rows]), np.array([y for _, y in rows])
-    size, at = place // J._STEP, place % J._STEP
+    size, at = place >> J._SIZE, (place >> J._AT) % J._STEP
     for most in (256, 3):
         monkeypatch.setattr(J, "NEIGHBOURS", most)
         got = J.reachable(e, place)
@@ -267,6 +267,23 @@ def test_reachable_rows_lose_no_pair(monkeypatch):
             assert most == 3 or got[k] == near
 
 
+def test_jaccard_of_cut_and_mixed_texts(spark):
+    """Texts cut at both ends, with passages of others in them, over a small vocabulary of shingles."""
+    rng = np.random.default_rng(8)
+    base = [[f"v{rng.integers(0, 300)}" for _ in range(n)] for n in (*rng.integers(8, 90, 11), 1500)]
+    texts = []
+    for k in range(700):
+        w = list(base[rng.integers(0, 12)])
+        w = w[rng.integers(0, 1 + len(w) // 9) : len(w) - rng.integers(0, 1 + len(w) // 9)]
+        other = base[rng.integers(0, 12)]
+        at = rng.integers(0, len(w))
+        w[at:at] = other[: rng.integers(0, 1 + len(w) // 8)]
+        texts.append((k, " ".join(w)))
+    sets = {k: {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, t in texts for w in [t.split()]}
+    got = {r["doc_id"]: r["component_id"] for r in similar_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == _brute_components(sets)
+
+
 def test_one_of_each_by_class(spark):
     """Repeated and null ids, blank texts, and columns named like the operator's own."""
     schema = "doc_id long, text string, doc string, th int, root int, least string, again int, blank int"
