@@ -3,7 +3,8 @@
 The tokenizers library encodes; a bounded cache keeps the ids of the pieces between
 spaces.  Cutting before a space that follows a character other than white space is safe:
 no pre-token of the byte-level pattern holds white space after another character.
-Texts where a space follows white space go to the library whole.
+Texts where a space follows white space go to the library whole, and so do texts that hold
+an added token, which the library recognises before it cuts.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a worker's cache keeps; beyond it, pieces are encoded each time.
 CACHE_PIECES = 700_000
 
-_UNSAFE = re.compile(r"\s ")
-
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -36,7 +35,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # What reaches the library is new to this cache, so the library's own need not be large.
         self.tokenizer.model._resize_cache(1000)
         self.cache: dict[str, bytes] = {}
@@ -46,6 +44,8 @@ class Encoder:
         for name, i in self.tokenizer.get_vocab().items():
             self.lengths[i] = len(name)
         self.cache_pieces = cache_pieces
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.unsafe = re.compile("|".join([r"\s ", *map(re.escape, added)]), re.IGNORECASE)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [
@@ -81,7 +81,7 @@ class Encoder:
         firsts: list[str] = []
         for t in texts:
             t = t or ""
-            if t.startswith(" ") or _UNSAFE.search(t):
+            if t.startswith(" ") or self.unsafe.search(t):
                 found.append(None)
                 whole.append(t)
                 continue
