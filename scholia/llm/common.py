@@ -30,9 +30,26 @@ def words_of(text: Column) -> Column:
     )
 
 
-def whole_row(df: DataFrame) -> Column:
-    """All columns of `df` as one struct, which no column of an operator's own can clash with."""
-    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))
+class Columns:
+    """The columns of a table under names of their own, so that an operator's cannot clash."""
+
+    def __init__(self, df: DataFrame):
+        self.given = df.columns
+        self.own = [f"column{i}" for i in range(len(self.given))]
+        self.rows = df.toDF(*self.own)
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(self.own[self.given.index(name)])
+
+    def back(self, df: DataFrame, **changed: Column) -> DataFrame:
+        """The columns under their given names, `changed` ones replaced."""
+        return df.select(*(
+            (changed[g] if g in changed else F.col(o)).alias(g) for g, o in zip(self.given, self.own, strict=True)))
+
+
+def text_hash(text: Column) -> Column:
+    """64 bits of a text, which tell rows of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def shared_dir(spark: SparkSession) -> str:

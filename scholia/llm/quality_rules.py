@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, words_of
+from .common import SPACE_CHARS, Columns, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -52,17 +52,15 @@ def _counts(df: DataFrame, text: str) -> DataFrame:
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
     df = df.withColumns({"_w": words_of(F.col(text)), "_lines": lines})
     w = F.col("_w")
+    # Windows as hashes of their words with their places: a sort of numbers, not of texts.
     windows = F.sort_array(
         F.when(
             F.size(w) >= 3,
             F.transform(
-                F.sequence(F.lit(0), F.size(w) - 3),
-                lambda i: F.struct(
-                    F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"),
-                    i.alias("i"),
-                ),
+                F.slice(w, 1, F.size(w) - 2),
+                lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
             ),
-        ).otherwise(F.array().cast("array<struct<t:string,i:int>>"))
+        ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
     )
     stops = sorted({x for words in STOP_WORDS.values() for x in words.split()})
     df = df.withColumns({
@@ -73,15 +71,15 @@ def _counts(df: DataFrame, text: str) -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(stops))).cast("long"),
         "_tri": windows,
-    }).drop("_w", "_lines")
+    }).drop("_lines")
     tri = F.col("_tri")
     # Equal windows are neighbours once sorted; what is left are the places of repeated ones.
-    again = F.filter(
-        tri,
-        lambda x, j: F.coalesce((j > 0) & (x["t"] == F.get(tri, j - 1)["t"]), F.lit(False))
-        | F.coalesce(x["t"] == F.get(tri, j + 1)["t"], F.lit(False)),
-    )
-    df = df.withColumn("_at", F.sort_array(F.transform(again, lambda x: x["i"]))).drop("_tri")
+    # Words decide between neighbours with equal hashes.
+    word = lambda x, k: F.get(w, x["i"] + k)
+    same = lambda x, y: F.coalesce(
+        (x["h"] == y["h"]) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2)), F.lit(False))
+    again = F.filter(tri, lambda x, j: ((j > 0) & same(x, F.get(tri, j - 1))) | same(x, F.get(tri, j + 1)))
+    df = df.withColumn("_at", F.sort_array(F.transform(again, lambda x: x["i"]))).drop("_tri", "_w")
     at = F.col("_at")
     covered = F.transform(at, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1), p + 3) - p))
     return df.withColumn(
@@ -120,10 +118,12 @@ def quality_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
 
 
 def kept_documents(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of `df` that the rules keep.
+    """The rows of `df` that the rules keep, whatever the names of its columns.
 
     The row number keeps the optimiser from moving the filter below the projections, where
     every metric would be computed again inside it.
     """
-    scored = quality_rules(df, rules=rules).withColumn("_row", F.monotonically_increasing_id())
-    return scored.where(F.col("kept") & (F.col("_row") >= 0)).select(*df.columns)
+    columns = Columns(df)
+    scored = quality_rules(columns.rows.withColumn("_text", columns["text"]), "_text", rules)
+    scored = scored.withColumn("number", F.monotonically_increasing_id())
+    return columns.back(scored.where(F.col("kept") & (F.col("number") >= 0)))
