@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, WORD, Workspace
+from .common import SPACE_CHARS, WORD, Columns, Workspace, text_hash
 
 #: Rows aimed at in a bucket of a source's order, and buckets in a group of buckets.
 BUCKET_ROWS = 4096
@@ -39,6 +39,11 @@ def mix_key(doc_id: Column, text: Column) -> Column:
     return F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("t"), F.coalesce(text, F.lit("")))))
 
 
+def source_id(source: Column) -> Column:
+    """A number for a source, null included."""
+    return F.xxhash64(F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n")))
+
+
 def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Targets by source, from rows (source, source_size, n_docs) with distinct sources.
 
@@ -81,21 +86,22 @@ def mix_sources(
     max_epochs: int = MAX_EPOCHS,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """One row per document: doc_id, key, size, source, source_size, target, taken.
+    """One row per document: doc_id, key, th, sid, size, source, source_size, target, taken.
 
-    `taken` counts the words that the mix takes from the document, repeats included.
+    `key` is its place in the order, `th` and `sid` are hashes of text and source.  `taken` counts the words that the mix takes from the document, repeats included.
     """
     rows = Workspace(df.sparkSession).save(
         df.select(
             F.col(doc_id).alias("doc_id"),
             F.col(source).alias("source"),
             mix_key(F.col(doc_id), F.col(text)).alias("key"),
+            text_hash(F.col(text)).alias("th"),
             F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         ),
         "sizes",
     )
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    targets = source_targets(totals, max_epochs).withColumn("_sid", F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))))
+    targets = source_targets(totals, max_epochs).withColumn("_sid", source_id(F.col("source")))
     joined = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select(
         rows["*"], "source_size", "n_docs", "target", "_sid"
     )
@@ -111,7 +117,7 @@ def mix_sources(
     sums = sums.select("_sid", "_group", "_bucket", F.coalesce(
         F.sum("_sum").over(W.partitionBy("_sid", "_group").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), none).alias("_bucket_start"))
     starts = sums.join(starts, ["_sid", "_group"]).select("_sid", "_bucket", (F.col("_group_start") + F.col("_bucket_start")).alias("_start"))
-    inside = W.partitionBy("_sid", "_bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_sid", "_bucket").orderBy("key", "doc_id", "size", "th").rowsBetween(W.unboundedPreceding, -1)
     ordered = joined.withColumn("_inside", F.coalesce(F.sum("size").over(inside), none))
     ordered = ordered.join(starts, ["_sid", "_bucket"]).withColumn("_before", F.col("_start") + F.col("_inside"))
     budget = F.floor(F.col("target") + 0.5).cast("long")
@@ -119,37 +125,49 @@ def mix_sources(
     rest = budget - epochs * F.col("source_size")
     last = F.least(F.col("size"), F.greatest(none, rest - F.col("_before")))
     return ordered.select(
-        "doc_id", "key", "size", "source", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken")
+        "doc_id", "key", "th", F.col("_sid").alias("sid"), "size", "source", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken")
     )
 
 
 def mixed_documents(df: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The mix itself, with the columns of `df`: whole copies for each epoch that a document
-    is taken in, and the leading words up to the cut for the one document at a budget's end.
+    """The mix itself, with the columns of `df` whatever their names: whole copies for each epoch
+    that a document is taken in, and the leading words up to the cut for the one document at a
+    budget's end.
+
+    Rows that agree in id, source and text stand next to each other in the mix's order, so what
+    is taken of them are at most three numbers, the larger ones first.
     """
-    mix = mix_sources(df, max_epochs=max_epochs).select("doc_id", "key", "size", "taken")
-    rows = df.withColumns({"_key": mix_key(F.col("doc_id"), F.col("text")), "_src": F.col("source")})
-    # Repeated rows of one key share what the mix takes from that key, row by row.
-    again = W.partitionBy("key").orderBy("doc_id", "size", F.desc("taken"))
-    mix = mix.withColumn("_n", F.row_number().over(again)).select(F.col("key").alias("_mix_key"), "_n", "size", "taken")
-    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy("_src")))
-    got = rows.join(mix, (F.col("_key") == F.col("_mix_key")) & (rows["_n"] == mix["_n"])).where("taken > 0")
+    mix = mix_sources(df, max_epochs=max_epochs).select("key", "th", "sid", "size", "taken")
+    alike = ["key", "th", "sid"]
+    steps = mix.groupBy(*alike, "size", "taken").agg(F.count("*").alias("n"))
+    steps = steps.groupBy(*alike, "size").agg(F.sort_array(F.collect_list(F.struct("taken", "n")), asc=False).alias("steps"))
+    steps = steps.where(F.col("steps")[0]["taken"] > 0)
+    columns = Columns(df)
+    text = columns["text"]
+    rows = columns.rows.withColumns({"key": mix_key(columns["doc_id"], text), "th": text_hash(text), "sid": source_id(columns["source"])})
+    got = rows.join(steps, alike)
+    number = F.row_number().over(W.partitionBy(*alike).orderBy("size"))
+    got = got.withColumn("number", F.when(F.size("steps") > 1, number).otherwise(1))
+    step = lambda k, c: F.coalesce(F.get("steps", F.lit(k))[c], F.lit(0))
+    taken = F.when(F.col("number") <= step(0, "n"), step(0, "taken"))
+    taken = taken.when(F.col("number") <= step(0, "n") + step(1, "n"), step(1, "taken")).otherwise(step(2, "taken"))
+    got = got.withColumn("taken", F.when(F.size("steps") > 1, taken).otherwise(step(0, "taken"))).where("taken > 0")
     copies = F.transform(
         F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")),
         lambda i: F.least(F.col("size"), F.col("taken") - (i - 1) * F.col("size")).cast("int"),
     )
-    got = got.withColumn("_words", F.explode(copies))
+    got = got.withColumn("words", F.explode(copies))
     # The text up to the end of its last word in the budget, by a fold over its pieces between
     # white space (every kind of it is one character, so lengths stay right).
-    pieces = F.split(F.translate("text", SPACE_CHARS, " " * len(SPACE_CHARS)), " ")
+    pieces = F.split(F.translate(text, SPACE_CHARS, " " * len(SPACE_CHARS)), " ")
     state = lambda words, chars: F.struct(words.cast("int").alias("words"), chars.cast("int").alias("chars"))
     walked = F.aggregate(
         pieces, state(F.lit(0), F.lit(0)),
-        lambda s, p: F.when(s["words"] < F.col("_words"), state(s["words"] + F.least(F.lit(1), F.length(p)), s["chars"] + F.length(p) + 1)).otherwise(s),
+        lambda s, p: F.when(s["words"] < F.col("words"), state(s["words"] + F.least(F.lit(1), F.length(p)), s["chars"] + F.length(p) + 1)).otherwise(s),
     )
-    cut = F.substring(F.col("text"), F.lit(1), walked["chars"] - 1)
-    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(cut)
-    out = got.withColumn("text", text)
+    whole = F.col("words") == F.col("size")
+    got = got.withColumn("cut", F.when(whole, text).otherwise(F.substring(text, F.lit(1), walked["chars"] - 1)))
+    changed = {"text": F.col("cut")}
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
-    return out.select(*df.columns)
+        changed["n_chars"] = F.length("cut").cast(df.schema["n_chars"].dataType)
+    return columns.back(got, **changed)
