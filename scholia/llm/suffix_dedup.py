@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from .anchors import WINDOW
-from .common import Workspace
+from .common import Columns, Workspace, text_hash
 
 #: Segments of one anchor value that one task compares, and bytes sorted at a time.
 CHUNK = 4096
@@ -46,7 +46,7 @@ SORT_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 _STEP, _REPEATS, _COUNT = 256, 128, 127
 
-_SEGMENT = "m long, seg long, doc long, th int, pos long"
+_SEGMENT = "m long, seg long, doc long, th long, pos long"
 
 
 def _split(text_rows: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -62,7 +62,7 @@ def _split(text_rows: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.Record
 
 def _documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    return df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.hash(body).alias("th"), body.alias("text"))
+    return df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), text_hash(F.col(text)).alias("th"), body.alias("text"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     start, n = s["pos"] // _STEP, s["pos"] & _COUNT
                     rows.append((s["m"], s["chunk"], doc, th, s["pos"], data[start : start + n + WINDOW - 1]))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
                     names=["m", "chunk", "doc", "th", "pos", "data"],
@@ -301,7 +301,7 @@ def _compare_rows(rows: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def _runs(doc: np.ndarray, th: np.ndarray, pos: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc, pa.int64()), pa.array(th, pa.int32()), pa.array(pos, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())],
+        [pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(pos, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())],
         names=["doc", "th", "pos", "h1", "h2"],
     )
 
@@ -311,12 +311,12 @@ def removed_runs(df: DataFrame, space: Workspace, *, doc_id: str = "doc_id", tex
     docs = _documents(df, doc_id, text)
     rows = docs.mapInArrow(_cut, _SEGMENT)
     dealt = rows.repartition("m").sortWithinPartitions("m", "seg", "doc", "pos")
-    found = space.save(dealt.mapInArrow(_classify, "m long, doc long, th int, pos long, chunk long"), "segments")
+    found = space.save(dealt.mapInArrow(_classify, "m long, doc long, th long, pos long, chunk long"), "segments")
     listed = found.where("chunk >= 0").groupBy("doc", "th").agg(F.collect_list(F.struct("m", "chunk", "pos")).alias("segs"))
     # Repeated rows would fetch a segment twice; equal places do not remove each other.
-    data = docs.join(listed, ["doc", "th"]).mapInArrow(_fetch, "m long, chunk long, doc long, th int, pos long, data binary")
+    data = docs.join(listed, ["doc", "th"]).mapInArrow(_fetch, "m long, chunk long, doc long, th long, pos long, data binary")
     data = data.repartition("m", "chunk").sortWithinPartitions("m", "chunk", "doc", "pos")
-    compared = space.save(data.mapInArrow(_compare, "doc long, th int, pos long, h1 long, h2 long"), "compared")
+    compared = space.save(data.mapInArrow(_compare, "doc long, th long, pos long, h1 long, h2 long"), "compared")
     copies = found.where("chunk < 0").select("doc", "th", "pos")
     runs = compared.where("h1 = -1 AND h2 = -1").select("doc", "th", "pos")
     apart = compared.where("NOT (h1 = -1 AND h2 = -1)")
@@ -338,13 +338,11 @@ def _kept(data: bytes, places: list[int] | None) -> tuple[np.ndarray, int]:
     return keep[:-1], int(np.count_nonzero(gone[1:] > gone[:-1])) + int(gone[0])
 
 
-def _with_places(df: DataFrame, space: Workspace, doc_id: str, text: str) -> DataFrame:
-    """The rows of `df` with `places`, the removed runs of their text."""
-    runs = removed_runs(df, space, doc_id=doc_id, text=text)
+def _with_places(df: DataFrame, columns: Columns, doc_id: str, text: str) -> DataFrame:
+    """The rows of `columns` with `places`, the removed runs of their text."""
+    runs = removed_runs(df, Workspace(df.sparkSession), doc_id=doc_id, text=text)
     places = runs.groupBy("doc", "th").agg(F.collect_list("pos").alias("places"))
-    keyed = df.withColumns({
-        "doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "th": F.hash(F.coalesce(F.col(text), F.lit(""))),
-    })
+    keyed = columns.rows.withColumns({"doc": F.coalesce(columns[doc_id].cast("long"), F.lit(NULL_ID)), "th": text_hash(columns[text])})
     return keyed.join(places, ["doc", "th"], "left")
 
 
@@ -367,12 +365,14 @@ def suffix_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
                 )
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = _with_places(rows, Workspace(df.sparkSession), "doc_id", "text").select("doc_id", "text", "places")
+    columns = Columns(rows)
+    found = _with_places(rows, columns, "doc_id", "text").select(columns["doc_id"].alias("doc_id"), columns["text"].alias("text"), "places")
     return found.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(df: DataFrame) -> DataFrame:
-    """The rows of `df` with the kept bytes as text; rows of which nothing but white space is left go."""
+    """The rows of `df`, whatever its columns' names, with the kept bytes as text; rows of which
+    nothing but white space is left go, untouched rows stay as they are."""
 
     @F.pandas_udf("string")
     def rest(text, places):  # noqa: ANN001, ANN202
@@ -387,8 +387,12 @@ def deduplicated(df: DataFrame) -> DataFrame:
             out.append(np.frombuffer(data, dtype=np.uint8)[_kept(data, [int(x) for x in p])[0]].tobytes().decode(errors="ignore"))
         return pd.Series(out, dtype=object)
 
-    found = _with_places(df, Workspace(df.sparkSession), "doc_id", "text")
-    out = found.withColumn("_rest", rest("text", "places")).where(F.col("places").isNull() | F.col("_rest").rlike(r"[^\x20\x09-\x0D]"))
+    columns = Columns(df)
+    found = _with_places(df, columns, "doc_id", "text")
+    out = found.withColumn("rest", rest(columns["text"], F.col("places")))
+    out = out.where(F.col("places").isNull() | F.col("rest").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"text": F.col("rest")}
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("places").isNull(), F.col("n_chars")).otherwise(F.length("_rest")).cast(df.schema["n_chars"].dataType))
-    return out.withColumn("text", F.col("_rest")).select(*df.columns)
+        n_chars = F.when(F.col("places").isNull(), columns["n_chars"]).otherwise(F.length("rest"))
+        changed["n_chars"] = n_chars.cast(df.schema["n_chars"].dataType)
+    return columns.back(out, **changed)

@@ -111,6 +111,36 @@ def test_mix_is_exact(odd, docs):
     assert sum(len(t.split()) for t in mixed["text"]) == mix_sources(docs).toPandas()["taken"].sum()
 
 
+def test_mixed_documents_take_what_the_mix_takes(spark):
+    """Repeated ids with different texts and sources, repeated rows, null ids and sources."""
+    rng = np.random.default_rng(2)
+    rows = [(1, 10, "s"), (1, 1, "t"), (2, 30, "s"), (3, 2, "t"), (3, 2, "t"), (3, 2, "t"), (None, 7, None), (None, 7, None), (None, 9, "s"), (4, 5, None)]
+    rows += [(int(rng.integers(5, 30)), int(rng.integers(0, 40)), "stuv"[rng.integers(0, 4)]) for _ in range(60)]
+    df = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(n)), s) for i, n, s in rows], "doc_id long, text string, source string")
+    taken = mix_sources(df).toPandas()
+    mixed = mixed_documents(df.withColumn("taken", F.lit(1)).withColumn("key", F.lit("k")).withColumn("row", F.lit(2))).toPandas()
+    assert list(mixed.columns) == ["doc_id", "text", "source", "taken", "key", "row"]
+    mixed["n"] = mixed["text"].str.split().str.len()
+    assert mixed["n"].sum() == taken["taken"].sum()
+    by = ["doc_id", "source"]
+    want = taken[taken["taken"] > 0].groupby(by, dropna=False)["taken"].sum()
+    got = mixed.groupby(by, dropna=False)["n"].sum()
+    assert got.to_dict() == want.to_dict() or dict(zip(map(str, got.index), got)) == dict(zip(map(str, want.index), want))
+
+
+def test_stages_with_clashing_columns(spark, docs):
+    """Extra columns with the names that the stages use themselves change nothing."""
+    names = ["_w", "_lines", "_tri", "_at", "places", "taken", "size", "key", "th", "row", "doc", "rest", "steps", "number", "kept", "again", "sid", "cut", "words", "blank"]
+    few = docs.where("doc_id < 60")
+    more = few.withColumns({n: F.lit(n) for n in names})
+    for op in (kept_documents, one_of_each, deduplicated, mixed_documents):
+        got = op(more)
+        assert got.columns == more.columns
+        plain = sorted(map(str, (tuple(r) for r in op(few).collect())))
+        assert sorted(map(str, (tuple(r) for r in got.select(*few.columns).collect()))) == plain
+        assert got.where(" OR ".join(f"`{n}` <> '{n}'" for n in names)).count() == 0
+
+
 def test_suffix_dedup_brute_force(spark, rows):
     extra = [(1000, "ab" * 400), (1001, rows[0][1][30:400] + "é" * 90 + rows[1][1][:300]), (1002, "ab" * 60), (-5, rows[2][1])]
     given = sorted(rows + extra)
@@ -143,7 +173,7 @@ def test_hot_chunks_meet(monkeypatch):
     m, seg, pos = least.view(np.int64), content.view(np.int64), start * 256 + repeats * 128 + count
     o = np.lexsort((pos, at, seg, m))
     rows = pa.RecordBatch.from_arrays(
-        [pa.array(m[o]), pa.array(seg[o]), pa.array(at[o]), pa.array(np.zeros(len(o), dtype=np.int32)), pa.array(pos[o])], names=["m", "seg", "doc", "th", "pos"])
+        [pa.array(m[o]), pa.array(seg[o]), pa.array(at[o]), pa.array(np.zeros(len(o), dtype=np.int64)), pa.array(pos[o])], names=["m", "seg", "doc", "th", "pos"])
     found = pa.Table.from_batches(list(S._classify(rows.slice(i, 7) for i in range(0, rows.num_rows, 7)))).to_pandas()
     gone = {(r.doc, (r.pos >> 8) + j) for r in found[found.chunk < 0].itertuples() for j in range(r.pos & 127)}
     firsts = found[found.chunk >= 0].sort_values(["m", "chunk", "doc", "pos"])
@@ -307,8 +337,8 @@ def test_tokens_equal_the_library(rows):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(vocabulary_path())
-    plain.encode_special_tokens = True
-    texts = [t for _, t in rows] + [t for _, t, *_ in ODD if t] + ["x  y  z", " lead", "tail ", "a\n b", "l'été, c'est .,. ok", "word. \nNext,,"]
+    assert [*plain.encode("a <|endoftext|> b", add_special_tokens=False).ids] == [64, 220, 50256, 275]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y z", "a <|ENDOFTEXT|> b", *(t for _, t in rows)] + [t for _, t, *_ in ODD if t] + ["x  y  z", " lead", "tail ", "a\n b", "l'été, c'est .,. ok", "word. \nNext,,"]
     want = [[*e.ids, 0] for e in plain.encode_batch(texts, add_special_tokens=False)]
     for limit in (10, 100_000):
         encoder = Encoder(vocabulary_path(), cache_pieces=limit)
