@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 
 def sanitize(c: Column) -> Column:
-    """Backslashes that start no JSON escape are dropped."""
-    return F.regexp_replace(c, r'\\(?!["\\/bfnrtu])', "")
+    """Backslashes that start no JSON escape are dropped; an escaped backslash is one of two."""
+    return F.regexp_replace(c, r'(\\["\\/bfnrtu])|\\([^\n])', "$1$2")
 
 
 def unfenced(c: Column) -> Column:
@@ -79,6 +79,25 @@ def repair(c: Column) -> Column:
     return F.pandas_udf(_repairs, "string")(c)
 
 
+def loads(text: str) -> object:
+    """A response's JSON as Python values, read as `parse_json` reads it, or ValueError."""
+    bare = re.sub(r"^\s*```(?:json)?\s*|\s*```\s*$", "", text)
+    clean = re.sub(r"\\(.)", lambda m: m[0] if m[1] in '"\\/bfnrtu' else m[1], bare)
+    outer = re.search(r"\{.*\}", clean, re.S)
+    for tried in (bare, clean, outer[0] if outer else "", _repair(clean) or ""):
+        try:
+            return json.loads(tried)
+        except ValueError:
+            continue
+    raise ValueError("no JSON in the response")
+
+
+def has_body(md: str, least: int = 3) -> bool:
+    """Whether enough lines are more than headings, rules, quotes and chunk marks."""
+    lines = (x.strip() for x in md.split("\n"))
+    return sum(bool(x) and not re.match(r"#{1,6}\s|-{3,}$|>|\[Chunk ", x) for x in lines) >= least
+
+
 TOPICS = "struct<topics:array<struct<name:string,description:string,related_documents:array<string>,chunk_ids:array<string>,subtopic_count:int,order_source:string,syllabus_position:int>>>"
 OUTLINE = "struct<chapters:array<struct<title:string,sections:array<string>>>>"
 CHAPTER = "struct<title:string,content:string,sections:array<string>>"

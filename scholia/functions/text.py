@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 
 from ..schemas import SUFFIXES, SYLLABUS_WORDS
 
-#: Marks of raw PDF structure in extracted text, as whole lines.
+#: Patterns of PDF structure that leaks into a line, and of a line that is nothing else.
 PDF_STRUCTURE = (
-    r"%PDF-.*", r"%%EOF", r"\d+ \d+ obj.*", r"endobj", r"stream", r"endstream", r"xref", r"trailer", r"startxref", r"<<.*>>",
-    r"/Type\s*/\w+.*", r"/Filter.*", r"/Length.*", r"/Font.*", r"/Resources.*", r"/MediaBox.*", r"/Contents.*", r"/Parent.*",
-    r"\d{10} \d{5} [nf]", r"BT|ET", r"\d+\s+\d+\s+\w+",
+    r"(?i)startxref", r"%%EOF", r"\d+\s+\d+\s+obj\b", r"\bendobj\b", r"(?i)^stream$", r"(?i)^endstream$", r"(?i)^xref$",
+    r"(?i)\btrailer\b", r"<<\s*/Type\s*/\w+", r"/Subtype\s*/\w+", r"/Filter\s*/\w+", r"/Width\s+\d+", r"/Height\s+\d+",
+    r"/Length\s+\d+", r"/Root\s+\d+\s+\d+\s+R", r"/Info\s+\d+\s+\d+\s+R", r"/Type\s*/Page\b", r"/Type\s*/Catalog\b",
+    r"/Type\s*/Font\b", r"/Type\s*/XObject\b", r"^\d+\s+\d+\s+\w+$",
+)
+#: A text without any of these, whatever their case, has no line of the patterns above.
+PDF_HINTS = r"(?i)xref|%%EOF|obj|stream|trailer|/Type|/Subtype|/Filter|/Width|/Height|/Length|/Root|/Info|(?m:^\s*\d+\s+\d+\s+\w+\s*$)"
+#: Patterns, whatever their case, of which three show an unparsed PDF.
+PDF_MARKERS = (
+    r"\bstartxref\b", r"%%EOF", r"\b\d+\s+\d+\s+obj\b", r"\bendobj\b", r"\bstream\b", r"\bendstream\b", r"\bxref\b",
+    r"\btrailer\b", r"/Type\s*/\w+",
 )
-#: Markers that together show an unparsed PDF.
-PDF_MARKERS = ("endobj", "endstream", "xref", "startxref", "/Type", "/Font", "/Length", "%PDF-", "%%EOF")
 #: Topic names that name nothing.
 EMPTY_NAMES = ("untitled", "no title", "n/a", "none", "")
 
@@ -57,8 +63,9 @@ def normalize_lines(c: Column) -> Column:
     """Clean text: control characters, runs of blanks, line ends, PDF structure, blank runs."""
     text = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     text = F.regexp_replace(text, r"(?U)[^\S\n]+", " ")
-    drop = "^(?:" + "|".join(PDF_STRUCTURE) + ")$"
-    kept = F.filter(F.transform(lines(text), strip), lambda x: (F.length(x) == 0) | ~F.rlike(x, F.lit(drop)))
+    drop = "(?U)" + "|".join(f"(?:{p})" for p in PDF_STRUCTURE)
+    trimmed = F.transform(lines(text), strip)
+    kept = F.when(text.rlike("(?U)" + PDF_HINTS), F.filter(trimmed, lambda x: ~F.rlike(x, F.lit(drop)))).otherwise(trimmed)
     return strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
 
 
@@ -84,7 +91,7 @@ def sentences(c: Column) -> Column:
 
 
 def is_pdf_garbage(c: Column) -> Column:
-    return reduce(lambda a, b: a + b, [F.contains(c, F.lit(m)).cast("int") for m in PDF_MARKERS]) >= 3
+    return reduce(lambda a, b: a + b, [c.rlike(f"(?iU){m}").cast("int") for m in PDF_MARKERS]) >= 3
 
 
 def keywords(c: Column, longer_than: int = 3) -> Column:
@@ -129,13 +136,15 @@ def without_artifacts(md: Column) -> Column:
     return F.array_join(F.filter(lines(md), keep), "\n")
 
 
-def body_lines(md: Column) -> Column:
-    """Lines that carry content: no blanks, headings, rules, quotes or chunk marks."""
-    return F.filter(lines(md), lambda x: ~strip(x).rlike(r"^$|^#{1,6}\s|^-{3,}$|^>|^\[Chunk |^\[\.\.\.\]$"))
+def body_lines(md: Column, cuts: bool = False) -> Column:
+    """Lines that carry content: no blanks, headings, rules, quotes, chunk marks nor (unless
+    `cuts`) marks of a cut."""
+    pattern = r"^$|^#{1,6}\s|^-{3,}$|^>|^\[Chunk " + ("" if cuts else r"|^\[\.\.\.\]$")
+    return F.filter(lines(md), lambda x: ~strip(x).rlike(pattern))
 
 
 def has_meaningful_content(md: Column, least: int = 3) -> Column:
-    return F.size(body_lines(md)) >= least
+    return F.size(body_lines(md, cuts=True)) >= least
 
 
 def sha256(c: Column) -> Column:
@@ -156,6 +165,41 @@ def ascii_slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(kept, r"[\s-]+", "-"), r"^-+|-+$", "")
 
 
+#: Output tokens of a chapter by depth.
+DEPTH_TOKENS = {1: 8192, 2: 10240, 3: 14336, 4: 18432, 5: 22528, 6: 28672, 7: 36864, 8: 45056, 9: 53248, 10: 65536}
+#: What each of the five bands of detail asks for.
+DEPTH_TEXT = (
+    "Short: the main ideas only.", "Concise: each idea with one example.", "Balanced: definitions, reasons and examples.",
+    "Detailed: derivations, examples and frequent mistakes.", "Exhaustive: everything, with proofs, examples and questions with answers.",
+)
+
+
+def clamped_depth(level: Column) -> Column:
+    return F.greatest(F.lit(1), F.least(F.lit(10), level)).cast("int")
+
+
+def depth_tokens(level: Column) -> Column:
+    """Output tokens that a chapter of a depth may take."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in DEPTH_TOKENS.items() for x in pair]), clamped_depth(level))
+
+
+def depth_instruction(level: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, DEPTH_TEXT)), depth_band(level))
+
+
+#: Suffixes that text recognition reads.
+OCR_SUFFIXES = ("png", "jpg", "jpeg")
+
+
+def is_ocr_image(path: Column) -> Column:
+    return F.regexp_extract(F.lower(path), r"\.([^./]+)$", 1).isin(*OCR_SUFFIXES)
+
+
+def encode_image(content: Column) -> Column:
+    """Base64 in one line, as a model's request holds it."""
+    return F.regexp_replace(F.base64(content), r"[\r\n]", "")
+
+
 def depth_band(level: Column) -> Column:
     """One of five bands of detail for a depth of 1 to 10."""
     return F.ceil(F.greatest(F.lit(1), F.least(F.lit(10), level)) / 2).cast("int")

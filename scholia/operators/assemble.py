@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import unicode as U
 
+#: What stands before the first chapter outside the syllabus, and after cut material.
+EXTRA_HEADING = "---\n\n## Additional Topics (not in syllabus)\n\n"
 TRUNCATED = "\n...[truncated]"
 
 
@@ -103,11 +105,13 @@ def merge_chapters(chapters: DataFrame, topics: DataFrame, stamp: str, scope: st
     """One manual (md) from chapters (ord, md): ordered, cleaned, numbered, with contents in front."""
     titled = chapters.withColumn("title", T.title(F.col("md")))
     placed = sort_by_syllabus(titled, topics)
-    extra = topics.where("extra_in_notes").select(F.lower("name").alias("_e")).distinct()
-    placed = placed.join(extra, F.lower("title") == F.col("_e"), "left").withColumn("extra", F.col("_e").isNotNull())
+    # A manual's extra topics are one short list; a title that holds one, or is held by one, is extra.
+    names = topics.where("extra_in_notes").agg(F.collect_set(F.lower(T.strip(F.col("name")))).alias("_e"))
+    title = F.lower(T.strip(F.col("title")))
+    placed = placed.join(F.broadcast(names)).withColumn("extra", F.exists("_e", lambda e: F.contains(e, title) | F.contains(title, e))).drop("_e")
     first_extra = F.row_number().over(W.partitionBy("extra").orderBy("place")) == 1
     body = numbered(T.image_paths(without_local_toc(F.col("md"))), F.col("place"))
-    mark = F.when(F.col("extra") & F.col("first_extra"), F.lit("## Additional topics\n\n")).otherwise(F.lit(""))
+    mark = F.when(F.col("extra") & F.col("first_extra"), F.lit(EXTRA_HEADING)).otherwise(F.lit(""))
     placed = placed.withColumn("first_extra", first_extra).withColumns({"body": F.concat(mark, body), "anchor": U.slug(F.concat(F.col("place").cast("string"), F.lit(" "), F.col("title")))})
     rows = F.sort_array(F.collect_list(F.struct("place", "title", "anchor", "body")))
     toc = F.array_join(F.transform(rows, lambda x: F.concat(F.lit("- ["), x["title"], F.lit("](#"), x["anchor"], F.lit(")"))), "\n")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import llm_json as J
 from ..functions import text as T
+from ..plans.storage import Store
 from ..sources import state
 
 
@@ -56,10 +57,11 @@ def generate(prompts: DataFrame, cache: DataFrame, provider: Provider, stamp: st
             answers = [call(m, p) for m, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(answers, pa.string())], names=["model", "prompt", "response"])
 
-    new = state.misses(prompts, cache).select("model", "prompt").distinct().mapInArrow(ask, "model string, prompt string, response string")
-    rows = state.to_cache(new, stamp)
+    asked = state.misses(prompts, cache).select("model", "prompt").distinct().mapInArrow(ask, "model string, prompt string, response string")
+    # Written once: both results read the same answers, and no miss is asked twice.
+    rows = state.to_cache(Store(prompts.sparkSession).save(asked, "answers"), stamp)
     known = cache.select("key", "response").unionByName(rows.select("key", "response"))
-    return prompts.withColumn("key", state.cache_key()).join(known, "key", "left"), rows
+    return state.probe(prompts, known), rows
 
 
 def topic_prompt(material: Column, syllabus: Column) -> Column:

@@ -15,10 +15,18 @@ from pyspark.sql import functions as F
 
 #: English and Italian function words left out of comparisons.
 FUNCTION_WORDS = frozenset(
-    "the and for with from that this are was into onto its their della delle dello degli dei del dal dalla nel nella con per una uno gli che come sono".split()
+    "the a an and or but in on at to for of by with from as is are was were be been being have has had do does did will would "
+    "can could shall should may might this that these those it its they them their we our you your he she him her his not no "
+    "nor all each every some any both few more most other into over such than then just about also very chapter section part "
+    "di del della delle dei dello degli dal dalla dai dalle il lo la le gli un una uno con per su tra fra in nel nella nei "
+    "nelle allo alla agli alle col coi sul sulla sui che e ed o senza non come quale quali da ai al".split()
 )
-#: Words that only decorate a study text.
-DECORATION = frozenset("key note notes tip tips warning example examples remember summary takeaway takeaways important".split())
+#: Words of headings that an outline does not have, and signs of them.
+DECORATION = frozenset(
+    "notes note references reference resources resource bibliography sources source conclusione conclusion riepilogo summary "
+    "recap takeaways keytakeaways appendix appendice tableofcontents indice toc".split()
+)
+DECORATION_SIGNS = "📝🔗📚🟡📌ℹ"
 _HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
 LEAST_OVERLAP, LEAST_LIKENESS = 0.5, 0.40
 
@@ -30,7 +38,7 @@ def key(text: str) -> str:
 
 
 def words(text: str) -> set[str]:
-    return {w for w in re.findall(r"[^\W_]+", text.lower()) if len(w) > 2} - FUNCTION_WORDS
+    return {w for w in re.findall(r"[a-z0-9]+", text.lower()) if len(w) > 2} - FUNCTION_WORDS
 
 
 def overlap(a: str, b: str) -> float:
@@ -44,8 +52,15 @@ def likeness(a: str, b: str) -> float:
 
 
 def is_decorative(text: str) -> bool:
-    found = re.findall(r"[a-z]{3,}", text.lower())
-    return not found or all(w in DECORATION for w in found) or any(c in text for c in "💡⚠📌✅🔑📝")
+    return set(re.findall(r"[a-z]{3,}", text.lower())) <= DECORATION or any(c in text for c in DECORATION_SIGNS)
+
+
+def _decorative(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else is_decorative(t))
+
+
+def decorative(text: Column | str) -> Column:
+    return F.pandas_udf(_decorative, "boolean")(text)
 
 
 def align(md: str | None, title: str | None, sections: list[str] | None) -> str | None:
@@ -53,31 +68,30 @@ def align(md: str | None, title: str | None, sections: list[str] | None) -> str
     if md is None:
         return None
     lines = md.split("\n")
-    at = [(i, m[1], m[2]) for i, line in enumerate(lines) if (m := _HEADING.match(line))]
-    if at and title:
-        lines[at[0][0]] = f"{at[0][1]} {title}"
-    heads = [h for h in at[1:] if not is_decorative(h[2])]
-    free = list(sections or [])
-    left = []
-    for h in heads:
-        best = max(free, key=lambda s: overlap(h[2], s), default=None)
-        if best is not None and overlap(h[2], best) >= LEAST_OVERLAP:
-            lines[h[0]] = f"{h[1]} {best}"
-            free.remove(best)
-        else:
-            left.append(h)
-    evidence = any(overlap(h[2], s) > 0 or likeness(h[2], s) >= LEAST_LIKENESS for h in left for s in free)
-    if free and len(left) == len(free) and evidence:
-        for h, s in zip(left, free, strict=True):
-            lines[h[0]] = f"{h[1]} {s}"
+    found = [(i, m[1], m[2]) for i, line in enumerate(lines) if (m := _HEADING.match(line))]
+    if not found or title is None:
+        return md
+    new: dict[int, str] = {found[0][0]: title}
+    # A heading that repeats the title is no section.
+    heads = {i: text for i, _, text in found[1:] if not key(title) or key(text) != key(title)}
+    free = dict(enumerate(sections or []))
+    for i, text in heads.items():
+        best = max(free, key=lambda s: overlap(text, free[s]), default=None)
+        if best is not None and overlap(text, free[best]) >= LEAST_OVERLAP:
+            new[i] = free.pop(best)
+    left = {i: text for i, text in heads.items() if i not in new and not is_decorative(text)}
+    if free and len(left) == len(free):
+        # As many headings as sections: in order, if anything shows that they are translations.
+        if any(overlap(h, s) > 0 or likeness(h, s) >= LEAST_LIKENESS for h in left.values() for s in free.values()):
+            new |= dict(zip(left, free.values(), strict=True))
     elif len(left) > len(free) > 0:
-        pairs = sorted(((max(overlap(h[2], s), likeness(h[2], s)), h, s) for h in left for s in free), key=lambda p: -p[0])
-        used_h, used_s = set(), set()
-        for score, h, s in pairs:
-            if score >= LEAST_LIKENESS and h[0] not in used_h and s not in used_s:
-                used_h.add(h[0])
-                used_s.add(s)
-                lines[h[0]] = f"{h[1]} {s}"
+        scores = ((max(overlap(h, s), likeness(h, s)), i, k) for i, h in left.items() for k, s in free.items())
+        for score, i, k in sorted(scores, key=lambda x: -x[0]):
+            if score >= LEAST_LIKENESS and i not in new and k in free:
+                new[i] = free.pop(k)
+    for i, mark, _ in found:
+        if i in new:
+            lines[i] = f"{mark} {new[i]}"
     return "\n".join(lines)
 
 

@@ -5,6 +5,7 @@ Each check takes rows (md) and gives rows (check, status, errors).
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,19 +13,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import unicode as U
 
-#: Frequent English words.
+#: Words that count as English.
 ENGLISH = (
-    "the a an and or but in on at to for of with by from as is are was were be been being have has had do does did will would "
-    "could should may might can this that these those it its he she they we you i not no so if then than there here when "
-    "where which who what how all each every both few more most other some such only own same very just also into over "
-    "after before between through during about against up down out off again further once because until while"
+    "the is at which on a an and or but in with to for of not no can had has have are was were be been will would could "
+    "should may might this that these those it its from by as if than then so do did does each when where how what who whom "
+    "there their they them we our he she his her my your all any both few more most other some such only own same too very "
+    "just because about between through during before after above below up down out off over under again further here once "
+    "also into using used use based see example note figure table chapter section page many areas concept concepts important "
+    "material described called known considered particular general specific different given well two three first second new "
+    "one like even still however while since until although though whether without within along across behind beneath beside "
+    "beyond toward upon among around towards including related form"
 ).split()
-ENGLISH_RATIO, DUPLICATE_RATIO = 0.60, 0.80
-
-
-def _any(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
+ENGLISH_RATIO, DUPLICATE_RATIO, FOCUS_RATIO, OTHER_RATIO = 0.60, 0.80, 0.02, 0.10
 
 
 def sections(df: DataFrame, key: str, md: str) -> DataFrame:
@@ -119,22 +121,28 @@ def toc_links(manual: DataFrame) -> DataFrame:
 
 def check_toc(manual: DataFrame) -> DataFrame:
     links = toc_links(manual)
-    slugs = manual.select(F.explode(F.transform(T.headings(F.col("md")), T.ascii_slug)).alias("anchor")).distinct()
+    slugs = manual.select(F.explode(T.headings(F.col("md"))).alias("h")).select(U.slug(F.col("h")).alias("anchor")).distinct()
     broken = links.join(slugs, "anchor", "left_anti").select(F.concat(F.lit("broken anchor: "), "anchor").alias("error"))
     none = links.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("no table of contents").alias("error"))
     return _collected(broken.unionByName(none), manual, "toc_structure")
 
 
-def check_focus(manual: DataFrame, focus: str, others: list[str]) -> DataFrame:
-    words = F.regexp_extract_all(F.lower(T.plain_text(F.col("md"))), F.lit("[a-z0-9]+"), F.lit(0))
+def focus_keys(name: str) -> list[str]:
+    """A topic's keywords, as `text.keywords` has them of a column."""
+    return sorted({w for w in re.sub(r"[^a-z0-9\s]", " ", name.lower()).split() if len(w) > 3})
 
-    def share(name: str) -> Column:
-        keys = [w for w in name.lower().split() if len(w) > 3]
-        hit = F.filter(words, lambda w: _any([F.contains(w, F.lit(k)) for k in keys]) if keys else F.lit(False))
-        return F.size(hit) / F.greatest(F.size(words), F.lit(1))
 
-    tests = [F.when(share(focus) < 0.02, F.lit(f"focus is rare: {focus}"))] + [
-        F.when(share(o) > 0.10, F.lit(f"other topic is frequent: {o}")) for o in others if o != focus]
+def focus_share(md: Column, name: str) -> Column:
+    """The share of a topic's keywords that occur in a text, anywhere in a word."""
+    keys = focus_keys(name)
+    hits = reduce(lambda a, b: a + b, [F.contains(F.lower(md), F.lit(k)).cast("int") for k in keys], F.lit(0))
+    return hits / F.lit(max(len(keys), 1))
+
+
+def check_focus(manual: DataFrame, focus: str, others: list[str]) -> DataFrame:
+    share = lambda name: focus_share(F.col("md"), name)
+    tests = [F.when(share(focus) < FOCUS_RATIO, F.lit(f"focus is rare: {focus}"))] + [
+        F.when(share(o) > OTHER_RATIO, F.lit(f"other topic is frequent: {o}")) for o in others if o.lower() != focus.lower() and focus_keys(o)]
     return manual.select(*result("topic_focus", F.array_compact(F.array(*tests)), "warning"))
 
 

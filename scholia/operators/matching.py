@@ -1,8 +1,8 @@
 """Keyword and best-match joins between topics, chunks, entries, chapters and images.
 
-Topic-like tables are small by nature, but no join relies on it: keyword joins explode the
-keywords and match by `contains` (with a broadcast only if the optimiser proves the size),
-scores are built-in expressions, and best matches are grouped maxima.
+Topic-like tables are small by nature, but no keyword join relies on it: keywords meet the
+chunks' tokens through a gram index, scores are built-in expressions, and best matches are
+grouped maxima.
 """
 
 from __future__ import annotations
@@ -24,13 +24,37 @@ def chunks_by_document(topics: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(listed, "document_id").select("ord", "id")
 
 
+#: Letters of a keyword that the token index looks up.
+GRAM = 4
+
+
+def _containing(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Distinct pairs of a token (t) and a keyword (k) that it contains, for keywords of `GRAM`
+    letters or more: an equi-join of the tokens' grams with the keywords' first ones."""
+    at = F.sequence(F.lit(1), F.length("t") - GRAM + 1)
+    grams = F.array_distinct(F.transform(at, lambda i: F.substring(F.col("t"), i, F.lit(GRAM))))
+    index = tokens.where(F.length("t") >= GRAM).select("t", F.explode(grams).alias("gram"))
+    wanted = keywords.select("k", F.substring("k", 1, GRAM).alias("gram"))
+    return index.join(wanted, "gram").where(F.contains("t", "k")).select("t", "k").distinct()
+
+
 def chunks_by_keyword(topics: DataFrame, chunks: DataFrame, longer_than: int = 3) -> DataFrame:
-    """Chunks that contain any of a topic's keywords; a topic without keywords stands for itself."""
+    """Chunks that contain any of a topic's keywords; a topic without keywords stands for itself.
+
+    A keyword has no white space, so it stands within one of a chunk's tokens; distinct tokens
+    are looked up by grams.  Only names that have no keyword, and keywords shorter than a gram,
+    are compared with whole chunks.
+    """
     words = T.space_keywords(F.col("name"), longer_than)
-    words = F.when(F.size(words) > 0, words).otherwise(F.array(F.lower("name")))
-    exploded = topics.select("ord", F.explode(words).alias("keyword"))
+    named = topics.select("ord", F.when(F.size(words) > 0, words).otherwise(F.array(F.lower("name"))).alias("ks"))
+    keys = named.select("ord", F.explode("ks").alias("k")).distinct()
     lowered = chunks.select("id", F.lower("content").alias("lowered"))
-    return lowered.join(exploded, F.contains("lowered", "keyword")).select("ord", "id").distinct()
+    held = lowered.select("id", F.explode(F.array_distinct(F.split("lowered", r"(?U)\s+"))).alias("t")).where(F.length("t") >= GRAM)
+    usual = (F.length("k") >= GRAM) & ~F.rlike("k", F.lit(r"(?U)\s"))
+    pairs = _containing(held.select("t").distinct(), keys.where(usual).select("k").distinct())
+    found = held.join(pairs, "t").select("id", "k").distinct().join(keys, "k").select("ord", "id")
+    odd = lowered.join(keys.where(~usual), F.contains("lowered", "k")).select("ord", "id")
+    return found.unionByName(odd).distinct()
 
 
 def chunks_for_topics(topics: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -91,11 +115,10 @@ def chapter_topics(chapters: DataFrame, topics: DataFrame) -> DataFrame:
     """Chapters (idx, title, sections) with the topics that share two words, or one if a topic has three at most."""
     mine = T.space_keywords(F.concat_ws(" ", "title", F.concat_ws(" ", "sections")))
     theirs = T.space_keywords(F.concat_ws(" ", "name", "description"))
-    pairs = chapters.select("idx", mine.alias("_wc")).crossJoin(topics.select("ord", theirs.alias("_wt")))
-    common = F.size(F.array_intersect("_wc", "_wt"))
-    return pairs.withColumn("common", common).where(
-        (F.col("common") >= 2) | ((F.col("common") >= 1) & (F.size("_wt") <= 3))
-    ).select("idx", "ord", "common")
+    left = chapters.select("idx", F.explode(mine).alias("w"))
+    right = topics.select("ord", theirs.alias("ws")).select("ord", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    common = left.join(right, "w").groupBy("idx", "ord").agg(F.count("*").alias("common"), F.first("n").alias("n"))
+    return common.where((F.col("common") >= 2) | (F.col("n") <= 3)).select("idx", "ord", "common")
 
 
 def covered_syllabus(topics: DataFrame, entries: DataFrame, chunks: DataFrame) -> DataFrame:

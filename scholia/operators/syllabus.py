@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import unicode as U
+from . import outline
 
 #: Words that open a chapter line.
 CHAPTER_WORDS = (
@@ -109,21 +110,22 @@ def render_toc(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("toc"))
 
 
-def claim_topics(chapters: DataFrame, topics: DataFrame, least: float = 0.3) -> DataFrame:
-    """Each chapter in turn claims its best free topic (idx, ord): equal names, containment, or
-    two common words at least.  A fold over one array of the outline's candidates."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: F.length(w) >= 3))
-    pairs = chapters.select("idx", F.col("title").alias("_a"), words(F.col("title")).alias("_wa")).crossJoin(
-        topics.select("ord", F.col("name").alias("_b"), words(F.col("name")).alias("_wb")))
-    x, y = F.lower("_a"), F.lower("_b")
-    within = F.when(F.contains(x, y) | F.contains(y, x), F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))).otherwise(0.0)
-    common = F.size(F.array_intersect("_wa", "_wb"))
-    shared = F.when(common >= 2, common / F.greatest(F.size("_wa"), F.size("_wb"))).otherwise(0.0)
-    scored = pairs.withColumn("score", F.when(x == y, F.lit(2.0)).otherwise(F.greatest(within, shared))).where(F.col("score") >= least)
-    ranked = scored.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "ord"))).alias("c"))
-    whole = ranked.agg(F.sort_array(F.collect_list(F.struct("idx", "c"))).alias("all"))
-    start = F.array().cast("array<struct<idx:int,ord:int>>")
-    claims = F.aggregate(F.col("all"), start, lambda taken, ch: F.concat(taken, F.slice(F.transform(
-        F.filter(ch["c"], lambda k: ~F.exists(taken, lambda t: t["ord"] == k["ord"])),
-        lambda k: F.struct(ch["idx"].cast("int").alias("idx"), k["ord"].cast("int").alias("ord"))), 1, 1)))
-    return whole.select(F.explode(claims).alias("k")).select("k.idx", "k.ord")
+def claim_topics(chapters: DataFrame, topics: DataFrame) -> DataFrame:
+    """Each chapter (idx, title) in turn claims its best free topic (ord, name): rows (idx, ord).
+
+    A manual's chapters and topics are short lists, so one group chooses; `outline` holds the score.
+    """
+
+    def claim(left: pa.Table, right: pa.Table) -> pa.Table:
+        tp = sorted(right.to_pylist(), key=lambda r: r["ord"])
+        names, taken, rows = [t["name"] or "" for t in tp], set(), []
+        for c in sorted(left.to_pylist(), key=lambda r: r["idx"]):
+            i = outline.best_topic(c["title"] or "", names, taken)
+            if i is not None:
+                taken.add(i)
+                rows.append((c["idx"], tp[i]["ord"]))
+        return pa.table([pa.array([r[k] for r in rows], pa.int32()) for k in (0, 1)], names=["idx", "ord"])
+
+    one = F.lit(0).alias("manual")
+    left = chapters.select(one, F.col("idx").cast("int").alias("idx"), "title").groupBy("manual")
+    return left.cogroup(topics.select(one, F.col("ord").cast("int").alias("ord"), "name").groupBy("manual")).applyInArrow(claim, "idx int, ord int")

@@ -1,18 +1,19 @@
-"""DuckDB SQL of the registered queries that SQL can express."""
+"""DuckDB SQL of the registered queries that SQL can express.
 
-from __future__ import annotations
+The values that define a result are written out here, apart from the engine's, so that a
+wrong one on either side shows.
+"""
 
-from .functions.text import PDF_MARKERS
-from .operators.markdown import ENGLISH
-from .schemas import SUFFIXES, SYLLABUS_WORDS
+from __future__ import annotations
 
 _HASH = "sha256(text)"
 _TOPICS = (
-    "topics AS (SELECT item_id AS ord, array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) > 3)[1:2], ' ') AS name FROM benchmark)"
+    "topics AS (SELECT item_id AS ord, text AS name FROM benchmark)"
 )
 _CHUNKS = (
     "chunks AS (SELECT conv_id::VARCHAR || '/' || turn::VARCHAR AS id, conv_id::VARCHAR AS document_id, text AS content FROM conversations)"
 )
+_DOCUMENT_CHUNKS = "chunks AS (SELECT doc_id::VARCHAR || '/0' AS id, doc_id::VARCHAR AS document_id, text AS content FROM documents)"
 _KEYWORD = (
     "kw0 AS (SELECT ord, name, list_distinct(list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda w: length(w) > 3)) AS ws FROM topics), "
     "kw AS (SELECT ord, unnest(CASE WHEN len(ws) > 0 THEN ws ELSE [lower(name)] END) AS k FROM kw0), "
@@ -21,10 +22,53 @@ _KEYWORD = (
 _KEYS = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 3))"
 _ENTRY = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: length(w) >= 2))"
 _WORDS3 = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: length(w) > 3))"
-_SUFFIX = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SUFFIXES.items())
-_NAMED = " OR ".join(f"contains(stem, '{w}')" for w in SYLLABUS_WORDS)
-_GARBAGE = " + ".join(f"contains(html, '{m}')::INT" for m in PDF_MARKERS)
-_ENGLISH = ", ".join(f"'{w}'" for w in dict.fromkeys(ENGLISH))
+_SUFFIX = (
+    "WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'doc' THEN 'docx' WHEN 'pptx' THEN 'pptx' WHEN 'ppt' THEN 'pptx' WHEN 'txt' THEN 'txt' "
+    "WHEN 'md' THEN 'markdown' WHEN 'markdown' THEN 'markdown' WHEN 'png' THEN 'image' WHEN 'jpg' THEN 'image' WHEN 'jpeg' THEN 'image' "
+    "WHEN 'gif' THEN 'image' WHEN 'bmp' THEN 'image' WHEN 'tiff' THEN 'image' WHEN 'tif' THEN 'image' WHEN 'webp' THEN 'image' WHEN 'svg' THEN 'image'"
+)
+_NAMED = (
+    "contains(stem, 'syllabus') OR contains(stem, 'programma') OR contains(stem, 'program') OR contains(stem, 'course outline') "
+    "OR contains(stem, 'piano di studi')"
+)
+_GARBAGE = (
+    r"regexp_matches(html, '(?i)\bstartxref\b')::INT + contains(upper(html), '%%EOF')::INT + regexp_matches(html, '(?i)\b\d+\s+\d+\s+obj\b')::INT "
+    r"+ regexp_matches(html, '(?i)\bendobj\b')::INT + regexp_matches(html, '(?i)\bstream\b')::INT + regexp_matches(html, '(?i)\bendstream\b')::INT "
+    r"+ regexp_matches(html, '(?i)\bxref\b')::INT + regexp_matches(html, '(?i)\btrailer\b')::INT + regexp_matches(html, '(?i)/Type\s*/\w+')::INT"
+)
+_ENGLISH = (
+    "'the','is','at','which','on','a','an','and','or','but','in','with','to','for','of','not','no','can','had','has','have','are','was','were','be',"
+    "'been','will','would','could','should','may','might','this','that','these','those','it','its','from','by','as','if','than','then','so','do','did',"
+    "'does','each','when','where','how','what','who','whom','there','their','they','them','we','our','he','she','his','her','my','your','all','any',"
+    "'both','few','more','most','other','some','such','only','own','same','too','very','just','because','about','between','through','during','before',"
+    "'after','above','below','up','down','out','off','over','under','again','further','here','once','also','into','using','used','use','based','see',"
+    "'example','note','figure','table','chapter','section','page','many','areas','concept','concepts','important','material','described','called',"
+    "'known','considered','particular','general','specific','different','given','well','two','three','first','second','new','one','like','even',"
+    "'still','however','while','since','until','although','though','whether','without','within','along','across','behind','beneath','beside','beyond',"
+    "'toward','upon','among','around','towards','including','related','form'"
+)
+_PDF_LINE = " OR ".join(f"regexp_matches(x, '{p}')" for p in (
+    r"(?i)startxref", r"%%EOF", r"\d+\s+\d+\s+obj\b", r"\bendobj\b", r"(?i)^stream$", r"(?i)^endstream$", r"(?i)^xref$", r"(?i)\btrailer\b",
+    r"<<\s*/Type\s*/\w+", r"/Subtype\s*/\w+", r"/Filter\s*/\w+", r"/Width\s+\d+", r"/Height\s+\d+", r"/Length\s+\d+", r"/Root\s+\d+\s+\d+\s+R",
+    r"/Info\s+\d+\s+\d+\s+R", r"/Type\s*/Page\b", r"/Type\s*/Catalog\b", r"/Type\s*/Font\b", r"/Type\s*/XObject\b", r"^\d+\s+\d+\s+\w+$"))
+_CLEAN = (
+    "regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace({0}, "
+    "'[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '[^\\S\\n]+', ' ', 'g'), chr(10)), lambda x: trim(x)), "
+    "lambda x: x = '' OR NOT (" + _PDF_LINE.replace("{", "{{").replace("}", "}}") + ")), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+)
+_WORDS = "list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> '')"
+_NTOPICS = (
+    "t AS (SELECT n_nationkey AS ord, n_name AS name, 'About ' || n_name AS description, n_regionkey, n_nationkey % 4 AS subtopic_count, "
+    "CASE WHEN n_nationkey % 3 > 0 THEN 100 - n_nationkey END AS syllabus_position, n_nationkey % 5 = 0 AS missing_from_notes, "
+    "n_nationkey % 7 = 0 AS extra_in_notes FROM nation)"
+)
+_STATE = (
+    "s AS (SELECT sha256(text) AS content_hash, source || '/' || (doc_id % 50) AS source_path, CASE WHEN doc_id % 4 > 0 THEN lang END AS model, "
+    "CASE WHEN doc_id % 3 > 0 THEN doc_id::VARCHAR END AS topics_json, doc_id AS updated_at FROM documents)"
+)
+_EXISTING = (
+    "e AS (SELECT DISTINCT o_custkey::INT - 1 AS idx FROM orders WHERE o_orderkey % 5 NOT IN (0, 1) AND o_custkey BETWEEN 1 AND 100)"
+)
 
 SQL = {
     "dedup_exact": f"""
@@ -38,7 +82,7 @@ SQL = {
                  row_number() OVER (PARTITION BY {_HASH} ORDER BY length(text) DESC, length(source) DESC, doc_id) AS n FROM documents)
         WHERE n = 1 GROUP BY lang""",
     "dedup_near_pairs_bound": """
-        SELECT a.item_id AS a, b.item_id AS b FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id
+        SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.doc_id < b.doc_id
         WHERE 2 * least(length(a.text), length(b.text)) >= 0.92::DOUBLE * (length(a.text) + length(b.text))""",
     "pdf_garbage_flag": f"SELECT page_id, ({_GARBAGE}) >= 3 AS garbage FROM pages",
     "doc_type_syllabus": f"""
@@ -57,6 +101,13 @@ SQL = {
               UNION SELECT ord, id, 2 FROM topics JOIN chunks ON ord % 3 = 1 AND document_id = ord::VARCHAR
               UNION SELECT ord, id, 3 FROM byword)
         SELECT ord, id, tier FROM (SELECT *, min(tier) OVER (PARTITION BY ord) AS first FROM t) WHERE tier = first""",
+    "tiered_chunks_documents": f"""
+        WITH {_TOPICS}, {_DOCUMENT_CHUNKS}, {_KEYWORD},
+        t AS (SELECT ord, id, 1 AS tier FROM topics JOIN chunks ON ord % 3 = 0 AND id = ord::VARCHAR || '/0'
+              UNION SELECT ord, id, 2 FROM topics JOIN chunks ON ord % 3 = 1 AND document_id = ord::VARCHAR
+              UNION SELECT ord, id, 3 FROM byword)
+        SELECT ord, id, tier FROM (SELECT *, min(tier) OVER (PARTITION BY ord) AS first FROM t) WHERE tier = first""",
+    "keyword_chunks_documents": f"WITH {_TOPICS}, {_DOCUMENT_CHUNKS}, {_KEYWORD} SELECT ord, id FROM byword",
     "best_match_entry": f"""
         WITH t AS (SELECT n_nationkey::BIGINT AS ord, n_name || ' region' AS a FROM nation),
         e AS (SELECT r_regionkey::BIGINT AS idx, 'region ' || r_name AS b FROM region),
@@ -85,7 +136,7 @@ SQL = {
         WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents)
         SELECT doc_id, CASE WHEN len(ws) = 0 THEN -1 ELSE len(list_filter(ws, lambda x: x IN ({_ENGLISH})))::DOUBLE / len(ws) END AS ratio FROM w""",
     "sentence_overlap_dups": """
-        WITH s AS (SELECT item_id AS k, list_distinct(regexp_extract_all(text, '[A-Z][^.!?]*[.!?]')) AS ss FROM benchmark),
+        WITH s AS (SELECT doc_id AS k, list_distinct(regexp_extract_all(text, '[A-Z][^.!?]*[.!?]')) AS ss FROM documents),
         r AS (SELECT k, len(ss) AS n, unnest(ss) AS t FROM s),
         p AS (SELECT x.k AS a, y.k AS b, count(*) AS n_shared, min(x.n) AS na, min(y.n) AS nb FROM r x JOIN r y ON x.t = y.t AND x.k < y.k GROUP BY 1, 2)
         SELECT a, b, n_shared, n_shared::DOUBLE / least(na, nb) AS share FROM p WHERE n_shared::DOUBLE / least(na, nb) >= 0.1""",
@@ -128,16 +179,121 @@ SQL = {
                           regexp_replace(regexp_replace(regexp_replace(lower(n_name), '[^a-z0-9\s-]', '', 'g'), '[\s-]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM nation)
         SELECT n_regionkey, string_agg(repeat('  ', level - 1) || '- [' || n_name || '](#' || s || ')', chr(10) ORDER BY n_nationkey) AS toc FROM n GROUP BY n_regionkey""",
     "sources_block": """
-        WITH f AS (SELECT o_custkey AS id, min(o_orderkey) AS first FROM orders WHERE o_orderkey < 400 GROUP BY o_custkey),
+        WITH f AS (SELECT o_custkey AS id, min(o_orderkey) AS first FROM orders GROUP BY o_custkey),
         j AS (SELECT row_number() OVER (ORDER BY first) AS n, c_name, c_mktsegment FROM f JOIN customer ON c_custkey = id WHERE c_custkey % 10 <> 0)
         SELECT coalesce(string_agg(n || '. ' || c_name || ' — `' || c_mktsegment || '`', chr(10) ORDER BY n), '') AS sources FROM j""",
-    "json_props": "SELECT event_id, coalesce(json_valid(props), false) AS valid FROM events",
+    "json_props": r"SELECT event_id, CASE WHEN json_valid(props) THEN '\sum q' END AS tex FROM events",
     "image_refs_antijoin": """
         SELECT DISTINCT t AS target FROM (SELECT unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS t FROM pages)
         WHERE t NOT IN (SELECT unnest(string_split(text, ' ')) FROM benchmark)""",
-    "plain_text_metrics": f"""
-        SELECT conv_id, turn, len({_KEYS.format('text')})::BIGINT AS n_keywords,
-               len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x, E' \\t\\r'), '^$|^#{{1,6}}\\s|^-{{3,}}$|^>|^\\[Chunk |^\\[\\.\\.\\.\\]$')))::BIGINT AS n_body
-        FROM conversations""",
+    "plain_text_metrics": rf"""
+        WITH m AS (SELECT conv_id, turn, text, '# Turn' || chr(10) || '- ![i](x.png) **' || role || '** [link](http://u)' || chr(10) || chr(10) || text AS md FROM conversations),
+        a AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'),
+                     '(?m)^#{{1,6}}\s+', '', 'g'), '[*_`~]+', '', 'g') AS p FROM m),
+        b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '(?m)^\s*[-*+]\s+', '', 'g'), '(?m)^\s*\d+\.\s+', '', 'g'),
+                     '(?m)^-{{3,}}\s*$', '', 'g'), '^\s+|\s+$', '', 'g') AS q FROM a)
+        SELECT conv_id, turn, len({_KEYS.format('q')})::BIGINT AS n_keywords, md5(q) AS plain_md5,
+               len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x, E' \t\r'), '^$|^#{{1,6}}\s|^-{{3,}}$|^>|^\[Chunk |^\[\.\.\.\]$')))::BIGINT AS n_body
+        FROM b""",
+    "pdf_structure_lines": r"""
+        WITH d AS (SELECT doc_id, ' a 1 0 obj' || chr(10) || '<< /Type /Page >> x' || chr(10) || 'keep stream words' || chr(10) || 'stream' || chr(10) || '12 34 word' || chr(10)
+                          || 'not 12 34 word' || chr(10) || 'TRAILER end' || chr(10) || '/Width 5' || chr(10) || '/Widths 5' || chr(10) || regexp_replace(text, '[^\x20-\x7e\n]', '', 'g') AS t FROM documents)
+        SELECT doc_id, md5(""" + _CLEAN.format("t") + r""") AS clean_md5 FROM d""",
+    "normalize_metrics": r"""
+        WITH c AS (SELECT doc_id, """ + _CLEAN.format("nfc_normalize(text)") + r""" AS c FROM documents)
+        SELECT doc_id, length(c)::BIGINT AS char_count, len(""" + _WORDS.format("c") + r""")::BIGINT AS word_count,
+               CASE WHEN c = '' THEN 0 ELSE len(string_split(c, chr(10))) END::BIGINT AS line_count, greatest(1, length(c) // 4)::BIGINT AS token_count FROM c""",
+    "topic_focus": """
+        WITH d AS (SELECT doc_id, (contains(lower(text), 'software')::INT + contains(lower(text), 'license')::INT + contains(lower(text), 'permission')::INT
+                                   + contains(lower(text), 'notice')::INT) / 4.0::DOUBLE AS share FROM documents)
+        SELECT doc_id, share, share < 0.02 AS rare FROM d""",
+    "heading_alignment": """
+        SELECT DISTINCT p_type AS title, '# ' || p_type || chr(10) || '## ' || p_type || chr(10) || '## Polished steel' || chr(10) || '## Notes' || chr(10) || '## Brushed copper' || chr(10) || 'text' AS md
+        FROM part""",
+    "decorative_headings": """
+        SELECT r_regionkey, heading, decorative FROM region, (VALUES ('Notes', true), ('References & Resources', true), ('Appendix', true), ('Recap', true), ('Indice', true),
+          ('Notes on networks', false), ('12', true), ('ℹ More', true), ('Key tips', false)) v(heading, decorative)""",
+    "claimed_topics": "SELECT (row_number() OVER (ORDER BY t) - 1)::INT AS idx, (row_number() OVER (ORDER BY t) - 1)::INT AS ord FROM (SELECT DISTINCT p_type AS t FROM part)",
+    "outline_chapters": "SELECT r_regionkey AS idx, upper(r_name[1]) || lower(r_name[2:]) AS title, (SELECT string_agg(n_nationkey, ',' ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) AS topics FROM region",
+    "uncovered_topics": "SELECT n_nationkey AS ord, n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT length(n_name) FROM nation WHERE n_regionkey < 3)",
+    "closest_topics": """
+        WITH c AS (SELECT min(p_partkey) AS idx, unnest(list_distinct(list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'), lambda w: length(w) > 3))) AS w FROM part GROUP BY p_type),
+        t AS (SELECT min(p_partkey) AS ord, unnest(list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: length(w) > 3))) AS w FROM part GROUP BY p_name),
+        n AS (SELECT idx, ord, count(*) AS common FROM c JOIN t USING (w) GROUP BY ALL)
+        SELECT idx, ord, common FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY common DESC, ord) AS k FROM n) WHERE k = 1""",
+    "outline_warnings": """
+        SELECT 'cut' AS outline, 'missing' AS kind, n_nationkey AS ord, n_name AS name FROM nation WHERE n_regionkey = 2 AND n_nationkey % 5 <> 0
+        UNION ALL SELECT * FROM (SELECT 'whole', 'order', n_nationkey, n_name FROM (SELECT *, lag(n_regionkey) OVER (ORDER BY n_nationkey) AS b FROM nation)
+                                 WHERE n_regionkey < b ORDER BY n_nationkey LIMIT 1)""",
+    "topic_order": f"WITH {_NTOPICS} SELECT name, row_number() OVER (ORDER BY extra_in_notes, coalesce(syllabus_position, 999), ord) - 1 AS place FROM t",
+    "topics_block": f"""
+        WITH {_NTOPICS}, n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY ord) AS k FROM t)
+        SELECT n_regionkey, string_agg(k || '. ' || name || chr(10) || '   Description: ' || description
+               || CASE WHEN subtopic_count > 0 THEN chr(10) || '   Subtopics: ' || subtopic_count ELSE '' END, chr(10) ORDER BY k) AS topics FROM n GROUP BY n_regionkey""",
+    "chunk_ids_by_name": "SELECT event_type || (user_id % 10) AS name, arg_max(user_id::VARCHAR, event_id) AS chunk_id FROM events WHERE event_id % 3 <> 0 GROUP BY 1",
+    "focus_subtopics": "SELECT 'software' AS name, count(*) AS subtopic_count FROM documents WHERE contains(lower(text), 'software')",
+    "topic_coverage": f"WITH {_NTOPICS} SELECT bool_or(syllabus_position IS NOT NULL) AS has_syllabus, bool_or(extra_in_notes) AS has_extras, count(*) FILTER (missing_from_notes) AS n_missing FROM t",
+    "chapter_selection": "SELECT r_regionkey AS idx, upper(r_name[1]) || lower(r_name[2:]) AS title FROM region WHERE r_regionkey IN (1, 3)",
+    "record_violations": """
+        SELECT * FROM (SELECT s_suppkey, concat_ws('; ', CASE WHEN s_suppkey % 6 = 0 THEN 'name is required' END, CASE WHEN floor(s_acctbal) < 0 THEN 'width must be >= 0' END) AS errors FROM supplier)
+        WHERE errors <> ''""",
+    "normalized_documents": r"""
+        WITH c AS (SELECT page_id AS id, CASE WHEN page_id % 9 > 0 THEN """ + _CLEAN.format(r"regexp_replace(url, '/', ' ' || chr(9) || ' /', 'g')") + r""" END AS c FROM pages)
+        SELECT id, coalesce(length(c), -1)::BIGINT AS char_count, coalesce(len(""" + _WORDS.format("c") + r"""), -1)::BIGINT AS word_count, coalesce(len(string_split(c, chr(10))), -1)::BIGINT AS line_count FROM c""",
+    "inventory_json": """
+        SELECT 'output/inventory.json' AS path, '{"syllabus_detected":true,"syllabus_document_id":"3","documents":[' || string_agg('{"id":"' || n_nationkey || '","title":"' || n_name || '","source_path":"'
+               || lower(n_name) || '","file_type":"pdf"}', ',' ORDER BY n_nationkey) || ']}' AS content FROM nation""",
+    "topics_json": f"""
+        WITH {_NTOPICS} SELECT 'output/topics.json' AS path, '{{"topics":[' || string_agg('{{"name":"' || name || '","description":"' || description || '","related_documents":["' || n_regionkey
+               || '"],"order_source":"syllabus","syllabus_position":' || coalesce(syllabus_position::VARCHAR, 'null') || ',"subtopic_count":' || subtopic_count || ',"missing_from_notes":' || missing_from_notes
+               || ',"extra_in_notes":' || extra_in_notes || ',"order":' || ord || '}}', ',' ORDER BY ord) || ']}}' AS content FROM t""",
+    "outline_md": r"""
+        WITH e AS (SELECT r_regionkey AS idx, '' AS s, upper(r_name[1]) || lower(r_name[2:]) AS title, 1 AS level FROM region UNION ALL SELECT n_regionkey, n_name, n_name, 2 FROM nation),
+        l AS (SELECT *, CASE WHEN level = 2 THEN '  ' ELSE '' END || '- [' || title || '](#' || replace(regexp_replace(lower(title), '[^a-z0-9\s-]', '', 'g'), ' ', '-') || ')' || chr(10) AS line FROM e)
+        SELECT 'output/outline.md' AS path, string_agg(line, '' ORDER BY idx, s) AS content FROM l""",
+    "index_checklist": """
+        WITH c AS (SELECT r_regionkey AS idx, '- [' || CASE WHEN r_regionkey % 2 = 0 THEN 'X' ELSE ' ' END || '] ' || (r_regionkey + 1) || '. ' || upper(r_name[1]) || lower(r_name[2:]) || chr(10)
+                          || (SELECT string_agg('    - ' || n_name, chr(10) ORDER BY n_name) FROM nation WHERE n_regionkey = r_regionkey) AS part FROM region)
+        SELECT 'output/indice.md' AS path, '# Indice del Manuale' || chr(10) || chr(10) || 'Capitoli generati sono contrassegnati con [X].' || chr(10) || chr(10) || string_agg(part, chr(10) ORDER BY idx) || chr(10) AS content FROM c""",
+    "chapter_files": r"""
+        SELECT 'output/chapters/cap_' || c_custkey || '_' || regexp_replace(regexp_replace(lower(c_name || ' - ' || c_mktsegment), '[^a-z0-9\s-]', '', 'g'), '[\s-]+', '-', 'g') || '.md' AS path,
+               c_mktsegment AS content FROM customer""",
+    "existing_chapters": f"WITH {_EXISTING} SELECT idx FROM e",
+    "chapters_to_generate": f"WITH {_EXISTING} SELECT c_custkey::INT AS idx FROM customer WHERE c_custkey NOT IN (SELECT idx FROM e)",
+    "validation_json": """
+        SELECT 'output/validation.json' AS path, '{"overall":"warning","checks":[' || string_agg('{"check":"' || n_name || '","status":"' || CASE WHEN n_nationkey % 6 = 5 THEN 'warning","errors":["' || n_name || '"]}'
+               ELSE 'pass","errors":[]}' END, ',' ORDER BY n_nationkey) || '],"summary":{"total_checks":' || count(*) || ',"passed":' || count(*) FILTER (n_nationkey % 6 <> 5) || ',"warnings":'
+               || count(*) FILTER (n_nationkey % 6 = 5) || ',"failed":0}}' AS content FROM nation""",
+    "scan_counters": f"""
+        WITH p AS (SELECT page_id, CASE regexp_extract(lower(regexp_replace(url, '[?#].*$', '')), '\\.([^./]+)$', 1) {_SUFFIX} ELSE 'unknown' END AS k FROM pages),
+        j AS (SELECT k, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 7 = 0 THEN 'modified' ELSE 'unchanged' END AS c FROM p JOIN documents ON doc_id = page_id)
+        SELECT count(*) AS n_found, count(*) FILTER (k = 'unknown') AS n_skipped, count(*) FILTER (c = 'new') AS n_new, count(*) FILTER (c = 'modified') AS n_modified,
+               count(*) FILTER (c = 'unchanged') AS n_unchanged FROM j""",
+    "syllabus_probe": "SELECT min(lower(n_name)) || ' syllabus.pdf' AS name FROM nation WHERE n_nationkey % 4 <> 0",
+    "ocr_images": "SELECT n_nationkey, n_regionkey IN (0, 1, 4) AS readable FROM nation",
+    "encoded_images": "SELECT conv_id, turn, base64(encode(text)) AS encoded FROM conversations",
+    "depth_budget": """
+        WITH d AS (SELECT n_nationkey, n_name, greatest(1, least(10, n_nationkey - 4)) AS d FROM nation),
+        t AS (SELECT *, ([8192, 10240, 14336, 18432, 22528, 28672, 36864, 45056, 53248, 65536])[d] AS tokens FROM d)
+        SELECT n_nationkey, tokens, (d + 1) // 2 AS band, greatest(8192, least(131072, length(n_name) * 4000 // 4 + tokens + 4096))::BIGINT AS context FROM t""",
+    "invalidated_state": f"WITH {_STATE} SELECT count(*) FILTER (source_path IS NOT DISTINCT FROM 'src0/7') AS n_gone, count(*) FILTER (source_path IS DISTINCT FROM 'src0/7') AS n_left FROM s",
+    "previous_models": f"WITH {_STATE} SELECT DISTINCT model FROM s WHERE model IS NOT NULL",
+    "latest_topics": f"WITH {_STATE} SELECT arg_max(topics_json, updated_at) AS topics_json FROM s WHERE topics_json IS NOT NULL",
+    "topics_update": f"WITH {_STATE} SELECT model, '[]' AS topics_json, count(*) AS n FROM s GROUP BY model",
+    "state_lookup": "SELECT 'h' || c_custkey AS content_hash, c_name FROM customer WHERE c_custkey = 77",
+    "document_deletion": "SELECT lang, count(*) AS n FROM documents WHERE doc_id IS DISTINCT FROM 17 GROUP BY lang",
+    "cache_without_model": "SELECT role AS model, count(*) AS n FROM conversations WHERE role <> 'user' GROUP BY role",
+    "cache_upsert": """
+        WITH r AS (SELECT conv_id, role, min(turn) AS a, max(turn) AS b, arg_min(text, turn) AS p FROM conversations GROUP BY ALL),
+        u AS (SELECT *, CASE WHEN b % 2 = 0 THEN b ELSE a END AS t FROM r)
+        SELECT conv_id || '/' || role AS key, 'old ' || p[1:20] AS prompt_preview, t::VARCHAR AS response, role AS model, t AS created_at FROM u""",
+    "reused_chunks": "SELECT conv_id::VARCHAR AS content_hash, turn::INT AS position, md5(text) AS content_md5, (conv_id % 2)::INT AS fresh FROM conversations",
+    "topic_images": "SELECT n_nationkey AS ord, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_regionkey GROUP BY n_nationkey",
+    "meaningful_content": r"""
+        SELECT conv_id, turn, 1 + len(list_filter(string_split(regexp_replace(text, '\. ', '.' || chr(10), 'g'), chr(10)),
+               lambda x: NOT regexp_matches(trim(x, E' \t\r'), '^$|^#{1,6}\s|^-{3,}$|^>|^\[Chunk '))) >= 3 AS meaningful FROM conversations""",
+    "invalid_names": "SELECT n_nationkey, n_nationkey % 10 NOT IN (7, 9) AS invalid FROM nation",
+    "token_estimate": "SELECT doc_id, greatest(1, length(text) // 4)::BIGINT AS n_tokens FROM documents",
+    "chunk_positions": "SELECT conv_id || '/' || turn AS document_id, 1::BIGINT AS n_chunks, 0::BIGINT AS last FROM conversations",
     "latest_document": "SELECT source, max(doc_id) AS doc_id, arg_max(lang, doc_id) AS lang FROM documents GROUP BY source",
 }

@@ -9,9 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import assemble, dedup, markdown, matching, syllabus
+from .functions import llm_json as J
+from .functions import unicode as U
+from .operators import assemble, chapters, chunking, dedup, headings, markdown, matching, outline, syllabus
 from .plans.study import flagship
-from .sources import state
+from .sources import output, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,23 +33,11 @@ def dedup_by_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dedup_near_pairs_bound(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "benchmark").select("item_id", F.length("text").alias("n"))
-    return dedup.length_bound_pairs(docs, "n", "item_id", 0.92).select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"))
-
-
-def dedup_near(spark: SparkSession, sf: str) -> DataFrame:
-    from .plans.storage import Store
-
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("ord"), "text", F.lit("item").alias("path"))
-    return dedup.deduplicate(items, "text", "path", "ord", Store(spark)).select("ord", F.length("text").cast("long").alias("n_chars"))
-
-
-def dedup_near_pairs_bound_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.length("text").alias("n"))
     return dedup.length_bound_pairs(docs, "n", "doc_id", 0.92).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
 
 
-def dedup_near_documents(spark: SparkSession, sf: str) -> DataFrame:
+def dedup_near(spark: SparkSession, sf: str) -> DataFrame:
     from .plans.storage import Store
 
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text", F.col("source").alias("path"))
@@ -55,7 +45,7 @@ def dedup_near_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def normalize_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", T.normalize_lines(F.col("text")).alias("clean"))
+    docs = table(spark, sf, "documents").select("doc_id", U.normalize_text(F.col("text")).alias("clean"))
     return docs.select(
         "doc_id", F.length("clean").cast("long").alias("char_count"), T.n_words(F.col("clean")).alias("word_count"),
         T.n_lines(F.col("clean")).alias("line_count"), T.token_count(F.col("clean")).alias("token_count"))
@@ -80,12 +70,6 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _topics(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "benchmark")
-    words = F.slice(F.filter(F.split("text", " "), lambda w: F.length(w) > 3), 1, 2)
-    return items.select(F.col("item_id").alias("ord"), F.array_join(words, " ").alias("name"))
-
-
-def _whole_topics(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("ord"), F.col("text").alias("name"))
 
 
@@ -104,12 +88,8 @@ def _document_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.concat(name, F.lit("/0")).alias("id"), name.alias("document_id"), F.col("text").alias("content"))
 
 
-def keyword_chunks_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.chunks_by_keyword(_whole_topics(spark, sf), _chunks(spark, sf))
-
-
 def keyword_chunks_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.chunks_by_keyword(_whole_topics(spark, sf), _document_chunks(spark, sf))
+    return matching.chunks_by_keyword(_topics(spark, sf), _document_chunks(spark, sf))
 
 
 def _tiered(topics: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -124,12 +104,8 @@ def tiered_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return _tiered(_topics(spark, sf), _chunks(spark, sf))
 
 
-def tiered_chunks_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _tiered(_whole_topics(spark, sf), _chunks(spark, sf))
-
-
 def tiered_chunks_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return _tiered(_whole_topics(spark, sf), _document_chunks(spark, sf))
+    return _tiered(_topics(spark, sf), _document_chunks(spark, sf))
 
 
 def best_match_entry(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,10 +133,6 @@ def image_rank_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked_images(spark, sf, _topics(spark, sf))
 
 
-def image_rank_topk_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked_images(spark, sf, _whole_topics(spark, sf))
-
-
 def first_wins_distinct(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").withColumn("ord", F.col("conv_id") * 10000 + F.col("turn"))
     return dedup.first_wins(turns, [F.lower(F.trim("text"))], "ord").select("conv_id", "turn", "role")
@@ -177,10 +149,6 @@ def language_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentence_overlap_dups(spark: SparkSession, sf: str) -> DataFrame:
-    return markdown.sentence_overlaps(table(spark, sf, "benchmark"), "item_id", "text", 0.1)
-
-
-def sentence_overlap_dups_documents(spark: SparkSession, sf: str) -> DataFrame:
     return markdown.sentence_overlaps(table(spark, sf, "documents"), "doc_id", "text", 0.1)
 
 
@@ -258,34 +226,304 @@ def _sources_block(spark: SparkSession, sf: str, orders: DataFrame) -> DataFrame
 
 
 def sources_block(spark: SparkSession, sf: str) -> DataFrame:
-    """The first orders only, as its SQL has it; `sources_block_all` has them all."""
-    return _sources_block(spark, sf, table(spark, sf, "orders").where("o_orderkey < 400"))
-
-
-def sources_block_all(spark: SparkSession, sf: str) -> DataFrame:
     return _sources_block(spark, sf, table(spark, sf, "orders"))
 
 
 def json_props(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", F.try_parse_json("props").isNotNull().alias("valid"))
+    """Props as a model would answer them, in a fence and with escapes that JSON does not know."""
+    given = F.concat(F.lit("```json\n"), F.replace(F.col("props"), F.lit("{"), F.lit('{"tex": "\\\\sum \\q", ')), F.lit("\n```"))
+    read = J.parse_json(given, "struct<tex:string>")
+    return table(spark, sf, "events").select("event_id", read["tex"].alias("tex"))
 
 
 def image_refs_antijoin(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "pages")
-    links = pages.select(F.explode(F.regexp_extract_all("html", F.lit(r'href="/([^"]*)"'), F.lit(1))).alias("target")).distinct()
+    """Linked targets of pages as image references, against the words of the benchmark as files."""
+    pages = table(spark, sf, "pages").select(F.regexp_replace("html", r'href="/([^"]*)"', "![x]($1)").alias("md"))
     words = table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("target")).distinct()
-    return links.join(words, "target", "left_anti")
+    return markdown.image_references(pages, "md").join(words, "target", "left_anti")
 
 
 def plain_text_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "conversations").select("conv_id", "turn", T.keywords(F.col("text")).alias("k"), F.size(T.body_lines(F.col("text"))).cast("long").alias("n_body"))
-    return docs.select("conv_id", "turn", F.size("k").cast("long").alias("n_keywords"), "n_body")
+    md = F.concat(F.lit("# Turn\n- ![i](x.png) **"), "role", F.lit("** [link](http://u)\n\n"), "text")
+    plain = T.plain_text(md)
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.size(T.keywords(plain)).cast("long").alias("n_keywords"), F.size(T.body_lines(F.col("text"))).cast("long").alias("n_body"),
+        F.md5(plain).alias("plain_md5"))
 
 
 def latest_document(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("source", "doc_id", "lang")
-    n = F.row_number().over(W.partitionBy("source").orderBy(F.desc("doc_id")))
-    return docs.withColumn("n", n).where("n = 1").drop("n")
+    return state.upsert(docs, docs.limit(0), "source", "doc_id", created=None)
+
+
+def pdf_structure_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with PDF structure put between their lines, cleaned of it."""
+    marks = F.lit(" a 1 0 obj\n<< /Type /Page >> x\nkeep stream words\nstream\n12 34 word\nnot 12 34 word\nTRAILER end\n/Width 5\n/Widths 5\n")
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(marks, F.regexp_replace("text", "[^\\x20-\\x7e\n]", "")).alias("t"))
+    return docs.select("doc_id", F.md5(T.normalize_lines(F.col("t"))).alias("clean_md5"))
+
+
+FOCUS = "Software License: Permission of the Notice"
+
+
+def topic_focus(spark: SparkSession, sf: str) -> DataFrame:
+    share = markdown.focus_share(F.col("text"), FOCUS)
+    return table(spark, sf, "documents").select("doc_id", share.alias("share"), (share < markdown.FOCUS_RATIO).alias("rare"))
+
+
+def heading_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Chapters by type of part: headings that drift from the outline, put back."""
+    kinds = table(spark, sf, "part").select(F.col("p_type").alias("title")).distinct()
+    md = F.concat(F.lit("# x\n## "), "title", F.lit("\n## The Polished STEEL of it\n## Notes\n## Conclusion on brushed copper\ntext"))
+    sections = F.array(F.lit("Polished steel"), F.lit("Brushed copper"))
+    return kinds.select("title", headings.align_headings(md, F.col("title"), sections).alias("md"))
+
+
+def decorative_headings(spark: SparkSession, sf: str) -> DataFrame:
+    words = ["Notes", "References & Resources", "Appendix", "Recap", "Indice", "Notes on networks", "12", "ℹ More", "Key tips"]
+    rows = table(spark, sf, "region").select("r_regionkey", F.explode(F.array(*map(F.lit, words))).alias("heading"))
+    return rows.select("r_regionkey", "heading", headings.decorative("heading").alias("decorative"))
+
+
+def claimed_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds of parts as chapters that claim the coarser kinds, whose words they share."""
+    parts = table(spark, sf, "part")
+    mine = parts.select("p_type").distinct().select(F.concat("p_type", F.lit(" alloy and the chapter")).alias("title"))
+    chapters_ = mine.select((F.rank().over(W.orderBy("title")) - 1).alias("idx"), "title")
+    topics = chapters_.select(F.col("idx").alias("ord"), F.concat(F.lit("The "), F.regexp_replace("title", " and the chapter", ""), F.lit(" in use")).alias("name"))
+    return syllabus.claim_topics(chapters_, topics)
+
+
+def _nation_chapters(spark: SparkSession, sf: str) -> DataFrame:
+    regions = table(spark, sf, "region").select(F.col("r_regionkey").alias("idx"), F.concat(F.upper(F.substring("r_name", 1, 1)), F.lower(F.substring("r_name", 2, 99))).alias("title"))
+    names = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("sections"))
+    return regions.join(names, F.col("idx") == F.col("n_regionkey")).select("idx", "title", "sections")
+
+
+def _nation_topics(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    return table(spark, sf, "nation").select(
+        key.alias("ord"), F.col("n_name").alias("name"), F.concat(F.lit("About "), "n_name").alias("description"),
+        F.array(F.col("n_regionkey").cast("string")).alias("related_documents"), (key % 4).alias("subtopic_count"), F.lit("syllabus").alias("order_source"),
+        F.when(key % 3 > 0, 100 - key).alias("syllabus_position"), (key % 5 == 0).alias("missing_from_notes"), (key % 7 == 0).alias("extra_in_notes"))
+
+
+def outline_chapters(spark: SparkSession, sf: str) -> DataFrame:
+    one = F.lit("m").alias("manual")
+    found = outline.chapters_with_topics(_nation_chapters(spark, sf).select(one, "*"), _nation_topics(spark, sf).select(one, "*"))
+    return found.select("idx", "title", F.array_join(F.array_sort("topic_ords"), ",").alias("topics"))
+
+
+def uncovered_topics(spark: SparkSession, sf: str) -> DataFrame:
+    held = _nation_chapters(spark, sf).where("idx < 3").select(F.transform("sections", lambda s: F.length(s).cast("long")).alias("topic_ords"))
+    return outline.uncovered(_nation_topics(spark, sf), held).select("ord", "name")
+
+
+def closest_topics(spark: SparkSession, sf: str) -> DataFrame:
+    parts = table(spark, sf, "part").groupBy("p_type").agg(F.min("p_partkey").alias("idx")).select("idx", F.col("p_type").alias("title"))
+    topics = table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("ord")).select("ord", F.col("p_name").alias("name"))
+    return outline.closest_topics(parts, topics)
+
+
+def outline_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions as chapters over the nations' topics, without one of them and with all."""
+    topics, chapters_ = _nation_topics(spark, sf), _nation_chapters(spark, sf)
+    found = [outline.outline_warnings(c, topics).withColumn("outline", F.lit(n)) for n, c in (("cut", chapters_.where("idx <> 2")), ("whole", chapters_))]
+    return found[0].unionByName(found[1])
+
+
+def topic_order(spark: SparkSession, sf: str) -> DataFrame:
+    return outline.topic_order(_nation_topics(spark, sf)).select("name", F.col("place").cast("long").alias("place"))
+
+
+def topics_block(spark: SparkSession, sf: str) -> DataFrame:
+    regions = table(spark, sf, "nation").select("n_regionkey", F.col("n_nationkey").alias("ord"))
+    return outline.format_topics(_nation_topics(spark, sf).join(regions, "ord"), "n_regionkey")
+
+
+def chunk_ids_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    answers = table(spark, sf, "events").select(
+        F.col("event_id").alias("ord"), F.concat("event_type", (F.col("user_id") % 10).cast("string")).alias("name"),
+        F.when(F.col("event_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("user_id").cast("string"))).alias("chunk_ids"))
+    return outline.chunk_ids_by_name(answers).select("name", F.col("chunk_ids")[0].alias("chunk_id"))
+
+
+def focus_subtopics(spark: SparkSession, sf: str) -> DataFrame:
+    return outline.focus_topic("software", table(spark, sf, "documents").where(F.contains(F.lower("text"), F.lit("software")))).select("name", "subtopic_count")
+
+
+def topic_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return outline.coverage(_nation_topics(spark, sf))
+
+
+def chapter_selection(spark: SparkSession, sf: str) -> DataFrame:
+    picked = outline.selected_chapters("2, 4,x,4, 99,-1,0", 5)
+    return _nation_chapters(spark, sf).where(F.col("idx").isin(picked)).select("idx", "title")
+
+
+def record_violations(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 6 > 0, F.col("s_name")).alias("name"), F.floor("s_acctbal").alias("width"))
+    return outline.violations(rows, ["name"], {"width": 0}).select("s_suppkey", F.array_join("errors", "; ").alias("errors"))
+
+
+def normalized_documents(spark: SparkSession, sf: str) -> DataFrame:
+    raws = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 9 > 0, F.regexp_replace("url", "/", " \t /")).alias("content"))
+    good, bad = outline.normalized_documents(raws)
+    return good.select("id", "char_count", "word_count", "line_count").unionByName(bad.select("id"), allowMissingColumns=True).fillna(-1)
+
+
+def inventory_json(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "nation").select(
+        F.col("n_nationkey").alias("ord"), F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("title"),
+        F.lower("n_name").alias("source_path"), F.lit("pdf").alias("file_type"), (F.col("n_nationkey") % 4 == 3).alias("is_syllabus"))
+    return output.inventory(docs)
+
+
+def topics_json(spark: SparkSession, sf: str) -> DataFrame:
+    return output.topics_file(_nation_topics(spark, sf))
+
+
+def outline_md(spark: SparkSession, sf: str) -> DataFrame:
+    return output.outline_file(syllabus.index_entries(_nation_chapters(spark, sf)))
+
+
+def index_checklist(spark: SparkSession, sf: str) -> DataFrame:
+    return output.index_file(_nation_chapters(spark, sf), table(spark, sf, "region").select(F.col("r_regionkey").alias("idx")).where("idx % 2 = 0"))
+
+
+def chapter_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "customer").select((F.col("c_custkey") - 1).alias("idx"), F.concat_ws(" - ", "c_name", "c_mktsegment").alias("title"), F.col("c_mktsegment").alias("md"))
+    return output.chapter_files(rows)
+
+
+def existing_chapters(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.when(F.col("o_orderkey") % 5 == 0, F.lit("cap_x_y.md")).when(F.col("o_orderkey") % 5 == 1, F.lit("notes.md")).otherwise(
+        F.concat(F.lit("out/cap_"), F.col("o_custkey").cast("string"), F.lit("_a-b.md")))
+    return output.existing_chapters(table(spark, sf, "orders").select(name.alias("path")), 100)
+
+
+def chapters_to_generate(spark: SparkSession, sf: str) -> DataFrame:
+    asked = table(spark, sf, "customer").select(F.col("c_custkey").cast("int").alias("idx"))
+    return output.to_generate(asked, existing_chapters(spark, sf), None)
+
+
+def validation_json(spark: SparkSession, sf: str) -> DataFrame:
+    bad = F.col("n_nationkey") % 6 == 5
+    checks = table(spark, sf, "nation").select(
+        F.col("n_nationkey").alias("ord"), F.col("n_name").alias("check"), F.when(bad, "warning").otherwise("pass").alias("status"),
+        F.when(bad, F.array("n_name")).otherwise(F.array().cast("array<string>")).alias("errors"))
+    return output.validation_file(checks)
+
+
+def scan_counters(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("source_path"), T.file_type(F.regexp_replace("url", r"[?#].*$", "")).alias("file_type"))
+    return output.scan_counters(incremental_state(spark, sf).join(kinds, "source_path"))
+
+
+def syllabus_probe(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.concat(F.lit("/n/"), F.when(F.col("n_nationkey") % 4 == 0, F.lit("sub/")).otherwise(""), F.lower("n_name"), F.lit(" syllabus.pdf"))
+    files = table(spark, sf, "nation").select(path.alias("path")).select("path", T.file_type(F.col("path")).alias("file_type"), T.is_syllabus(F.col("path")).alias("is_syllabus"))
+    return output.probe_syllabus(files, "/n")
+
+
+def ocr_images(spark: SparkSession, sf: str) -> DataFrame:
+    suffix = F.element_at(F.array(*map(F.lit, ("PNG", "jpeg", "gif", "pdf", "jpg"))), (F.col("n_regionkey") + 1).cast("int"))
+    return table(spark, sf, "nation").select("n_nationkey", T.is_ocr_image(F.concat("n_name", F.lit("."), suffix)).alias("readable"))
+
+
+def encoded_images(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.encode_image(F.col("text").cast("binary")).alias("encoded"))
+
+
+def depth_budget(spark: SparkSession, sf: str) -> DataFrame:
+    depth = F.col("n_nationkey") - 4
+    return table(spark, sf, "nation").select(
+        "n_nationkey", T.depth_tokens(depth).alias("tokens"), T.depth_band(depth).alias("band"),
+        T.context_budget(F.repeat("n_name", 4000), T.depth_tokens(depth)).alias("context"))
+
+
+def _processing_state(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(
+        T.sha256(F.col("text")).alias("content_hash"), F.concat("source", F.lit("/"), (F.col("doc_id") % 50).cast("string")).alias("source_path"),
+        F.when(F.col("doc_id") % 4 > 0, F.col("lang")).alias("model"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id").cast("string")).alias("topics_json"),
+        F.col("doc_id").alias("updated_at"))
+
+
+def invalidated_state(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _processing_state(spark, sf)
+    return state.invalidated(rows, "src0/7").agg(F.count("*").alias("n_gone")).join(state.invalidate(rows, "src0/7").agg(F.count("*").alias("n_left")))
+
+
+def previous_models(spark: SparkSession, sf: str) -> DataFrame:
+    return state.previous_models(_processing_state(spark, sf))
+
+
+def latest_topics(spark: SparkSession, sf: str) -> DataFrame:
+    return state.latest_topics(_processing_state(spark, sf))
+
+
+def topics_update(spark: SparkSession, sf: str) -> DataFrame:
+    return state.with_topics(_processing_state(spark, sf), "[]").groupBy("model", "topics_json").agg(F.count("*").alias("n"))
+
+
+def state_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "customer").select(F.concat(F.lit("h"), F.col("c_custkey").cast("string")).alias("content_hash"), "c_name")
+    return state.lookup(rows, "content_hash", "h77")
+
+
+def document_deletion(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    return state.without(docs, "doc_id", 17).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+def cache_without_model(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select(F.col("role").alias("model"), F.col("text").alias("prompt"))
+    return state.without(turns, "model", "user").groupBy("model").agg(F.count("*").alias("n"))
+
+
+def cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations")
+    rows = turns.groupBy("conv_id", "role").agg(F.min("turn").alias("a"), F.max("turn").alias("b"), F.min_by("text", "turn").alias("p"))
+    row = lambda t, note: rows.select(
+        F.concat_ws("/", F.col("conv_id").cast("string"), "role").alias("key"), F.concat(F.lit(note), F.substring("p", 1, 20)).alias("prompt_preview"),
+        F.col(t).cast("string").alias("response"), F.col("role").alias("model"), F.col(t).alias("created_at"))
+    return state.save_cache(row("a", "old "), row("b", "new ").where("created_at % 2 = 0"))
+
+
+def reused_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of unchanged files from their state, round trip through JSON, then those of new files."""
+    turns = table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("content_hash"), F.col("turn").cast("int").alias("position"), F.col("role").alias("id"), F.col("text").alias("content"))
+    known = state.chunks_to_json(turns.where("cast(content_hash AS long) % 2 = 0"), "content_hash")
+    old, again = state.reused_chunks(turns.select("content_hash").distinct(), known)
+    cached = state.chunks_from_json(old, "content_hash").select("content_hash", "position", F.md5("content").alias("content_md5"))
+    new = turns.join(again, "content_hash").select("content_hash", "position", F.md5("content").alias("content_md5"))
+    return state.all_chunks(cached, new)
+
+
+def topic_images(spark: SparkSession, sf: str) -> DataFrame:
+    candidates = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("source_document_id"))
+    return chapters.images_of_topics(_nation_topics(spark, sf), candidates).groupBy("ord").agg(F.count("*").alias("n"))
+
+
+def meaningful_content(spark: SparkSession, sf: str) -> DataFrame:
+    md = F.concat(F.lit("# T\n> q\n---\n[Chunk 1]\n[...]\n"), F.regexp_replace("text", r"\. ", ".\n"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.has_meaningful_content(md).alias("meaningful"))
+
+
+def invalid_names(spark: SparkSession, sf: str) -> DataFrame:
+    given = F.element_at(F.array(*map(F.lit, ("Topic 3", " t12 ", "Untitled", "N/A", "", "x", "2024", "Topics 3", "no title", "Bayes"))), (F.col("n_nationkey") % 10 + 1).cast("int"))
+    return table(spark, sf, "nation").select("n_nationkey", T.is_invalid_name(given).alias("invalid"))
+
+
+def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.token_count(F.col("text")).alias("n_tokens"))
+
+
+def chunk_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of short turns: one chunk each, the text itself, at place 0."""
+    turns = table(spark, sf, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("content"))
+    return chunking.create_chunks(turns, "id", "content").groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.max("position").cast("long").alias("last"))
 
 
 QUERIES: dict[str, Query] = {
@@ -295,8 +533,12 @@ QUERIES: dict[str, Query] = {
         paragraphs_sentences, chunks, keyword_chunks, tiered_chunks, best_match_entry, chapter_topic_overlap, image_rank_topk,
         first_wins_distinct, anchors_unique, language_ratio, sentence_overlap_dups, split_sections, order_violations, budget_prefix,
         validation_rollup, incremental_state, cache_probe, cache_misses, upsert_latest, latest_hashes, toc_render, sources_block,
-        sources_block_all, dedup_near_pairs_bound_documents, dedup_near_documents, sentence_overlap_dups_documents,
-        keyword_chunks_whole, keyword_chunks_documents, tiered_chunks_whole, tiered_chunks_documents, image_rank_topk_whole,
-        json_props, image_refs_antijoin, plain_text_metrics, latest_document,
+        keyword_chunks_documents, tiered_chunks_documents,
+        json_props, image_refs_antijoin, plain_text_metrics, latest_document, pdf_structure_lines, topic_focus, heading_alignment, decorative_headings,
+        claimed_topics, outline_chapters, uncovered_topics, closest_topics, outline_warnings, topic_order, topics_block, chunk_ids_by_name, focus_subtopics,
+        topic_coverage, chapter_selection, record_violations, normalized_documents, inventory_json, topics_json, outline_md, index_checklist, chapter_files,
+        existing_chapters, chapters_to_generate, validation_json, scan_counters, syllabus_probe, ocr_images, encoded_images, depth_budget, invalidated_state,
+        previous_models, latest_topics, topics_update, state_lookup, document_deletion, cache_without_model, cache_upsert, reused_chunks, topic_images,
+        meaningful_content, invalid_names, token_estimate, chunk_positions,
     )
 }

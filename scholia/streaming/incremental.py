@@ -23,11 +23,11 @@ def file_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> Da
 
 
 def chunk_stream(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Chunks of plain text files, appended by micro-batch."""
+    """Chunks of plain text files; a micro-batch that is repeated overwrites its own folder."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         plain = batch.where(F.col("file_type").isin("txt", "markdown")).withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
-        create_chunks(plain, "id", "text").withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        create_chunks(plain, "id", "text").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

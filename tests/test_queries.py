@@ -33,21 +33,9 @@ def test_query_without_sql_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
-def test_sources_block_of_all_orders(spark, duck, sf):
-    whole = SQL["sources_block"].replace("WHERE o_orderkey < 400 ", "")
-    assert whole != SQL["sources_block"]
-    assert rows(QUERIES["sources_block_all"](spark, sf).toPandas()) == rows(duck.sql(whole).df())
-
-
-@pytest.mark.parametrize("name", ["dedup_near_pairs_bound", "sentence_overlap_dups"])
-def test_duplicates_of_documents(spark, duck, sf, name):
-    whole = SQL[name].replace("benchmark", "documents").replace("item_id", "doc_id")
-    assert rows(QUERIES[f"{name}_documents"](spark, sf).toPandas()) == rows(duck.sql(whole).df())
-
-
 def test_near_copies_of_documents_go(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = {r["ord"] for r in QUERIES["dedup_near_documents"](spark, sf).collect()}
+    kept = {r["ord"] for r in QUERIES["dedup_near"](spark, sf).collect()}
     assert kept < {r["doc_id"] for r in docs.select("doc_id").collect()}
     # Brute force: no two texts that are left reach the ratio, whatever their order.
     from difflib import SequenceMatcher
@@ -58,11 +46,3 @@ def test_near_copies_of_documents_go(spark, sf):
             if 2 * min(len(a), len(b)) >= 0.92 * (len(a) + len(b)):
                 m = SequenceMatcher(None, a, b)
                 assert m.quick_ratio() < 0.92 or m.ratio() < 0.92
-
-
-@pytest.mark.parametrize("name", ["keyword_chunks", "tiered_chunks", "image_rank_topk"])
-def test_topics_of_whole_texts(spark, duck, sf, name):
-    cut = "array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) > 3)[1:2], ' ')"
-    whole = SQL[name].replace(cut, "text")
-    assert whole != SQL[name]
-    assert rows(QUERIES[f"{name}_whole"](spark, sf).toPandas()) == rows(duck.sql(whole).df())
