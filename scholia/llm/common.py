@@ -64,11 +64,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+def bound_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
     """Keep Arrow batches of whole texts to a few megabytes on both sides of the Python workers."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 class Workspace:

@@ -375,7 +375,7 @@ def deduplicated(df: DataFrame) -> DataFrame:
     nothing but white space is left go, untouched rows stay as they are."""
 
     @F.pandas_udf("string")
-    def rest(text, places):  # noqa: ANN001, ANN202
+    def kept_text(text, places):  # noqa: ANN001, ANN202
         import pandas as pd
 
         out = []
@@ -387,6 +387,8 @@ def deduplicated(df: DataFrame) -> DataFrame:
             out.append(np.frombuffer(data, dtype=np.uint8)[_kept(data, [int(x) for x in p])[0]].tobytes().decode(errors="ignore"))
         return pd.Series(out, dtype=object)
 
+    # Marked as not deterministic, so that the filter does not compute it once more.
+    rest = kept_text.asNondeterministic()
     columns = Columns(df)
     found = _with_places(df, columns, "doc_id", "text")
     out = found.withColumn("rest", rest(columns["text"], F.col("places")))
