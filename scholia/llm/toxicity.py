@@ -5,13 +5,13 @@
 2. Every text is restored: tokens with look-alike characters, repeated letters or letters
    set apart become character lattices, and Viterbi decoding under the model and the
    channel's costs gives their likeliest readings.
-3. Words and word beginnings of restored texts that tell labelled toxic rows from clean
-   ones become rules, from a bounded sample of the labelled rows that are not held out.
+3. Words of restored texts that tell labelled toxic rows from clean ones become rules, from
+   a bounded sample of the labelled rows that are not held out.
    Copies of a text, and near copies whose min-hashes all agree, count once as support.
 4. A document's score is the noisy-or of the rules that its restored text fires.
 
-Scoring is a scan with two broadcasts of proven size (the model and at most `MAX_RULES`
-rules); no text is shuffled.
+Scoring is a scan with two broadcasts of proven size (the model, and rules that at least
+`LEAST_SUPPORT` rows of a sample of `SAMPLE_ROWS` hold); no text is shuffled.
 
 Defined results: null and empty texts fire nothing and get the base score; null ids are
 never held out nor learned from; labels of null are left out; repeated rows are scored row
@@ -25,7 +25,6 @@ import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,16 +33,12 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 #: Labelled rows that rules are learned from (the ones with the smallest hash), the least
-#: number of different toxic texts that support a rule, its least precision, and rules kept.
+#: number of different toxic texts that support a rule, and its least precision.
 SAMPLE_ROWS = 20_000
 LEAST_SUPPORT = 5
 LEAST_PRECISION = 0.9
-#: A beginning of words reaches words never seen, so it needs more support and no clean text.
-PREFIX_SUPPORT = 20
-MAX_RULES = 5_000
 HELD_OUT = 2
 PREDICT_AT = 0.3
-PREFIXES = (4, 5, 6)
 #: Independent min-hashes that near copies share: unrelated texts at Jaccard 0.5 meet once in 256.
 MIN_HASHES = 8
 
@@ -65,9 +60,6 @@ _MARKS = "".join(c for c in _EDGE if c not in LOOK_ALIKE)
 COST_LOOK, COST_LOST, COST_DROP, COST_PART, COST_STRETCH, COST_DOUBLE = 0.7, 10.0, 1.5, 4.0, 0.3, 4.0
 READINGS = 4
 
-#: Characters of a token that are decoded at once, and of two pieces' overlap.
-PIECE, OVERLAP = 96, 48
-
 _DOUBLED = re.compile(r"([^\W\d_])\1")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|])){3,}(?![^\W_])")
 
@@ -139,9 +131,9 @@ def _arcs(token: str, apart: bool) -> list[list[tuple[str, float]]]:
 
 def decode(token: str, model: np.ndarray, apart: bool = False, readings: int = READINGS) -> list[tuple[str, float]]:
     """The likeliest readings of a lower-case token and their shares of the likelihood."""
-    beam: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
+    beam: dict[tuple[int, int], list[tuple[float, tuple]]] = {(0, 0): [(0.0, ())]}
     for arcs in _arcs(token, apart):
-        grown: dict[tuple[int, int], list[tuple[float, str]]] = {}
+        grown: dict[tuple[int, int], list[tuple[float, tuple]]] = {}
         for (a, b), paths in beam.items():
             for out, cost in arcs:
                 x, y, gain = a, b, -cost
@@ -149,14 +141,17 @@ def decode(token: str, model: np.ndarray, apart: bool = False, readings: int = R
                     z = _CODE_OF.get(c, 0)
                     gain += float(model[x, y, z])
                     x, y = y, z
-                grown.setdefault((x, y), []).extend((s + gain, t + out) for s, t in paths)
+                grown.setdefault((x, y), []).extend((s + gain, (t, out)) for s, t in paths)
         # A state keeps its best paths: nothing after it depends on more than two letters.
-        beam = {state: sorted(paths, reverse=True)[:readings] for state, paths in grown.items()}
+        beam = {state: sorted(paths, key=lambda p: -p[0])[:readings] for state, paths in grown.items()}
     ended = [(s + float(model[a, b, 0]), t) for (a, b), paths in beam.items() for s, t in paths]
     best: dict[str, float] = {}
-    for s, t in sorted(ended, reverse=True):
-        t = " ".join(t.split())
-        best.setdefault(t, s)
+    for s, path in sorted(ended, key=lambda p: -p[0]):
+        parts = []
+        while path:
+            path, out = path
+            parts.append(out)
+        best.setdefault(" ".join("".join(reversed(parts)).split()), s)
         if len(best) == readings:
             break
     top = max(best.values())
@@ -183,14 +178,11 @@ class Restorer:
         self.seen: dict[tuple[str, bool], list[tuple[str, float]]] = {}
 
     def readings(self, token: str, apart: bool) -> list[tuple[str, float]]:
-        if len(token) > PIECE:
-            # Long runs are read in overlapping pieces; a disguised word fits in the overlap.
-            return [r for i in range(0, len(token) - OVERLAP, PIECE - OVERLAP) for r in self.readings(token[i : i + PIECE], apart)]
         key = (token, apart)
         found = self.seen.get(key)
         if found is None:
             found = decode(token, self.model, apart)
-            if len(self.seen) < self.kept:
+            if len(self.seen) < self.kept and len(token) < 100:
                 self.seen[key] = found
         return found
 
@@ -212,10 +204,9 @@ class Restorer:
 
 
 class Rule(NamedTuple):
-    """A word, or with `prefix` a beginning of words, and how sure it is."""
+    """A word and how sure it is."""
 
     text: str
-    prefix: bool
     precision: float
 
 
@@ -223,10 +214,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def _features(restore: Restorer, text: str) -> set[str]:
-    """Words (marked by a final space) and beginnings of words of a restored text."""
+    """The words of a restored text."""
     lower, found = restore(text)
     words = set(_WORD.findall(lower)).union(*(_WORD.findall(t) for t, share in found if share >= 0.5))
-    return {w + " " for w in words if len(w) > 1} | {w[:n] for w in words for n in PREFIXES if len(w) >= n}
+    return {w for w in words if len(w) > 1}
 
 
 #: Odd factors of the min-hashes; all of them have to agree in near copies.
@@ -267,46 +258,27 @@ def learn_rules(docs: DataFrame, labels: DataFrame, model: np.ndarray, *, sample
     single = kinds.select("toxic", "kind", F.explode("features").alias("f")).distinct()
     counts = single.groupBy("f").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     sure = (F.col("pos") >= LEAST_SUPPORT) & (F.col("pos") >= LEAST_PRECISION * (F.col("pos") + F.col("neg")))
-    good = counts.where(sure & (F.endswith("f", F.lit(" ")) | ((F.col("pos") >= PREFIX_SUPPORT) & (F.col("neg") == 0))))
-    top = good.orderBy(F.desc("pos"), "neg", "f").limit(MAX_RULES).collect()
-    return [
-        Rule(r["f"].strip(), not r["f"].endswith(" "), (r["pos"] + 0.5) / (r["pos"] + r["neg"] + 1)) for r in top
-    ]
+    good = counts.where(sure).orderBy(F.desc("pos"), "neg", "f").collect()
+    return [Rule(r["f"], (r["pos"] + 0.5) / (r["pos"] + r["neg"] + 1)) for r in good]
 
 
-def _matcher(rules: list[Rule]) -> ahocorasick.Automaton | None:
-    if not rules:
-        return None
-    out = ahocorasick.Automaton()
-    by_text: dict[str, list[int]] = {}
-    for k, r in enumerate(rules):
-        by_text.setdefault(r.text, []).append(k)
-    for text, ks in by_text.items():
-        out.add_word(text, (text, ks))
-    out.make_automaton()
-    return out
+def _matcher(rules: list[Rule]) -> dict[str, int]:
+    return {r.text: k for k, r in enumerate(rules)}
 
 
-def _fired(matcher: ahocorasick.Automaton, rules: list[Rule], text: str) -> set[int]:
-    found: set[int] = set()
-    for end, (word, ks) in matcher.iter(text):
-        start = end - len(word)
-        if start >= 0 and text[start].isalpha():
-            continue
-        inside = end + 1 < len(text) and text[end + 1].isalpha()
-        found.update(k for k in ks if rules[k].prefix or not inside)
-    return found
+def _fired(matcher: dict[str, int], text: str) -> set[int]:
+    return {matcher[w] for w in set(_WORD.findall(text)) & matcher.keys()}
 
 
-def score_text(text: str, restore: Restorer, matcher: ahocorasick.Automaton | None, rules: list[Rule], base: float = 0.01) -> float:
+def score_text(text: str, restore: Restorer, matcher: dict[str, int], rules: list[Rule], base: float = 0.01) -> float:
     """Noisy-or of fired rules; a rule read from a disguised token counts by the reading's share."""
-    if matcher is None:
+    if not rules:
         return 0.0
     lower, found = restore(text)
-    miss = {k: 1.0 - rules[k].precision for k in _fired(matcher, rules, lower)}
+    miss = {k: 1.0 - rules[k].precision for k in _fired(matcher, lower)}
     shares: dict[int, float] = {}
     for reading, share in found:
-        for k in _fired(matcher, rules, reading):
+        for k in _fired(matcher, reading):
             shares[k] = min(1.0, shares.get(k, 0.0) + share)
     for k, share in shares.items():
         miss[k] = min(miss.get(k, 1.0), 1.0 - rules[k].precision * share)

@@ -452,7 +452,7 @@ def test_deobfuscation():
     for given, want in (("stuuuupid", "stupid"), ("l0s3r", "loser"), ("p@thetic", "pathetic"), ("$tup1d", "stupid")):
         assert toxicity.decode(given, model)[0][0] == want
     assert toxicity.decode("m o r o n", model, apart=True)[0][0] == "moron"
-    rules = [toxicity.Rule("moron", False, 0.99)]
+    rules = [toxicity.Rule("moron", 0.99)]
     restore, matcher = toxicity.Restorer(model), toxicity._matcher(rules)
     assert toxicity.score_text("you m.o.r.o.n !", restore, matcher, rules) > 0.3 > toxicity.score_text("oxymoron of morons", restore, matcher, rules)
 
@@ -464,7 +464,7 @@ def test_toxicity_held_out(spark):
     both = got.merge(labels, on="doc_id")
     both = both[both["held_out"]]
     hit = ((both["predicted"] == 1) & (both["toxic"] == 1)).sum()
-    assert ((both["predicted"] == 1) & (both["toxic"] == 0)).sum() <= 2 and hit >= 0
+    assert ((both["predicted"] == 1) & (both["toxic"] == 0)).sum() <= 2 and hit >= 0.6 * (both["toxic"] == 1).sum() > 5
     assert got["score"].between(0, 1).all()
 
 
@@ -479,7 +479,7 @@ def test_toxicity_counts_distinct_texts(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     rules = toxicity.learn_rules(docs, labels, toxicity.letter_model(toxicity.letter_counts(docs)))
-    found = {r.text for r in rules if not r.prefix}
+    found = {r.text for r in rules}
     assert "zorbly" in found and "quuxly" not in found
 
 
@@ -490,10 +490,65 @@ def test_toxicity_disguised_edges_and_doubles():
         codes = [0, 0, *(toxicity._CODE_OF[c] for c in word), 0]
         for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
             counts[a, b, c] += 1
-    rules = [toxicity.Rule(w, False, 0.99) for w in words]
+    rules = [toxicity.Rule(w, 0.99) for w in words]
     restore, matcher = toxicity.Restorer(toxicity.letter_model(counts)), toxicity._matcher(rules)
     score = lambda t: toxicity.score_text(t, restore, matcher, rules)
     for token in ("$tupid", "$cum", "!diot", "|oser", "(lown", "$tup1d", "a$$", "stuupid", "iddiot", '"$tupid!"', "(sstupid)", "stup1d!"):
         assert score(f"you {token}, reading") > toxicity.PREDICT_AT, token
     for clean in ("(the reading!)", "tell $5 of the", "$$$ the!!", "of|the (of"):
         assert score(clean) < 0.05, clean
+
+
+def _disguised_corpus(spark):
+    """Labelled plain texts, and held-out ones in which the telling words are disguised."""
+    rng = np.random.default_rng(11)
+    plain = "the path of the reader is worth a long walk and the words of it are clear to all who read them with care".split()
+    bad = ["stupid", "moron", "loser", "pathetic"]
+    disguise = [lambda w: w.replace("o", "0").replace("i", "1"), lambda w: ".".join(w), lambda w: " ".join(w), lambda w: w[0] + w[1] * 4 + w[2:], lambda w: w.replace("s", "$").replace("a", "@")]
+    text = lambda *more: " ".join([*rng.choice(plain, 14), *more, *rng.choice(plain, 9)])
+    docs, labels, truth = [], [], {}
+    for i in range(900):
+        held, toxic = zlib.crc32(str(i).encode()) % 4 == toxicity.HELD_OUT, i % 3 == 0
+        word = bad[rng.integers(0, 4)]
+        if toxic and held:
+            changed = disguise[rng.integers(0, 5)](word)
+            docs.append((i, text(changed if changed != word else ".".join(word))))
+        else:
+            docs.append((i, text(*([word] if toxic else []))))
+        truth[i] = (held, int(toxic))
+        labels.append((i, int(toxic)))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), truth
+
+
+def test_decoding_decides_on_disguised_texts(spark, monkeypatch):
+    docs, labels, truth = _disguised_corpus(spark)
+    held = [i for i, (h, _) in truth.items() if h]
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    caught = [got[i]["predicted"] for i in held if truth[i][1]]
+    clean = [got[i]["score"] for i in held if not truth[i][1]]
+    assert sum(caught) >= 0.9 * len(caught) > 30 and max(clean) < 0.3
+    model = toxicity.letter_model(toxicity.letter_counts(docs))
+    rules = toxicity.learn_rules(docs, labels, model)
+    assert {"stupid", "moron", "loser", "pathetic"} <= {r.text for r in rules} and not {"path", "worth"} & {r.text for r in rules}
+    off = lambda text: (text.lower(), [])
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    blind = [toxicity.score_text(texts[i], off, toxicity._matcher(rules), rules) >= toxicity.PREDICT_AT for i in held if truth[i][1]]
+    assert sum(blind) < 0.2 * len(blind)
+
+
+def test_score_is_the_noisy_or_of_rules():
+    rules = [toxicity.Rule("aa", 0.9), toxicity.Rule("bb", 0.5)]
+    plain = lambda text: (text.lower(), [])
+    score = lambda t, restore=plain: toxicity.score_text(t, restore, toxicity._matcher(rules), rules)
+    assert score("x") == pytest.approx(0.01) and score("aa AA") == pytest.approx(1 - 0.99 * 0.1) and score("aa.bb") == pytest.approx(1 - 0.99 * 0.1 * 0.5)
+    assert score("aab") == pytest.approx(0.01)
+    assert score("x", lambda t: (t, [("aa", 0.25), ("aa b", 0.5)])) == pytest.approx(1 - 0.99 * (1 - 0.9 * 0.75))
+
+
+def test_long_disguised_runs_are_read_whole():
+    model = toxicity.letter_model(np.ones((64, 64, 64)))
+    rules = [toxicity.Rule("moron", 0.99)]
+    restore = toxicity.Restorer(model)
+    spaced = "x y z " * 40 + "m o r o n"
+    assert toxicity.decode("ab1" * 3000, model)
+    assert restore(spaced)[1]
