@@ -4,9 +4,11 @@ A page is read into text blocks, each with its root-to-leaf tag path (inline mar
 part of a path).  Text length, punctuation and link text are aggregated by path, smoothed
 over the page's order of blocks, fused into one score per path, and paths under a
 threshold relative to the page's scores are left out.  Elements that never hold article
-text (scripts, menus, forms, adverts, comments and so on, by tag or by the words of class,
-id and role) are cut before; where the page marks its article, only paths inside compete,
-against its middle score, and headings stay with the content that they head.
+text (scripts, menus, forms, adverts, comments and so on, by tag or by a name in class, id
+or role) are cut before.  A name that only begins with such a word ("ad-hoc") makes an
+element suspect: its paths stand apart and have to reach the full bar.  Where the page marks
+its article, only paths inside compete, against its middle score, and headings stay with the
+content that they head.  Paths are whole, however deep: numbers stand for them.
 
 Narrow: a scan and one Arrow stage, no exchange.  Defined results: null or empty html gives
 an empty text; broken or cut markup is read as far as it goes; null ids and repeated rows
@@ -68,21 +70,26 @@ ARTICLE_SHARE = 0.02
 BARE = frozenset("div section article main center header".split())
 CELLS = frozenset("td th".split())
 
-#: Innermost tags that make up a path; deeper nesting shares paths.
-PATH_TAGS = 32
+#: The share of the article's middle score that a suspect element's path has to reach.
+SUSPECT_SHARE = 0.35
 
 
 class Block(NamedTuple):
-    path: str
+    """A text with the number of its path and of its parent's, and the path's last tag."""
+
+    path: int
+    parent: int
+    tag: str
+    suspect: bool
     text: str
     links: int
     in_article: bool
     heading: bool
 
 
-def _named(attributes: str) -> tuple[bool, bool]:
-    """Whether an element's attributes name noise, and whether they name the article."""
-    noise = article = False
+def _named(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element's attributes name noise, only begin with such a word, or name the article."""
+    noise = suspect = article = False
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         if name == "hidden":
@@ -96,32 +103,36 @@ def _named(attributes: str) -> tuple[bool, bool]:
             article |= "main" in words
             noise |= bool(NOISE.intersection(words))
         elif name != "aria-label":
-            parts = {p for w in words for p in (w, *w.split("-"))}
-            noise |= bool(NOISE & parts)
-    return noise, article and not noise
+            # The last part of a name says what it is: a "page-footer" is one, "comment-policy" no comment.
+            parts = [w.split("-") for w in words]
+            noise |= any(w in NOISE or x[-1] in NOISE for w, x in zip(words, parts, strict=True))
+            suspect |= any(NOISE.intersection(x) for x in parts)
+    return noise, suspect and not noise, article and not noise
 
 
 def blocks(html: str) -> list[Block]:
     """Text blocks in page order, without those inside cut elements."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, cut, article
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # name, cut, suspect, article, path
+    paths: dict[tuple[int, str, bool], int] = {}
     open_of: Counter[str] = Counter()
-    n_cut = n_article = n_heading = 0
+    n_cut = n_suspect = n_article = n_heading = 0
     text: list[str] = []
     links = 0
     in_link = 0
 
-    def enter(name: str, cut: bool, article: bool) -> None:
-        nonlocal n_cut, n_article, n_heading
-        stack.append((name, cut, article))
+    def enter(name: str, cut: bool, suspect: bool, article: bool) -> None:
+        nonlocal n_cut, n_suspect, n_article, n_heading
+        path = paths.setdefault((stack[-1][4] if stack else 0, name, suspect), len(paths) + 1)
+        stack.append((name, cut, suspect, article, path))
         open_of[name] += 1
-        n_cut, n_article, n_heading = n_cut + cut, n_article + article, n_heading + (name in HEADINGS)
+        n_cut, n_suspect, n_article, n_heading = n_cut + cut, n_suspect + suspect, n_article + article, n_heading + (name in HEADINGS)
 
     def leave() -> str:
-        nonlocal n_cut, n_article, n_heading
-        name, cut, article = stack.pop()
+        nonlocal n_cut, n_suspect, n_article, n_heading
+        name, cut, suspect, article, _ = stack.pop()
         open_of[name] -= 1
-        n_cut, n_article, n_heading = n_cut - cut, n_article - article, n_heading - (name in HEADINGS)
+        n_cut, n_suspect, n_article, n_heading = n_cut - cut, n_suspect - suspect, n_article - article, n_heading - (name in HEADINGS)
         return name
 
     def close() -> None:
@@ -129,9 +140,8 @@ def blocks(html: str) -> list[Block]:
         joined = " ".join("".join(text).split())
         text.clear()
         if joined:
-            out.append(Block(
-                "/".join(n for n, _, _ in stack[-PATH_TAGS:]), joined, links, n_article > 0, n_heading > 0,
-            ))
+            path, tag = (stack[-1][4], stack[-1][0]) if stack else (0, "")
+            out.append(Block(path, stack[-2][4] if len(stack) > 1 else 0, tag, n_suspect > 0, joined, links, n_article > 0, n_heading > 0))
         links = 0
 
     def add(piece: str) -> None:
@@ -173,17 +183,17 @@ def blocks(html: str) -> list[Block]:
             if m[3].rstrip().endswith("/") and name not in ("script", "style"):
                 continue
             at = end.start() if end else len(html)
-            enter(name, True, False)
+            enter(name, True, False, False)
             continue
         if name in CLOSES_P and stack and stack[-1][0] == "p":
             leave()
         if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             leave()
-        noise, article = _named(m[3]) if m[3] else (False, False)
+        noise, suspect, article = _named(m[3]) if m[3] else (False, False, False)
         cut = name in CUT or noise or (name == "header" and not n_article)
         if noise and name in ("html", "body", "article", "main"):
             cut = False
-        enter(name, cut, name in ("article", "main") or article)
+        enter(name, cut, suspect, name in ("article", "main") or article)
     add(html[at:])
     close()
     return out
@@ -203,9 +213,8 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def _article_share(path: str) -> float:
-    last = path.rpartition("/")[2]
-    return 0.0 if last in CELLS else BARE_SHARE if last in BARE else ARTICLE_SHARE
+def _article_share(tag: str, suspect: bool) -> float:
+    return SUSPECT_SHARE if suspect else 0.0 if tag in CELLS else BARE_SHARE if tag in BARE else ARTICLE_SHARE
 
 
 def _middle(weighted: list[tuple[float, int]]) -> float:
@@ -222,7 +231,7 @@ def select(found: list[Block]) -> list[Block]:
     """The content blocks, by fused and smoothed ratios of their paths."""
     if any(b.in_article for b in found):
         found = [b for b in found if b.in_article]
-    totals: dict[str, list[int]] = {}
+    totals: dict[int, list[int]] = {}
     for b in found:
         t = totals.setdefault(b.path, [0, 0, 0, 0])
         t[0] += 1
@@ -233,7 +242,8 @@ def select(found: list[Block]) -> list[Block]:
     stops = {p: t[2] / t[0] for p, t in totals.items()}
     smooth_length = _smooth([length[b.path] for b in found])
     smooth_stops = _smooth([stops[b.path] for b in found])
-    scores: dict[str, list[float]] = {}
+    kinds = {b.path: (b.tag, b.suspect) for b in found}
+    scores: dict[int, list[float]] = {}
     for b, x, y in zip(found, smooth_length, smooth_stops, strict=True):
         scores.setdefault(b.path, []).append(x * (1.0 + y))
     fused = {p: sum(s) / len(s) for p, s in scores.items()}
@@ -243,11 +253,11 @@ def select(found: list[Block]) -> list[Block]:
         # Neighbours lift a short block between long ones, so the path's own ratios count as much.
         fused = {p: math.sqrt(fused[p] * length[p] * (1.0 + stops[p])) for p in totals}
         middle = _middle([(fused[b.path], min(len(b.text), WEIGHT)) for b in found])
-        kept = {p for p in totals if p not in linked and fused[p] >= _article_share(p) * middle}
+        kept = {p for p in totals if p not in linked and fused[p] >= _article_share(*kinds[p]) * middle}
     else:
         kept = {p for p in totals if p not in linked and fused[p] >= bar}
-    homes = {p.rpartition("/")[0] for p in kept}
-    return [b for b in found if b.path in kept or (b.heading and b.path not in linked and b.path.rpartition("/")[0] in homes)]
+    homes = {b.parent for b in found if b.path in kept}
+    return [b for b in found if b.path in kept or (b.heading and b.path not in linked and b.parent in homes)]
 
 
 def main_text(html: str | None) -> str:

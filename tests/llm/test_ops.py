@@ -1,6 +1,7 @@
 """The ten operators against brute force, exact round trips and held-out labels."""
 
 import hashlib
+import html
 import re
 import zlib
 from collections import defaultdict
@@ -424,6 +425,46 @@ def test_html():
     assert main_text(None) == main_text("") == main_text("<p") == ""
 
 
+def test_html_names_that_begin_with_noise():
+    long = "<p>" + "This is one of the long paragraphs, with several clauses and stops. " * 5 + "</p>"
+    for page in (f'<body><div class="ad-hoc">{long * 4}</div></body>', f'<body><main><div class="comment-policy">{long * 4}</div><p>x</p></main></body>'):
+        assert main_text(page).count("This is one") == 20
+    for name in ("user-comments", "page-footer", "ad", "cookie-banner"):
+        assert main_text(f'<body><main><h1>T</h1>{long * 3}<div class="{name}">{long}</div></main></body>').count("This is one") == 15
+    for short in ("<p>Share this</p><p>Tweet it</p>", "Buy now"):
+        got = main_text(f'<body><main><h1>T</h1>{long * 3}<div class="share-buttons">{short}</div></main></body>')
+        assert got.count("This is one") == 15 and got.count("\n") == 3
+    deep = "<div>" * 3000 + long * 3 + "</div>" * 3000
+    assert main_text(f"<body>{deep}<ul><li><a href=x>one</a></ul></body>").count("This is one") == 15
+
+
+def test_html_without_article_markup():
+    """Pages of several layouts, with the article in bare containers: the labelled text comes out."""
+    rng = np.random.default_rng(6)
+    words = "river stone window letter garden market winter bridge".split()
+    sentence = lambda: " ".join(rng.choice(words, rng.integers(8, 16))).capitalize() + rng.choice([".", ", indeed.", "; so it is.", "!"])
+    for k in range(40):
+        body = [" ".join(sentence() for _ in range(rng.integers(3, 7))) for _ in range(rng.integers(3, 9))]
+        menu = "".join(f"<li><a href=/{w}>{w}</a></li>" for w in words)
+        side = "".join(f"<div class=box{i}><span>{w}</span></div>" for i, w in enumerate(words))
+        inner = "".join(f"<p>{x}</p>" for x in body)
+        page = [f"<body><ul>{menu}</ul><div id=content><div>{inner}</div></div><div class=right>{side}</div></body>",
+                f"<body><table><tr><td><ul>{menu}</ul></td><td><div>{inner}</div></td></tr></table><div>{side}</div></body>",
+                f"<body><div><div>{side}</div><section>{inner}</section><ul>{menu}</ul></div></body>"][k % 3]
+        assert main_text(page) == "\n".join(body), k
+
+
+def test_html_of_pages(spark, sf):
+    """All pages against their makeup: head and paragraphs of the article, in order."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in extract_pages(pages).collect()}
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        parts = [html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", x))) for x in re.split(r"</?(?:p|h1)>", article)]
+        want = "\n".join(t for x in parts if (t := " ".join(x.split())))
+        assert got[r["page_id"]] == (want, len(want))
+
+
 def test_html_ratios_inside_article():
     long = "<p>" + "This is one of the long paragraphs, with several clauses and stops. " * 5 + "</p>"
     share = "<div>Share this on Twitter and Facebook</div>"
