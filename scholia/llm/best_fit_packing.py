@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,8 @@ from .common import Workspace
 from .tokens import CACHE_PIECES, encoder, vocabulary_path
 
 CAPACITY = 2048
-#: Pieces aimed at in a partition, rounds of exchange, and the fill above which a
-#: certified partition keeps a bin.
+#: Pieces aimed at in a partition, and the fill above which a certified partition keeps a bin.
 PARTITION_PIECES = 20_000
-ROUNDS = 4
 LOOSE = 0.995
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -138,7 +137,7 @@ def _pack(pieces: DataFrame, n_parts: int, seed: int, capacity: int) -> DataFram
 
 def pack_documents(
     df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-    vocabulary: str | None = None, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS,
+    vocabulary: str | None = None, partition_pieces: int = PARTITION_PIECES,
     cache_pieces: int = CACHE_PIECES,
 ) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
@@ -146,15 +145,15 @@ def pack_documents(
     pool = space.save(cut_pieces(df, doc_id=doc_id, text=text, capacity=capacity, vocabulary=vocabulary, cache_pieces=cache_pieces), "pieces")
     names = [c.split()[0] for c in _PIECES.split(", ")]
     # At most `capacity` rows, whatever the corpus.
-    counts = pool.groupBy("length").count().collect()
+    by_length = pool.groupBy("length").count().collect()
     histogram = np.zeros(capacity + 1, dtype=np.int64)
-    for row in counts:
+    for row in by_length:
         histogram[row["length"]] = row["count"]
     bound, kept_bins, done, parts_before = lower_bound(histogram), 0, [], None
     n_pool = int(histogram.sum())
     pool_bins = None
     last = None
-    for r in range(rounds):
+    for r in count():  # every round but the last saves a bin, so it ends
         n_parts = max(1, -(-n_pool // partition_pieces))
         packed = space.save(_pack(pool, n_parts, r, capacity), f"round{r}").withColumn(
             "sequence_id", F.lit(r << 56) + F.col("part") * F.lit(1 << 28) + F.col("bin")
@@ -167,7 +166,7 @@ def pack_documents(
         if pool_bins is not None and row["bins"] >= pool_bins:
             done.append(last)  # this round saved nothing: the bins released before stay
             break
-        stop = kept_bins + row["bins"] <= bound or (parts_before == 1 and n_parts == 1) or r == rounds - 1 or row["loose"] < 2
+        stop = kept_bins + row["bins"] <= bound or (parts_before == 1 and n_parts == 1) or row["loose"] < 2
         if stop:
             done.append(packed)
             break

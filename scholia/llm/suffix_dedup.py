@@ -4,8 +4,9 @@ A byte goes if a 100-byte string over it also starts earlier (smaller id, or sam
 and earlier start).  It is found in three steps, none of which pairs documents:
 
 1. Texts are cut into content-defined segments (`anchors`), about one for 35 bytes.  Rows of
-   four numbers are dealt by anchor value and sorted.  Segments with equal content (two
-   independent 64-bit hashes and the length) are copies: all but the earliest go whole.
+   four numbers are dealt by anchor value and sorted.  Segments with equal content (by two
+   independent 64-bit hashes, of the anchor's bytes and of all, and the length) are copies:
+   all but the earliest go whole.  They rest on the hashes, their bytes are not moved.
 2. What is left to compare are first segments that share an anchor value with others, or
    in which the anchor repeats.
    Their bytes (169 at most) are fetched once and dealt by anchor value.  The suffixes that
@@ -15,8 +16,8 @@ and earlier start).  It is found in three steps, none of which pairs documents:
 3. The removed runs of each document are joined with its text.
 
 Hot anchor values (a line that a third of all documents hold) are dealt out in chunks of
-`CHUNK` segments; windows that stay first in their chunk then meet by their hash, with the
-earliest place aggregated before the shuffle.
+`CHUNK` segments; windows that stay first in their chunk then meet by two independent 64-bit
+hashes, again without their bytes, with the earliest place aggregated before the shuffle.
 
 Defined results: null is an empty text; a null id comes before all others; rows that share
 an id count as one document, in which an equal place is not an earlier one (so repeated rows

@@ -21,6 +21,8 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a worker's cache keeps; beyond it, pieces are encoded each time.
 CACHE_PIECES = 700_000
 
+_UNSAFE = re.compile(r"\s ")
+
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -44,8 +46,7 @@ class Encoder:
         for name, i in self.tokenizer.get_vocab().items():
             self.lengths[i] = len(name)
         self.cache_pieces = cache_pieces
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.unsafe = re.compile("|".join([r"\s ", *map(re.escape, added)]), re.IGNORECASE)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [
@@ -81,7 +82,7 @@ class Encoder:
         firsts: list[str] = []
         for t in texts:
             t = t or ""
-            if t.startswith(" ") or self.unsafe.search(t):
+            if t.startswith(" ") or _UNSAFE.search(t) or any(a in t for a in self.added):
                 found.append(None)
                 whole.append(t)
                 continue

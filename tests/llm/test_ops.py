@@ -408,6 +408,74 @@ def test_packing(docs, rows):
     assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 2048) + 2
 
 
+def _least_bins(lengths, capacity):
+    """The best number of bins, by trying all (with the first open bins only)."""
+    best = len(lengths)
+
+    def place(i, fill):
+        nonlocal best
+        if len(fill) >= best:
+            return
+        if i == len(lengths):
+            best = len(fill)
+            return
+        for b in range(len(fill)):
+            if fill[b] + lengths[i] <= capacity and fill[b] not in fill[:b]:
+                place(i + 1, [*fill[:b], fill[b] + lengths[i], *fill[b + 1 :]])
+        place(i + 1, [*fill, lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_against_the_optimum():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        lengths = sorted(rng.integers(1, 21, rng.integers(1, 11)).tolist(), reverse=True)
+        best = _least_bins(lengths, 20)
+        fill = best_fit_decreasing(lengths, 20)[2]
+        assert lower_bound(np.bincount(lengths, minlength=21)) <= best <= len(fill) <= best * 11 / 9 + 1
+
+
+def test_exchange_ends_near_the_bound(spark):
+    """Many partitions that cannot be full on their own: exchange goes on until nothing is saved."""
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, " ".join(["word"] * int(n))) for i, n in enumerate(rng.integers(300, 1500, 400))], "doc_id long, text string")
+    got = pack_documents(docs, partition_pieces=50).toPandas()
+    whole = len(best_fit_decreasing(sorted(got["length"].tolist(), reverse=True))[2])
+    assert lower_bound(np.bincount(got["length"], minlength=2049)) <= got["sequence_id"].nunique() <= 1.04 * whole
+
+
+def test_media_columns_brute_force(spark):
+    rows = [(1, None), (2, ""), (3, "x"), (4, "é" * 700), (5, "x"), (6, "a" * 64), (None, "tail \n" * 5000)]
+    got = media_features(media_column(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert len(got) == len(rows)
+    by = {(r["doc_id"]): r for r in got}
+    for name, text in rows:
+        data = (text or "").encode()
+        payload = data + bytes(-len(data) % 64 or (0 if data else 64))
+        r = by[name]
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(data), len(payload), zlib.crc32(payload[-64:]))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["media_bytes"] > len(payload) and len(r["media_sha256"]) == 64
+    same = lambda r: tuple(v for k, v in r.asDict().items() if k != "doc_id")
+    assert same(by[3]) == same(by[5]) and same(by[1]) == same(by[2]) and by[3]["feature"] != by[4]["feature"]
+
+
+def test_odd_rows_have_their_defined_results(odd):
+    n = {r["doc_id"]: r for r in quality_rules(odd).where("doc_id IN (1, 2, 3, 4, 7, 8)").collect()}
+    assert [n[i]["n_words"] for i in (1, 2, 3)] == [0, 0, 0] and not any(n[i]["kept"] for i in (1, 2, 3))
+    assert n[4]["n_words"] == n[4]["n_repeat_words"] == 30000 and n[4]["base_failed"] and n[8]["word_chars"] == 300
+    near = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in similar_documents(odd).collect()), key=str)
+    assert (None, 4, 5) in near and near.count((6, 4, 5)) == 2 and (1, 0, 1) in near and (4, 1, 4) in near
+    gone = {(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup(odd).collect()}
+    assert (1, 0, 0) in gone and (4, 150000, 149995) in gone and (8, 600, 598) in gone
+    tokens = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["start"], r["n_tokens"]) for r in read_token_files(write_token_files(odd)).collect()))
+    assert sum(t for *_, t in tokens) == max(s + t for *_, s, t in tokens)
+    taken = mix_sources(odd).toPandas()
+    assert (taken[taken["size"] == 0]["taken"] == 0).all()
+    assert one_of_each(odd).where("text IS NULL OR trim(text) = ''").count() == 2
+
+
 def test_bounds():
     h = np.zeros(11, dtype=int)
     h[6] = 5  # no two pieces of 6 fit in 10
