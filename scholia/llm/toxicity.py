@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -61,6 +61,7 @@ COST_LOOK, COST_LOST, COST_DROP, COST_PART, COST_STRETCH, COST_DOUBLE = 0.7, 10.
 READINGS = 4
 
 _DOUBLED = re.compile(r"([^\W\d_])\1")
+_RUNS = re.compile(r"(.)\1+", re.S)
 _APART = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|])){3,}(?![^\W_])")
 
 
@@ -170,36 +171,48 @@ def _forms(token: str) -> set[str]:
     return {a + core + b for a in {"", left} for b in {"", right}}
 
 
+def _squeezed(word: str) -> str:
+    """A word with each run of a letter as one."""
+    return _RUNS.sub(r"\1", word)
+
+
 class Restorer:
-    """Restores texts; keeps the readings of tokens seen before, up to a bound."""
+    """Restores texts; keeps the readings of tokens seen before, up to a bound.
+
+    With `words`, tokens of letters only are decoded if some way to halve or double their
+    letters gives one of these words; the readings of others could not hold one.
+    """
 
-    def __init__(self, model: np.ndarray, kept: int = 100_000):
+    def __init__(self, model: np.ndarray, words: Iterable[str] | None = None, kept: int = 100_000):
         self.model, self.kept = model, kept
-        self.seen: dict[tuple[str, bool], list[tuple[str, float]]] = {}
+        self.words = None if words is None else {_squeezed(w) for w in words}
+        self.seen: dict[str, list[tuple[str, float]]] = {}
 
-    def readings(self, token: str, apart: bool) -> list[tuple[str, float]]:
-        key = (token, apart)
-        found = self.seen.get(key)
+    def readings(self, token: str) -> list[tuple[str, float]]:
+        """Readings of a token between white space; none if it is not disguised."""
+        found = self.seen.get(token)
         if found is None:
-            found = decode(token, self.model, apart)
+            found = []
+            if not token.isalpha() or _DOUBLED.search(token):
+                for form in _forms(token):
+                    if self.tells(form):
+                        found += decode(form, self.model)
             if len(self.seen) < self.kept and len(token) < 100:
-                self.seen[key] = found
+                self.seen[token] = found
         return found
 
+    def tells(self, form: str) -> bool:
+        """Whether a form is disguised and its readings matter."""
+        if form.isalpha():
+            return bool(_DOUBLED.search(form)) and (self.words is None or _squeezed(form) in self.words)
+        return any(map(str.isalpha, form))
+
     def __call__(self, text: str) -> tuple[str, list[tuple[str, float]]]:
         """The lower-case text, and readings of its disguised tokens with their shares."""
         lower = text.lower()
-        found: list[tuple[str, float]] = []
-        for token in set(lower.split()):
-            if token.isalpha() and not _DOUBLED.search(token):
-                continue
-            for form in _forms(token):
-                if form.isalpha() and not _DOUBLED.search(form):
-                    continue
-                if any(map(str.isalpha, form)):
-                    found += self.readings(form, False)
+        found = [x for token in set(lower.split()) for x in self.readings(token)]
         for m in _APART.finditer(lower):
-            found += self.readings(m[0], True)
+            found += decode(m[0], self.model, apart=True)
         return lower, found
 
 
@@ -262,23 +275,32 @@ def learn_rules(docs: DataFrame, labels: DataFrame, model: np.ndarray, *, sample
     return [Rule(r["f"], (r["pos"] + 0.5) / (r["pos"] + r["neg"] + 1)) for r in good]
 
 
-def _matcher(rules: list[Rule]) -> dict[str, int]:
-    return {r.text: k for k, r in enumerate(rules)}
+class Matcher:
+    """Finds the rules whose words a text holds; keeps what it found in short texts, up to a bound."""
 
+    def __init__(self, rules: list[Rule], kept: int = 200_000):
+        self.places = {r.text: k for k, r in enumerate(rules)}
+        self.kept = kept
+        self.seen: dict[str, set[int]] = {}
 
-def _fired(matcher: dict[str, int], text: str) -> set[int]:
-    return {matcher[w] for w in set(_WORD.findall(text)) & matcher.keys()}
+    def __call__(self, text: str) -> set[int]:
+        found = self.seen.get(text)
+        if found is None:
+            found = {self.places[w] for w in set(_WORD.findall(text)) & self.places.keys()}
+            if len(self.seen) < self.kept and len(text) < 100:
+                self.seen[text] = found
+        return found
 
 
-def score_text(text: str, restore: Restorer, matcher: dict[str, int], rules: list[Rule], base: float = 0.01) -> float:
+def score_text(text: str, restore: Restorer, matcher: Matcher, rules: list[Rule], base: float = 0.01) -> float:
     """Noisy-or of fired rules; a rule read from a disguised token counts by the reading's share."""
     if not rules:
         return 0.0
     lower, found = restore(text)
-    miss = {k: 1.0 - rules[k].precision for k in _fired(matcher, lower)}
+    miss = {k: 1.0 - rules[k].precision for k in matcher(lower)}
     shares: dict[int, float] = {}
     for reading, share in found:
-        for k in _fired(matcher, reading):
+        for k in matcher(reading):
             shares[k] = min(1.0, shares.get(k, 0.0) + share)
     for k, share in shares.items():
         miss[k] = min(miss.get(k, 1.0), 1.0 - rules[k].precision * share)
@@ -295,7 +317,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_RO
     rules = learn_rules(docs, labels.select("doc_id", "toxic"), model, sample_rows=sample_rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore, matcher = Restorer(model), _matcher(rules)
+        restore, matcher = Restorer(model, (r.text for r in rules)), Matcher(rules)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)

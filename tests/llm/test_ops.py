@@ -562,7 +562,7 @@ def test_deobfuscation():
         assert toxicity.decode(given, model)[0][0] == want
     assert toxicity.decode("m o r o n", model, apart=True)[0][0] == "moron"
     rules = [toxicity.Rule("moron", 0.99)]
-    restore, matcher = toxicity.Restorer(model), toxicity._matcher(rules)
+    restore, matcher = toxicity.Restorer(model), toxicity.Matcher(rules)
     assert toxicity.score_text("you m.o.r.o.n !", restore, matcher, rules) > 0.3 > toxicity.score_text("oxymoron of morons", restore, matcher, rules)
 
 
@@ -600,7 +600,7 @@ def test_toxicity_disguised_edges_and_doubles():
         for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
             counts[a, b, c] += 1
     rules = [toxicity.Rule(w, 0.99) for w in words]
-    restore, matcher = toxicity.Restorer(toxicity.letter_model(counts)), toxicity._matcher(rules)
+    restore, matcher = toxicity.Restorer(toxicity.letter_model(counts)), toxicity.Matcher(rules)
     score = lambda t: toxicity.score_text(t, restore, matcher, rules)
     for token in ("$tupid", "$cum", "!diot", "|oser", "(lown", "$tup1d", "a$$", "stuupid", "iddiot", '"$tupid!"', "(sstupid)", "stup1d!"):
         assert score(f"you {token}, reading") > toxicity.PREDICT_AT, token
@@ -641,14 +641,14 @@ def test_decoding_decides_on_disguised_texts(spark, monkeypatch):
     assert {"stupid", "moron", "loser", "pathetic"} <= {r.text for r in rules} and not {"path", "worth"} & {r.text for r in rules}
     off = lambda text: (text.lower(), [])
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    blind = [toxicity.score_text(texts[i], off, toxicity._matcher(rules), rules) >= toxicity.PREDICT_AT for i in held if truth[i][1]]
+    blind = [toxicity.score_text(texts[i], off, toxicity.Matcher(rules), rules) >= toxicity.PREDICT_AT for i in held if truth[i][1]]
     assert sum(blind) < 0.2 * len(blind)
 
 
 def test_score_is_the_noisy_or_of_rules():
     rules = [toxicity.Rule("aa", 0.9), toxicity.Rule("bb", 0.5)]
     plain = lambda text: (text.lower(), [])
-    score = lambda t, restore=plain: toxicity.score_text(t, restore, toxicity._matcher(rules), rules)
+    score = lambda t, restore=plain: toxicity.score_text(t, restore, toxicity.Matcher(rules), rules)
     assert score("x") == pytest.approx(0.01) and score("aa AA") == pytest.approx(1 - 0.99 * 0.1) and score("aa.bb") == pytest.approx(1 - 0.99 * 0.1 * 0.5)
     assert score("aab") == pytest.approx(0.01)
     assert score("x", lambda t: (t, [("aa", 0.25), ("aa b", 0.5)])) == pytest.approx(1 - 0.99 * (1 - 0.9 * 0.75))
@@ -661,3 +661,17 @@ def test_long_disguised_runs_are_read_whole():
     spaced = "x y z " * 40 + "m o r o n"
     assert toxicity.decode("ab1" * 3000, model)
     assert restore(spaced)[1]
+
+
+def test_words_limit_decoding_without_changing_scores(rows):
+    counts = np.ones((64, 64, 64))
+    for _, text in rows[:60]:
+        codes = [toxicity._CODE_OF.get(c, 0) for c in text.lower()]
+        np.add.at(counts, (codes[:-2], codes[1:-1], codes[2:]), 1)
+    model = toxicity.letter_model(counts)
+    rules = [toxicity.Rule(w, 0.9) for w in ("loser", "idiot", "pass", "the", "and", "is", "aa")]
+    matcher = toxicity.Matcher(rules)
+    whole, limited = toxicity.Restorer(model), toxicity.Restorer(model, (r.text for r in rules))
+    texts = [t for _, t in rows[:80]] + ["losser paass iddiot", "(looser) tthe annd", "l0sser i$ p4ss isss", "a a a aaa"]
+    for t in texts:
+        assert toxicity.score_text(t, whole, matcher, rules) == pytest.approx(toxicity.score_text(t, limited, matcher, rules))
