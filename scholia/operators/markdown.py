@@ -82,14 +82,25 @@ def check_missing(manual: DataFrame) -> DataFrame:
 def sentence_overlaps(chapters: DataFrame, key: str, body: str, least: float = DUPLICATE_RATIO) -> DataFrame:
     """Pairs of chapters (a < b) whose sentence sets share `least` of the smaller set.
 
-    An equi-join on sentence digests: chapters without a common sentence never meet.
+    With a set's sentences in order of their number of chapters, the smaller set of such a pair
+    has one of its first n - ceil(least * n) + 1 in common with the other: only these rare
+    sentences look for partners, and what the found pairs share is counted in full.
     """
     found = F.array_distinct(F.regexp_extract_all(F.col(body), F.lit(r"[A-Z][^.!?]*[.!?]"), F.lit(0)))
-    rows = chapters.select(F.col(key).alias("k"), F.size(found).alias("n"), F.explode(found).alias("sentence")).withColumn("sentence", F.md5("sentence"))
-    pairs = rows.select(F.col("k").alias("a"), F.col("n").alias("na"), "sentence").join(
-        rows.select(F.col("k").alias("b"), F.col("n").alias("nb"), "sentence"), "sentence").where("a < b")
-    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("n_shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return shared.withColumn("share", F.col("n_shared") / F.least("na", "nb")).where(F.col("share") >= least).select("a", "b", "n_shared", "share")
+    rows = chapters.select(F.col(key).alias("k"), F.size(found).alias("n"), F.explode(found).alias("sentence")).withColumn("sentence", F.xxhash64("sentence"))
+    often = rows.groupBy("sentence").agg(F.count("*").alias("often")).where("often > 1")
+    held = rows.join(often, "sentence")
+    alone = F.col("n") - F.count("*").over(W.partitionBy("k"))
+    at = F.row_number().over(W.partitionBy("k").orderBy("often", "sentence")) + alone
+    probes = held.withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+    small, large = probes.select(F.col("k").alias("s"), F.col("n").alias("ns"), "sentence"), held.select(F.col("k").alias("l"), F.col("n").alias("nl"), "sentence")
+    larger = (F.col("ns") < F.col("nl")) | ((F.col("ns") == F.col("nl")) & (F.col("s") < F.col("l")))
+    pairs = small.join(large, "sentence").where(larger).select("s", "l", "ns").distinct()
+    mine = held.groupBy("k").agg(F.sort_array(F.collect_list("sentence")).alias("set"))
+    both = pairs.join(mine.withColumnsRenamed({"k": "s", "set": "x"}), "s").join(mine.withColumnsRenamed({"k": "l", "set": "y"}), "l")
+    shared = both.withColumn("n_shared", F.size(F.array_intersect("x", "y")).cast("long"))
+    share = F.col("n_shared") / F.col("ns")
+    return shared.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"), "n_shared", share.alias("share")).where(F.col("share") >= least)
 
 
 def check_duplicates(manual: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ SQL = {
         WITH s AS (SELECT doc_id AS k, list_distinct(regexp_extract_all(text, '[A-Z][^.!?]*[.!?]')) AS ss FROM documents),
         r AS (SELECT k, len(ss) AS n, unnest(ss) AS t FROM s),
         p AS (SELECT x.k AS a, y.k AS b, count(*) AS n_shared, min(x.n) AS na, min(y.n) AS nb FROM r x JOIN r y ON x.t = y.t AND x.k < y.k GROUP BY 1, 2)
-        SELECT a, b, n_shared, n_shared::DOUBLE / least(na, nb) AS share FROM p WHERE n_shared::DOUBLE / least(na, nb) >= 0.1""",
+        SELECT a, b, n_shared, n_shared::DOUBLE / least(na, nb) AS share FROM p WHERE n_shared::DOUBLE / least(na, nb) >= 0.8""",
     "split_sections": r"""
         WITH m AS (SELECT conv_id, string_agg('## ' || role || chr(10) || text, chr(10) ORDER BY turn) AS md FROM conversations GROUP BY conv_id),
         l AS (SELECT conv_id, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) AS pos FROM m),

@@ -149,7 +149,7 @@ def language_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentence_overlap_dups(spark: SparkSession, sf: str) -> DataFrame:
-    return markdown.sentence_overlaps(table(spark, sf, "documents"), "doc_id", "text", 0.1)
+    return markdown.sentence_overlaps(table(spark, sf, "documents"), "doc_id", "text")
 
 
 def _manuals(spark: SparkSession, sf: str) -> DataFrame:
