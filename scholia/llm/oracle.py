@@ -82,4 +82,54 @@ SELECT doc_id, n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT
        array_to_string(ls, ',') AS base_labels FROM p
 """
 
-SQL = {"op8_quality_rules": OP8, "op9_mix_sources": OP9}
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS ws FROM documents),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ws))::BIGINT AS total FROM d WHERE len(ws) > 0),
+tf AS (SELECT rid, w, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(ws) AS w FROM d) GROUP BY ALL),
+df AS (SELECT w, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, s GROUP BY w, n_docs),
+m AS (SELECT rid, doc_id, 100 - 75 + (75 * len(ws)::BIGINT * n_docs) // total AS m FROM d, s WHERE len(ws) > 0),
+q AS (SELECT item_id, w, count(*)::BIGINT AS c FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS w FROM benchmark) GROUP BY ALL),
+sc AS (SELECT item_id, doc_id, rid, sum(c * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+       FROM q JOIN tf USING (w) JOIN df USING (w) JOIN m USING (rid) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rk FROM sc WHERE score > 0)
+SELECT item_id, rk::INTEGER AS rank, doc_id, score FROM r WHERE rk <= 10
+"""
+
+
+def _coded(*fields: str) -> str:
+    parts = [f"coalesce(octet_length(encode({f}::VARCHAR))::VARCHAR || ':' || {f}::VARCHAR, '-')" for f in fields]
+    return f"sha256({' || '.join(parts)})"
+
+
+_CRC = """xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+          lambda c, b: list_reduce(range(8), lambda d, i: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, b)),
+          4294967295::BIGINT), 4294967295::BIGINT)"""
+_UP = "list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))"
+OP12 = rf"""
+WITH RECURSIVE l AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, {_coded("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND n_chars IS NOT NULL AND {_CRC} % 7 = 0
+              THEN {_coded("doc_id", "source", "lang", "(n_chars + 1)", "text")} END AS other FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+tree AS (SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM p GROUP BY lang
+         UNION ALL SELECT lang, level + 1, {_UP} FROM tree WHERE len(nodes) > 1),
+sub AS (SELECT lang, nodes[1] AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS top_pos FROM tree WHERE len(nodes) = 1),
+top AS (SELECT 0 AS level, list(subroot ORDER BY top_pos) AS nodes FROM sub
+        UNION ALL SELECT level + 1, {_UP} FROM top WHERE len(nodes) > 1),
+steps AS (SELECT rid, level, len(nodes) AS size, pos >> level AS here, nodes FROM p JOIN tree ON p.lang IS NOT DISTINCT FROM tree.lang WHERE len(nodes) > 1
+          UNION ALL SELECT rid, height + top.level, len(nodes), top_pos >> top.level, nodes
+          FROM p JOIN sub ON p.lang IS NOT DISTINCT FROM sub.lang, top WHERE len(nodes) > 1),
+sib AS (SELECT rid, level, here % 2 = 1 AS is_left, CASE WHEN xor(here, 1) < size THEN nodes[xor(here, 1) + 1] END AS h FROM steps),
+proof AS (SELECT rid, sha256(coalesce(string_agg(h, '' ORDER BY level), '')) AS proof_sha256 FROM p LEFT JOIN sib USING (rid) GROUP BY rid),
+fold AS (SELECT rid, 0 AS level, coalesce(other, leaf) AS h FROM p
+         UNION ALL SELECT f.rid, f.level + 1, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN s.is_left THEN s.h || f.h ELSE f.h || s.h END)
+         FROM fold f JOIN sib s ON f.rid = s.rid AND f.level = s.level)
+SELECT doc_id, leaf, subroot, (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS root, proof_sha256,
+       arg_max(fold.h, fold.level) AS folded_root, arg_max(fold.h, fold.level) = (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS verified
+FROM p JOIN sub ON p.lang IS NOT DISTINCT FROM sub.lang JOIN proof USING (rid) JOIN fold USING (rid)
+GROUP BY p.rid, doc_id, leaf, subroot, proof_sha256
+"""
+
+SQL = {"op8_quality_rules": OP8, "op9_mix_sources": OP9, "op11_ranked_search": OP11, "op12_merkle_manifest": OP12}

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .best_fit_packing import pack_documents
 from .common import table
+from .fingerprints import edited_neighbours
 from .html_extraction import extract_pages
+from .lexical_search import ranked_search
 from .license_scan import license_scan
 from .media_columns import media_column, media_features
+from .merkle_manifest import merkle_manifest
 from .mix_sources import mix_sources
 from .ngram_join import similar_documents
 from .quality_rules import quality_rules
@@ -61,6 +64,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_hash")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents")).drop("grp")
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_license_scan, op4_html_extraction, op5_media_columns, op6_token_files, op7_ngram_join, op8_quality_rules, op9_mix_sources, op10_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_license_scan, op4_html_extraction, op5_media_columns, op6_token_files, op7_ngram_join, op8_quality_rules, op9_mix_sources, op10_best_fit_packing,
+                               op11_ranked_search, op12_merkle_manifest, op13_fingerprints)
 }
