@@ -1,14 +1,13 @@
 """Syllabus structure and outlines.
 
-A syllabus is one short document, so its line grammar runs in one Python call per document;
-everything that relates chapters, topics and entries is relational.
+A syllabus is a relation of lines.  What a line is follows from its own form, from the next
+line that is not blank (a numbered line with something deeper below is a chapter) and from
+the chapters before it, so the grammar is one projection over two windows of a text's lines;
+any number of texts is read at once.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,68 +17,56 @@ from ..functions import text as T
 from ..functions import unicode as U
 from . import outline
 
-#: Words that open a chapter line.
-CHAPTER_WORDS = (
-    "chapter", "capitolo", "module", "modulo", "unit", "unità", "unita", "topic", "tema", "section", "sezione", "lezione", "argomento", "parte", "part",
-)
-_NUMBER = r"(?:\d+|[ivxlcdm]+)"
-_NAMED = re.compile(rf"^(?:#{{1,3}}\s+)?(?:{'|'.join(CHAPTER_WORDS)})\s+{_NUMBER}\s*[:.\-–]?\s*(.*)$", re.I)
-_MARKED = re.compile(rf"^#{{1,3}}\s+{_NUMBER}[.)]\s+(.+)$", re.I)
-_NUMBERED = re.compile(r"^(\s*)\d+[.)]\s+(.+)$")
-_LETTERED = re.compile(r"^\s*[a-zA-Z][.)]\s+(.{2,})$")
-_BULLET = re.compile(r"^\s*[-*+•]\s+(.+)$")
-
-
-def _indent(line: str) -> int:
-    return len(line) - len(line.lstrip())
-
-
-def _has_items(rows: list[str], i: int) -> bool:
-    """Whether a numbered line is followed, before the next line of its depth, by an item of a
-    deeper kind."""
-    depth = _indent(rows[i])
-    for line in rows[i + 1 :]:
-        if not line.strip():
-            continue
-        if _indent(line) > depth:
-            return bool(_NUMBERED.match(line) or _LETTERED.match(line) or _BULLET.match(line))
-        return bool(_LETTERED.match(line) or _BULLET.match(line))
-    return False
-
-
-def parse_syllabus(text: str | None) -> list[tuple[str, list[str]]]:
-    """Chapters with their sections; lines before the first chapter are left out."""
-    rows = (text or "").split("\n")
-    out: list[tuple[str, list[str]]] = []
-    for i, line in enumerate(rows):
-        bare = line.strip()
-        if not bare:
-            continue
-        named, numbered = _NAMED.match(bare), _NUMBERED.match(line)
-        if named:
-            out.append((named[1].strip() or bare, []))
-        elif numbered and _has_items(rows, i):
-            out.append((numbered[2].strip(), []))
-        elif marked := _MARKED.match(bare):
-            out.append((marked[1].strip(), []))
-        elif out and (item := numbered and numbered[2] or (m := _LETTERED.match(line) or _BULLET.match(line)) and m[1]):
-            out[-1][1].append(item.strip())
-    return out
+#: The words that open a chapter line, and the forms of chapter and section lines.
+CHAPTER_WORDS = "Chapter|Capitolo|Module|Modulo|Unit|Uni[tà]|Topic|Tema|Section|Sezione|Lezione|Argomento|Parte|Part"
+NAMED = rf"(?iU)^\*{{0,2}}(?:#{{1,3}}\s+)?(?:{CHAPTER_WORDS})\s+(?:\d+|[IVXLCDM]+)(?:\s*[:.\-]\s+|\s+)(.+?)\*{{0,2}}$"
+NUMBERED = r"(?U)^\d+[.)]\s+(.+)$"
+MARKED = r"(?U)^#{1,3}\s+(?:\d+|[IVXLCDM]+)[.)]\s+(.+?)\*{0,2}$"
+NUMBERED_SECTION = r"(?U)^\d+(?:\.\d+)*[.)]?\s+\*?\*?(.+?)\*?\*?\s*$"
+LETTERED_SECTION = r"(?U)^\(?[a-zA-Z]\)?\.?\s+\*?\*?(.+?)\*?\*?\s*$"
+BULLET_SECTION = r"(?U)^[-•*]\s+\*?\*?(.+?)\*?\*?\s*$"
+#: What ends a line.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
-def syllabus_structure(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, idx, title, sections)."""
+def text_lines(c: Column) -> Column:
+    """The lines of a text; a line end at its end begins no other line."""
+    parts = F.split(F.coalesce(c, F.lit("")), LINE_END)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(k, i, t, s) for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                    for i, (t, s) in enumerate(parse_syllabus(body))]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-            types = (pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "idx", "title", "sections"])
+def syllabus_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The lines of texts that are not blank, as rows (key, pos, chapter, section): the title of a
+    chapter that begins there, or the section that the line is if it stands in a chapter.
+
+    First form that fits: a named chapter, a numbered line with something deeper below, a
+    numbered heading; then a numbered, lettered or bulleted section.  A numbered line counts as
+    a chapter too if the text ends with one blank line after it.
+    """
+    lines = text_lines(F.col(text))
+    rows = df.select(F.col(key).cast("string").alias("key"), F.size(lines).alias("n"), F.posexplode(lines).alias("pos", "line"))
+    bare = T.strip(F.col("line"))
+    rows = rows.withColumns({"bare": bare, "indent": F.length("line") - F.length(F.regexp_replace("line", r"(?U)^\s+", ""))}).where(F.length("bare") > 0)
+    below = F.lead("indent").over(W.partitionBy("key").orderBy("pos"))
+    rows = rows.withColumn("deeper", F.coalesce(below > F.col("indent"), F.col("pos") == F.col("n") - 2))
+    form = lambda pattern: F.when(F.rlike("bare", F.lit(pattern)), T.strip(F.regexp_extract("bare", pattern, 1)))
+    chapter = F.coalesce(form(NAMED), F.when(F.col("deeper"), form(NUMBERED)), form(MARKED))
+    lettered = form(LETTERED_SECTION)
+    section = F.coalesce(form(NUMBERED_SECTION), F.when(F.length(lettered) > 1, lettered), form(BULLET_SECTION))
+    rows = rows.withColumn("chapter", chapter)
+    return rows.select("key", "pos", "chapter", F.when(F.col("chapter").isNull(), section).alias("section"))
 
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(parse, "key string, idx int, title string, sections array<string>")
+
+def syllabus_structure(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, idx, title, sections): the chapters of texts in order, with their sections.
+
+    Lines before a text's first chapter are left out; a text without one (a flat or empty
+    syllabus) has no rows.  One shuffle, by text: windows and groups share it.
+    """
+    so_far = W.partitionBy("key").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = syllabus_lines(df, key, text).withColumn("idx", (F.count("chapter").over(so_far) - 1).cast("int")).where("idx >= 0")
+    found = F.sort_array(F.collect_list(F.when(F.col("section").isNotNull(), F.struct("pos", "section"))))
+    return rows.groupBy("key", "idx").agg(F.max("chapter").alias("title"), F.transform(found, lambda x: x["section"]).alias("sections"))
 
 
 def entries(c: Column) -> Column:
@@ -96,8 +83,8 @@ def unique_anchors(df: DataFrame, anchor: Column, order: str) -> DataFrame:
 
 
 def index_entries(chapters: DataFrame) -> DataFrame:
-    """Chapters (idx, title, sections) as index rows (title, anchor, level, ord)."""
-    rows = chapters.select("idx", F.posexplode(F.concat(F.array("title"), "sections")).alias("pos", "title"))
+    """Chapters (idx, title, sections) as index rows (title, anchor, level, ord); blank titles have none."""
+    rows = chapters.select("idx", F.posexplode(F.concat(F.array("title"), "sections")).alias("pos", "title")).where(~T.is_blank(F.col("title")))
     rows = rows.withColumn("ord", (F.row_number().over(W.orderBy("idx", "pos")) - 1).cast("int"))
     rows = rows.withColumn("level", F.when(F.col("pos") == 0, 1).otherwise(2))
     return unique_anchors(rows, U.slug(F.col("title")), "ord").select("title", "anchor", "level", "ord")

@@ -215,6 +215,28 @@ SQL = {
           ('Notes on networks', false), ('12', true), ('ℹ More', true), ('Key tips', false)) v(heading, decorative)""",
     "claimed_topics": "SELECT (row_number() OVER (ORDER BY t) - 1)::INT AS idx, (row_number() OVER (ORDER BY t) - 1)::INT AS ord FROM (SELECT DISTINCT p_type AS t FROM part)",
     "outline_chapters": "SELECT r_regionkey AS idx, upper(r_name[1]) || lower(r_name[2:]) AS title, (SELECT string_agg(n_nationkey, ',' ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) AS topics FROM region",
+    "syllabus_outline": r"""
+        WITH s AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, j: (CASE WHEN (j - 1) % 5 = 4 THEN chr(10) ELSE '' END) || CASE (j - 1 + doc_id) % 13
+              WHEN 0 THEN '### Chapter ' || (j - 1) || ': ' || x WHEN 1 THEN '**module ' || (j - 1) || ' - ' || x WHEN 2 THEN (j - 1) || '. ' || x WHEN 3 THEN '  ' || (j - 1) || ') ' || x
+              WHEN 4 THEN '1.' || (j - 1) || ' ' || x WHEN 5 THEN '    c) ' || x WHEN 6 THEN '- **' || x || '**' WHEN 7 THEN chr(9) || x WHEN 8 THEN '## IV. ' || x || '**'
+              WHEN 9 THEN '(b) ' || x WHEN 10 THEN chr(8226) || ' ' || x WHEN 11 THEN '   ' || x || ' ' ELSE 'Uni 3 ' || x END), chr(10)) AS text FROM documents),
+        -- A line end at the end of a text begins no other line.
+        ls AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]') AS ls FROM s),
+        cut AS (SELECT doc_id, CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END AS ls FROM ls),
+        l AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM cut),
+        b AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS bare, length(line) - length(regexp_replace(line, '^\s+', '')) AS indent FROM l),
+        w AS (SELECT *, coalesce(lead(indent) OVER (PARTITION BY doc_id ORDER BY pos) > indent, pos = n - 2) AS deeper FROM b WHERE bare <> ''),
+        c AS (SELECT *, CASE
+              WHEN regexp_matches(bare, '(?i)^\*{0,2}(#{1,3}\s+)?(Chapter|Capitolo|Module|Modulo|Unit|Uni[tà]|Topic|Tema|Section|Sezione|Lezione|Argomento|Parte|Part)\s+(\d+|[IVXLCDM]+)(\s*[:.\-]\s+|\s+)(.+?)\*{0,2}$')
+              THEN regexp_extract(bare, '(?i)^\*{0,2}(?:#{1,3}\s+)?(?:Chapter|Capitolo|Module|Modulo|Unit|Uni[tà]|Topic|Tema|Section|Sezione|Lezione|Argomento|Parte|Part)\s+(?:\d+|[IVXLCDM]+)(?:\s*[:.\-]\s+|\s+)(.+?)\*{0,2}$', 1)
+              WHEN deeper AND regexp_matches(bare, '^\d+[.)]\s+.+$') THEN regexp_extract(bare, '^\d+[.)]\s+(.+)$', 1)
+              WHEN regexp_matches(bare, '^#{1,3}\s+(\d+|[IVXLCDM]+)[.)]\s+.+$') THEN regexp_extract(bare, '^#{1,3}\s+(?:\d+|[IVXLCDM]+)[.)]\s+(.+?)\*{0,2}$', 1) END AS title FROM w),
+        i AS (SELECT *, count(title) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS idx, CASE
+              WHEN regexp_matches(bare, '^\d+(\.\d+)*[.)]?\s+.+$') THEN regexp_extract(bare, '^\d+(?:\.\d+)*[.)]?\s+\*?\*?(.+?)\*?\*?\s*$', 1)
+              WHEN length(trim(regexp_extract(bare, '^\(?[a-zA-Z]\)?\.?\s+\*?\*?(.+?)\*?\*?\s*$', 1))) > 1 THEN regexp_extract(bare, '^\(?[a-zA-Z]\)?\.?\s+\*?\*?(.+?)\*?\*?\s*$', 1)
+              WHEN regexp_matches(bare, '^[-•*]\s+.+$') THEN regexp_extract(bare, '^[-•*]\s+\*?\*?(.+?)\*?\*?\s*$', 1) END AS section FROM c)
+        SELECT doc_id, idx::INTEGER AS idx, trim(max(title)) AS title, coalesce(string_agg(trim(section), '|' ORDER BY pos) FILTER (WHERE title IS NULL), '') AS sections
+        FROM i WHERE idx >= 0 GROUP BY doc_id, idx""",
     "uncovered_topics": "SELECT n_nationkey AS ord, n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT length(n_name) FROM nation WHERE n_regionkey < 3)",
     "closest_topics": """
         WITH c AS (SELECT min(p_partkey) AS idx, unnest(list_distinct(list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'), lambda w: length(w) > 3))) AS w FROM part GROUP BY p_type),

@@ -314,6 +314,28 @@ def outline_chapters(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("idx", "title", F.array_join(F.array_sort("topic_ords"), ",").alias("topics"))
 
 
+def _as_syllabi(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts as syllabi: their lines in turn take a form of chapter or section lines, by place and id."""
+    turn = lambda i: F.pmod(i + F.col("doc_id"), F.lit(13))
+    before = ("### Chapter ", "**module ", "", "  ", "1."), (": ", " - ", ". ", ") ", " ")
+    around = (("    c) ", ""), ("- **", "**"), ("\t", ""), ("## IV. ", "**"), ("(b) ", ""), ("• ", ""), ("   ", " "), ("Uni 3 ", ""))
+
+    def form(x, i):  # noqa: ANN001, ANN202
+        lines = [F.concat(F.lit(a), i.cast("string"), F.lit(b), x) for a, b in zip(*before, strict=True)]
+        lines += [F.concat(F.lit(a), x, F.lit(b)) for a, b in around]
+        out = F.lit("")
+        for n, line in enumerate(lines):
+            out = F.when(turn(i) == n, line).otherwise(out)
+        return F.when(F.pmod(i, F.lit(5)) == 4, F.concat(F.lit("\n"), out)).otherwise(out)
+
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), form), "\n").alias("text"))
+
+
+def syllabus_outline(spark: SparkSession, sf: str) -> DataFrame:
+    found = syllabus.syllabus_structure(_as_syllabi(spark, sf), "doc_id", "text")
+    return found.select(F.col("key").cast("long").alias("doc_id"), "idx", "title", F.array_join("sections", "|").alias("sections"))
+
+
 def uncovered_topics(spark: SparkSession, sf: str) -> DataFrame:
     held = _nation_chapters(spark, sf).where("idx < 3").select(F.transform("sections", lambda s: F.length(s).cast("long")).alias("topic_ords"))
     return outline.uncovered(_nation_topics(spark, sf), held).select("ord", "name")
@@ -535,7 +557,7 @@ QUERIES: dict[str, Query] = {
         validation_rollup, incremental_state, cache_probe, cache_misses, upsert_latest, latest_hashes, toc_render, sources_block,
         keyword_chunks_documents, tiered_chunks_documents,
         json_props, image_refs_antijoin, plain_text_metrics, latest_document, pdf_structure_lines, topic_focus, heading_alignment, decorative_headings,
-        claimed_topics, outline_chapters, uncovered_topics, closest_topics, outline_warnings, topic_order, topics_block, chunk_ids_by_name, focus_subtopics,
+        claimed_topics, outline_chapters, syllabus_outline, uncovered_topics, closest_topics, outline_warnings, topic_order, topics_block, chunk_ids_by_name, focus_subtopics,
         topic_coverage, chapter_selection, record_violations, normalized_documents, inventory_json, topics_json, outline_md, index_checklist, chapter_files,
         existing_chapters, chapters_to_generate, validation_json, scan_counters, syllabus_probe, ocr_images, encoded_images, depth_budget, invalidated_state,
         previous_models, latest_topics, topics_update, state_lookup, document_deletion, cache_without_model, cache_upsert, reused_chunks, topic_images,

@@ -51,10 +51,26 @@ def test_syllabus_coverage(spark):
         (0, False, False), (1, True, False), (2, True, False), (None, False, True)]
 
 
-def test_syllabus_grammar():
-    text = "Intro\n### 1. First\n- a\n- b\n### 2. Second\n- c\nChapter III: Third\n1. x\n   a) deep item"
-    assert syllabus.parse_syllabus(text) == [("First", ["a", "b"]), ("Second", ["c"]), ("Third", []), ("x", ["deep item"])]
-    assert syllabus.parse_syllabus("1. only") == [] and syllabus.parse_syllabus(None) == []
+def structure(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    out = [[] for _ in texts]
+    for r in syllabus.syllabus_structure(df, "k", "t").orderBy("key", "idx").collect():
+        assert r["idx"] == len(out[int(r["key"])])
+        out[int(r["key"])].append((r["title"], r["sections"]))
+    return out
+
+
+def test_syllabus_grammar(spark):
+    mixed = "Intro\n### 1. First\n- a\n- b\n### 2. Second\n- c\nChapter III: Third\n1. x\n   a) deep item"
+    forms = ("Module 2\nChapter 1: Intro\n1.1 One\n(a) Three\n2 Two words\nModule 2\n\n**capitolo iv - Bold one**\n- **bold**\n1. Flat\n- same depth\n"
+             "2. Deep\n   plain\n\n\n 3) Gap\n\n\t\t\ta. x\n\t\t\ta. yy\n### II. **Marked**\n### ii. not marked\n• dot\n+ plus")
+    many = "\n".join(f"### {i + 1}. Part {i}\n" + "\n".join(f"- item {i}.{j}" for j in range(n)) for i, n in enumerate((2, 10, 12, 5)))
+    got = structure(spark, mixed, forms, many, "1. only", None, "", "1. one\n2. two\n3. three", "1. one\r\n  a\r\n2. two\n\n", "1. last\n\n\n", "Unit 1 A - b\x0b- c")
+    assert got[0] == [("First", ["a", "b"]), ("Second", ["c"]), ("Third", []), ("x", ["deep item"])]
+    assert got[1] == [("Intro", ["One", "Three", "Two words"]), ("Bold one", ["bold", "Flat", "same depth"]), ("Deep", []), ("Gap", ["yy"]), ("**Marked", ["dot"])]
+    assert [(t, len(x)) for t, x in got[2]] == [(f"Part {i}", n) for i, n in enumerate((2, 10, 12, 5))]
+    assert got[3:7] == [[], [], [], []]
+    assert got[7] == [("one", []), ("two", [])] and got[8] == [] and got[9] == [("A", ["b", "c"])]
 
 
 def test_anchors_and_claims(spark):
