@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from ..functions import unicode as U
 #: What stands before the first chapter outside the syllabus, and after cut material.
 EXTRA_HEADING = "---\n\n## Additional Topics (not in syllabus)\n\n"
 TRUNCATED = "\n...[truncated]"
+#: Fixed value: characters of source material that a prompt holds at most.
+MATERIAL_CAP = 131072
 
 
 class TemplateError(Exception):
@@ -45,28 +49,52 @@ def budget_prefix(rows: DataFrame, group: list[str], order: str, length: Column,
     return rows.withColumn("taken", taken).where((F.col("taken") > 0) & (before <= most)).drop("_n")
 
 
-def chunks_text(chunks: DataFrame, topic: str, most: int = 131072, least: int = 20) -> DataFrame:
-    """The prompt's source material of each topic, within a budget of characters."""
-    kept = chunks.where(F.length(T.strip(F.col("content"))) >= least)
-    entry = F.concat(F.lit("--- Source "), (F.col("ord") + 1).cast("string"), F.lit(" ---\n"), F.col("content"))
-    rows = budget_prefix(kept.withColumn("entry", entry), [topic], "ord", F.length("entry"), most)
-    cut = F.when(F.col("taken") < F.length("entry"), F.concat(F.substring("entry", F.lit(1), F.col("taken").cast("int")), F.lit(TRUNCATED))).otherwise(F.col("entry"))
-    parts = F.sort_array(F.collect_list(F.struct(F.col("ord"), cut.alias("t"))))
-    return rows.groupBy(topic).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("material"))
+def material_limit(most: int, depth: int) -> int:
+    """Characters of source material at a depth from 1 to 10: a third more for each step, up to the cap."""
+    return min(int(most * (1.0 + (max(1, min(10, depth)) - 1) * 0.33)), MATERIAL_CAP)
+
+
+def material_rows(chunks: DataFrame, topic: str, most: int = 150_000, depth: int = 5, least: int = 20) -> DataFrame:
+    """Chunks (topic, ord, content) that enter a topic's prompt, as rows (topic, ord, part).
+
+    Chunks of fewer than `least` characters are left out, but count for the numbers of the others.  A
+    chunk counts with its head and its stripped text; the first that doesn't fit is cut where more than
+    200 characters are left, and nothing follows it.
+    """
+    limit, w = material_limit(most, depth), W.partitionBy(topic).orderBy("ord")
+    rows = chunks.withColumns({"body": T.strip(F.col("content")), "number": F.row_number().over(w)}).where(F.length("body") >= least)
+    head = F.concat(F.lit("--- Source "), F.col("number").cast("string"), F.lit(" ---"))
+    size = F.length(head) + F.length("body")
+    rows = rows.withColumns({"head": head, "running": F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0)), "size": size})
+    left = limit - (F.col("running") - F.col("size"))
+    cut = F.concat(F.substring("body", F.lit(1), (left - 20).cast("int")), F.lit(TRUNCATED))
+    body = F.when(F.col("running") <= limit, F.col("body")).when(left > 200, cut)
+    return rows.where((left >= 0) & body.isNotNull()).select(topic, "ord", F.concat("head", F.lit("\n"), body).alias("part"))
+
+
+def chunks_text(chunks: DataFrame, topic: str, most: int = 150_000, depth: int = 5, least: int = 20) -> DataFrame:
+    """The prompt's source material of each topic (bounded by the limit of characters)."""
+    parts = F.sort_array(F.collect_list(F.struct("ord", "part")))
+    return material_rows(chunks, topic, most, depth, least).groupBy(topic).agg(F.array_join(F.transform(parts, lambda x: x["part"]), "\n\n").alias("material"))
 
 
 def apply_template(template: str, columns: dict[str, Column]) -> Column:
-    """A template's {{name}} places filled; a quoted table of contents keeps its quote marks."""
-    if not {"title", "content"} <= set(columns):
-        raise TemplateRenderError("a template needs title and content")
+    """A template's {{name}} places filled.  A table of contents behind quote marks keeps them on each
+    line; without contents, that place goes as a whole.  Runs of blank lines become one."""
+    for name in ("title", "content"):
+        if "{{" + name + "}}" not in template:
+            raise TemplateRenderError(f"the template has no place for {name}")
+    value = lambda name: F.coalesce(columns.get(name, F.lit("")), F.lit(""))
     out = F.lit(template)
     for name in ("images", "sources", "content"):
-        out = F.replace(out, F.lit("{{" + name + "}}"), F.coalesce(columns.get(name, F.lit("")), F.lit("")))
-    toc = F.coalesce(columns.get("toc", F.lit("")), F.lit(""))
-    quoted = F.array_join(F.transform(F.split(toc, "\n"), lambda x: F.concat(F.lit("> "), x)), "\n")
-    out = F.when(F.length(toc) > 0, F.replace(out, F.lit("> {{toc}}"), quoted)).otherwise(F.regexp_replace(out, r"(?m)^.*\{\{toc\}\}.*\n?", ""))
-    out = F.replace(F.replace(out, F.lit("{{toc}}"), toc), F.lit("{{title}}"), columns["title"])
-    return F.regexp_replace(out, r"\n{3,}", "\n\n")
+        out = F.replace(out, F.lit("{{" + name + "}}"), value(name))
+    toc = value("toc")
+    if quoted := re.search(r"^(\s*>+\s*)\{\{toc\}\}\s*$", template, re.M):
+        lines = F.array_join(F.transform(F.split(toc, "\n"), lambda x: F.concat(F.lit(quoted[1]), x)), "\n")
+        out = F.replace(out, F.lit(quoted[0]), F.when(F.length(toc) > 0, lines).otherwise(""))
+    else:
+        out = F.replace(out, F.lit("{{toc}}"), toc)
+    return F.regexp_replace(F.replace(out, F.lit("{{title}}"), value("title")), r"([^\n]+)\n\n+([^\n])", "$1\n\n$2")
 
 
 def render_images(caption: Column, path: Column) -> Column:

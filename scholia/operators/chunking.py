@@ -33,7 +33,7 @@ def _pack(segments: list[str], most: int, overlap: int, tokens: Callable[[str],
                 out.append("\n\n".join(s for s, _ in held))
                 held, total = [], 0
             parts = [p for p in _SENTENCE.split(segment) if p.strip()]
-            out += _pack(parts, most, overlap, tokens) if len(parts) > 1 else _pack_words(segment, most, tokens)
+            out += _pack(parts, most, overlap, tokens) if len(parts) > 1 else _pack_words(segment, most, overlap, tokens)
             continue
         if held and total + n > most:
             out.append("\n\n".join(s for s, _ in held))
@@ -52,13 +52,19 @@ def _pack(segments: list[str], most: int, overlap: int, tokens: Callable[[str],
     return out
 
 
-def _pack_words(text: str, most: int, tokens: Callable[[str], int]) -> list[str]:
+def _pack_words(text: str, most: int, overlap: int, tokens: Callable[[str], int]) -> list[str]:
+    """Words in turn; a full part hands on its last words within the overlap, unless that is all of it."""
     out, held, total = [], [], 0
     for word in text.split():
         n = tokens(word + " ")
         if held and total + n > most:
             out.append(" ".join(held))
-            held, total = [], 0
+            size, first = 0, len(held)
+            while first and size + tokens(held[first - 1] + " ") <= overlap:
+                first -= 1
+                size += tokens(held[first] + " ")
+            held = held[first:] if first and overlap > 0 else []
+            total = tokens(" ".join(held) + " ") if overlap > 0 else 0
         held.append(word)
         total += n
     return [*out, " ".join(held)] if held else out

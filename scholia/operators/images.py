@@ -56,11 +56,16 @@ def extracted_images(images: DataFrame, folder: str = "output/assets/images", le
 
 
 def nearest_captions(images: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Each image (id, page, x, y) with the text of the nearest block (page, bx, by, text) on its page."""
-    distance = F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))
-    near = images.join(blocks, "page").withColumn("d", distance)
-    best = near.groupBy("id").agg(F.min_by("text", F.struct("d", "text")).alias("caption"))
-    return best.withColumn("caption", F.nullif(F.trim("caption"), F.lit("")))
+    """Captions of images (id, page, x, y) from the text blocks (page, block, bx, by, text) of their page.
+
+    Blocks are seen in turn; one that is nearer than all before it gives the caption if it has text, and
+    sets the distance to beat even if it has none.
+    """
+    turn = W.partitionBy("id").orderBy("block")
+    near = images.join(blocks, "page").withColumns({"d": F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")), "t": F.regexp_replace("text", r"(?U)^\s+|\s+$", "")})
+    before = F.min("d").over(turn.rowsBetween(W.unboundedPreceding, -1))
+    records = near.withColumn("before", before).where("before IS NULL OR d < before")
+    return records.groupBy("id").agg(F.max_by(F.when(F.length("t") > 0, F.col("t")), F.when(F.length("t") > 0, F.col("block"))).alias("caption"))
 
 
 def vision_candidates(images: DataFrame, topic: str, most: int = VISION_CANDIDATES) -> DataFrame:

@@ -68,57 +68,78 @@ def chunks_for_topics(topics: DataFrame, chunks: DataFrame) -> DataFrame:
     return tiers.join(first, ["ord", "tier"]).distinct()
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Shared words over the larger set."""
-    most = F.greatest(F.size(a), F.size(b))
-    return F.when(most > 0, F.size(F.array_intersect(a, b)) / most).otherwise(F.lit(0.0))
-
+def entry_words(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: F.length(w) >= 2))
 
-def name_score(a: Column, b: Column, words_a: Column, words_b: Column) -> Column:
-    """2 for equal names; else the better of containment (shorter / longer) and word overlap."""
-    x, y = F.lower(T.strip(a)), F.lower(T.strip(b))
-    within = F.when(
-        (F.length(x) > 0) & (F.length(y) > 0) & (F.contains(x, y) | F.contains(y, x)),
-        F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y)),
-    ).otherwise(F.lit(0.0))
-    return F.when(x == y, F.lit(2.0)).otherwise(F.greatest(within, overlap(words_a, words_b)))
 
+def _containing_names(names: DataFrame, keys: DataFrame) -> DataFrame:
+    """Distinct pairs of a name (t) and a key (k) within it, of any length: an equi-join on the key's first letters."""
+    index, wanted = None, keys.where(F.length("k") > 0).select("k", F.least(F.length("k"), F.lit(GRAM)).alias("len"))
+    for n in range(1, GRAM + 1):
+        at = F.sequence(F.lit(1), F.length("t") - n + 1)
+        width = F.lit(n)
+        grams = F.array_distinct(F.transform(at, lambda i: F.substring(F.col("t"), i, width)))  # noqa: B023
+        rows = names.where(F.length("t") >= n).select("t", F.lit(n).alias("len"), F.explode(grams).alias("gram"))
+        index = rows if index is None else index.unionByName(rows)
+    found = index.join(wanted.withColumn("gram", F.substring("k", F.lit(1), F.col("len"))), ["len", "gram"])
+    return found.where(F.contains("t", "k")).select("t", "k").distinct()
 
-def entry_words(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: F.length(w) >= 2))
 
+def best_match(left: DataFrame, right: DataFrame, words, least: float, strict: bool = False) -> DataFrame:  # noqa: ANN001
+    """For names (ord, a) the entry (idx, b) that a pass over the entries ends with, and its score.
 
-def best_match(left: DataFrame, right: DataFrame, score: Column, least: float, strict: bool = False) -> DataFrame:
-    """For each `ord`, the `idx` with the highest score, the earliest among equals."""
-    scored = left.crossJoin(right).withColumn("score", score)
-    best = scored.groupBy("ord").agg(F.max(F.struct("score", -F.col("idx"))).alias("best"))
+    The first equal name wins with 2.  Else entries are seen in turn: one that holds the name, or is held
+    by it, becomes the best with shorter / longer if that exceeds the best so far; if not, shared words
+    over the larger set of words may exceed it.  Only entries that share a word or hold each other meet
+    (by equi-joins), and only their numbers are folded.
+    """
+    lower = lambda c: F.lower(T.strip(F.coalesce(c, F.lit(""))))
+    x, y = left.select("ord", lower(F.col("a")).alias("a")), right.select("idx", lower(F.col("b")).alias("b"))
+    names = lambda d, c, to: d.select(F.col(c).alias(to)).distinct()
+    held = _containing_names(names(y, "b", "t"), names(x, "a", "k")).select(F.col("k").alias("a"), F.col("t").alias("b"))
+    held = held.unionByName(_containing_names(names(x, "a", "t"), names(y, "b", "k")).select(F.col("t").alias("a"), F.col("k").alias("b"))).distinct()
+    within = held.withColumn("within", F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b")))
+    within = x.join(within, "a").join(y, "b").select("ord", "idx", "within", (F.col("a") == F.col("b")).alias("same"), F.lit(0.0).alias("shared"))
+    wx, wy = x.select("ord", words(F.col("a")).alias("w")), y.select("idx", words(F.col("b")).alias("w"))
+    sized = lambda d, key, n: d.select(key, F.size("w").alias(n), F.explode("w").alias("w"))
+    both = sized(wx, "ord", "n").join(sized(wy, "idx", "m"), "w").groupBy("ord", "idx").agg((F.count("*") / F.greatest(F.first("n"), F.first("m"))).alias("shared"))
+    both = both.select("ord", "idx", F.lit(0.0).alias("within"), F.lit(False).alias("same"), "shared")
+    scored = within.unionByName(both).groupBy("ord", "idx").agg(*(F.max(c).alias(c) for c in ("same", "within", "shared")))
+    seen = F.sort_array(F.collect_list(F.struct("idx", "same", "within", "shared")))
+    state = lambda idx, score: F.struct(idx.cast("long").alias("idx"), score.cast("double").alias("score"))
+
+    def step(best, e):  # noqa: ANN001, ANN202
+        better = F.when(e["within"] > best["score"], state(e["idx"], e["within"])).when(e["shared"] > best["score"], state(e["idx"], e["shared"]))
+        return F.when(best["score"] == 2, best).when(e["same"], state(e["idx"], F.lit(2.0))).otherwise(F.coalesce(better, best))
+
+    best = scored.groupBy("ord").agg(F.aggregate(seen, state(F.lit(-1), F.lit(0.0)), step).alias("best"))
     reached = F.col("best.score") > least if strict else F.col("best.score") >= least
-    return best.where(reached).select("ord", (-F.col("best.col2")).alias("idx"), F.col("best.score").alias("score"))
+    return best.where(reached).select("ord", F.col("best.idx").cast(right.schema["idx"].dataType).alias("idx"), F.col("best.score").alias("score"))
 
 
 def match_entries(topics: DataFrame, entries: DataFrame, least: float = 0.2) -> DataFrame:
-    """Topics (ord, name) with their syllabus entry (idx, title); both are short lists."""
-    left = topics.select("ord", F.col("name").alias("_a"), entry_words(F.col("name")).alias("_wa"))
-    right = entries.select("idx", F.col("title").alias("_b"), entry_words(F.col("title")).alias("_wb"))
-    return best_match(left, right, name_score(F.col("_a"), F.col("_b"), F.col("_wa"), F.col("_wb")), least)
+    """Topics (ord, name) with their syllabus entry (idx, title)."""
+    return best_match(topics.select("ord", F.col("name").alias("a")), entries.select("idx", F.col("title").alias("b")), entry_words, least)
 
 
 def closest_topic(focus: str, topics: DataFrame) -> DataFrame:
     """The topic nearest to a focus; any positive score will do."""
-    left = topics.sparkSession.range(1).select(F.lit(0).alias("ord"), F.lit(focus).alias("_a"))
-    right = topics.select(F.col("ord").alias("idx"), F.col("name").alias("_b"))
-    words = lambda c: T.space_keywords(c, 0)
-    return best_match(left, right, name_score(F.col("_a"), F.col("_b"), words(F.col("_a")), words(F.col("_b"))), 0.0, strict=True)
+    left = topics.sparkSession.range(1).select(F.lit(0).alias("ord"), F.lit(focus).alias("a"))
+    return best_match(left, topics.select(F.col("ord").alias("idx"), F.col("name").alias("b")), lambda c: T.space_keywords(c, 0), 0.0, strict=True)
+
+
+def content_words(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: F.length(w) > 3))
 
 
-def chapter_topics(chapters: DataFrame, topics: DataFrame) -> DataFrame:
+def chapter_topics(chapters: DataFrame, topics: DataFrame, *keys: str) -> DataFrame:
     """Chapters (idx, title, sections) with the topics that share two words, or one if a topic has three at most."""
-    mine = T.space_keywords(F.concat_ws(" ", "title", F.concat_ws(" ", "sections")))
-    theirs = T.space_keywords(F.concat_ws(" ", "name", "description"))
-    left = chapters.select("idx", F.explode(mine).alias("w"))
-    right = topics.select("ord", theirs.alias("ws")).select("ord", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    common = left.join(right, "w").groupBy("idx", "ord").agg(F.count("*").alias("common"), F.first("n").alias("n"))
-    return common.where((F.col("common") >= 2) | (F.col("n") <= 3)).select("idx", "ord", "common")
+    mine = content_words(F.concat_ws(" ", "title", F.concat_ws(" ", "sections")))
+    theirs = content_words(F.concat_ws(" ", "name", "description"))
+    left = chapters.select(*keys, "idx", F.explode(mine).alias("w"))
+    right = topics.select(*keys, "ord", theirs.alias("ws")).select(*keys, "ord", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    common = left.join(right, [*keys, "w"]).groupBy(*keys, "idx", "ord").agg(F.count("*").alias("common"), F.first("n").alias("n"))
+    return common.where((F.col("common") >= 2) | (F.col("n") <= 3)).select(*keys, "idx", "ord", "common")
 
 
 def covered_syllabus(topics: DataFrame, entries: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -111,10 +111,49 @@ SQL = {
     "best_match_entry": f"""
         WITH t AS (SELECT n_nationkey::BIGINT AS ord, n_name || ' region' AS a FROM nation),
         e AS (SELECT r_regionkey::BIGINT AS idx, 'region ' || r_name AS b FROM region),
-        s AS (SELECT ord, idx, CASE WHEN lower(a) = lower(b) THEN 2.0::DOUBLE ELSE greatest(
-                CASE WHEN contains(lower(a), lower(b)) OR contains(lower(b), lower(a)) THEN least(length(a), length(b))::DOUBLE / greatest(length(a), length(b)) ELSE 0 END,
-                len(list_intersect({_ENTRY.format('a')}, {_ENTRY.format('b')}))::DOUBLE / greatest(len({_ENTRY.format('a')}), len({_ENTRY.format('b')}))) END AS score FROM t, e)
-        SELECT ord, idx, score FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY score DESC, idx) AS n FROM s) WHERE n = 1 AND score >= 0.2""",
+        w AS (SELECT *, CASE WHEN contains(lower(a), lower(b)) OR contains(lower(b), lower(a)) THEN least(length(a), length(b))::DOUBLE / greatest(length(a), length(b)) ELSE 0 END AS held,
+              len(list_intersect({_ENTRY.format('a')}, {_ENTRY.format('b')}))::DOUBLE / greatest(len({_ENTRY.format('a')}), len({_ENTRY.format('b')})) AS shared FROM t, e),
+        -- Entries are seen in turn: an equal name ends it, holding counts where it exceeds the best so far, else shared words do.
+        f AS (SELECT ord, list_reduce(list({{'idx': idx, 'same': lower(a) = lower(b), 'held': held, 'shared': shared, 'score': 0.0::DOUBLE}} ORDER BY idx),
+              lambda s, x: CASE WHEN s.score = 2 THEN s WHEN x.same THEN {{'idx': x.idx, 'same': true, 'held': 0.0::DOUBLE, 'shared': 0.0::DOUBLE, 'score': 2.0::DOUBLE}}
+                WHEN x.held > s.score THEN {{'idx': x.idx, 'same': false, 'held': 0.0::DOUBLE, 'shared': 0.0::DOUBLE, 'score': x.held}}
+                WHEN x.shared > s.score THEN {{'idx': x.idx, 'same': false, 'held': 0.0::DOUBLE, 'shared': 0.0::DOUBLE, 'score': x.shared}} ELSE s END,
+              {{'idx': -1::BIGINT, 'same': false, 'held': 0.0::DOUBLE, 'shared': 0.0::DOUBLE, 'score': 0.0::DOUBLE}}) AS r FROM w GROUP BY ord)
+        SELECT ord, r.idx AS idx, r.score AS score FROM f WHERE r.score >= 0.2""",
+    "entry_match_in_turn": f"""
+        WITH k AS (SELECT p_name AS n, lower(p_type) AS kind, min(p_partkey) AS key FROM part GROUP BY p_name, p_type),
+        t AS (SELECT key AS ord, n || ' ' || kind AS a FROM k),
+        e AS (SELECT key AS idx, CASE key % 4 WHEN 0 THEN kind || ' ' || n WHEN 1 THEN string_split(n, ' ')[1] WHEN 2 THEN n || ' ' || kind || ' basics' ELSE string_split(n, ' ')[-1] || '-' || kind END AS b FROM k),
+        w AS (SELECT *, CASE WHEN contains(lower(a), lower(b)) OR contains(lower(b), lower(a)) THEN least(length(a), length(b))::DOUBLE / greatest(length(a), length(b)) ELSE 0 END AS held,
+              len(list_intersect({_ENTRY.format('a')}, {_ENTRY.format('b')}))::DOUBLE / greatest(len({_ENTRY.format('a')}), len({_ENTRY.format('b')})) AS shared FROM t, e),
+        -- Entries are seen in turn: an equal name ends it, holding counts where it exceeds the best so far, else shared words do.
+        f AS (SELECT ord, list_reduce(list({{'idx': idx, 'same': lower(a) = lower(b), 'held': held, 'shared': shared, 'score': 0.0::DOUBLE}} ORDER BY idx),
+              lambda s, x: CASE WHEN s.score = 2 THEN s WHEN x.same THEN {{'idx': x.idx, 'same': true, 'held': 0.0::DOUBLE, 'shared': 0.0::DOUBLE, 'score': 2.0::DOUBLE}}
+                WHEN x.held > s.score THEN {{'idx': x.idx, 'same': false, 'held': 0.0::DOUBLE, 'shared': 0.0::DOUBLE, 'score': x.held}}
+                WHEN x.shared > s.score THEN {{'idx': x.idx, 'same': false, 'held': 0.0::DOUBLE, 'shared': 0.0::DOUBLE, 'score': x.shared}} ELSE s END,
+              {{'idx': -1::BIGINT, 'same': false, 'held': 0.0::DOUBLE, 'shared': 0.0::DOUBLE, 'score': 0.0::DOUBLE}}) AS r FROM w GROUP BY ord)
+        SELECT ord, r.idx AS idx, r.score AS score FROM f WHERE r.score >= 0.2""",
+    "prompt_material": r"""
+        WITH d AS (SELECT source, doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+        s AS (SELECT *, '--- Source ' || k || ' ---' AS head FROM d WHERE length(body) >= 20),
+        -- 20000 characters at depth 3: 1.66 times as many.
+        r AS (SELECT *, 33200 - sum(length(head) + length(body)) OVER (PARTITION BY source ORDER BY doc_id) + length(head) + length(body) AS room FROM s),
+        p AS (SELECT source, doc_id, head || chr(10) || CASE WHEN room >= length(head) + length(body) THEN body WHEN room > 200 THEN body[:room - 20] || chr(10) || '...[truncated]' END AS part FROM r WHERE room >= 0)
+        SELECT source, doc_id, length(part)::BIGINT AS n_chars, md5(part) AS part_md5 FROM p WHERE part IS NOT NULL""",
+    "chunks": r"""
+        WITH c AS (SELECT doc_id, source, """ + _CLEAN.format("text") + r""" AS c FROM documents),
+        u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY length(source) DESC, doc_id) AS k FROM c WHERE c <> '') WHERE k = 1),
+        s AS (SELECT doc_id, CASE WHEN length(c) // 4 <= 1024 THEN [c] ELSE list_filter(string_split(regexp_replace(c, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') END AS ss FROM u),
+        -- Sentences are packed while they fit in 1024 tokens; a full chunk hands on its last ones within 64, unless that is all of it.
+        f AS (SELECT doc_id, list_reduce(list_transform(ss, lambda x: {'n': length(x)::BIGINT, 'held': []::BIGINT[], 'done': []::BIGINT[]}),
+              lambda a, x: CASE WHEN len(a.held) > 0 AND list_sum(list_transform(a.held, lambda h: greatest(1, h // 4))) + greatest(1, x.n // 4) > 1024
+                THEN {'n': 0::BIGINT, 'held': list_append(list_filter(a.held, lambda h, i: i > 1 AND list_sum(list_transform(a.held[i:], lambda g: greatest(1, g // 4))) <= 64
+                        AND list_sum(list_transform(a.held, lambda g: greatest(1, g // 4))) > 64), x.n),
+                      'done': list_append(a.done, list_sum(a.held)::BIGINT + 2 * (len(a.held) - 1))}
+                ELSE {'n': 0::BIGINT, 'held': list_append(a.held, x.n), 'done': a.done} END,
+              {'n': 0::BIGINT, 'held': []::BIGINT[], 'done': []::BIGINT[]}) AS r FROM s),
+        p AS (SELECT doc_id, list_append(r.done, list_sum(r.held)::BIGINT + 2 * (len(r.held) - 1)) AS sizes FROM f)
+        SELECT doc_id::VARCHAR AS document_id, len(sizes)::BIGINT AS n_chunks, list_sum(list_transform(sizes, lambda x: greatest(1, x // 4)))::BIGINT AS n_tokens FROM p""",
     "chapter_topic_overlap": f"""
         WITH t AS (SELECT min(p_partkey) AS ord, {_WORDS3.format('p_type')} AS wt FROM part GROUP BY p_type),
         c AS (SELECT min(p_partkey) AS idx, {_WORDS3.format('p_name')} AS wc FROM part GROUP BY p_name),

@@ -114,6 +114,21 @@ def best_match_entry(spark: SparkSession, sf: str) -> DataFrame:
     return matching.match_entries(topics, entries)
 
 
+def entry_match_in_turn(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds of parts as topics; their words in other orders, and shorter and longer forms, as entries."""
+    kinds = table(spark, sf, "part").groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("key"))
+    name, kind = F.col("p_name"), F.lower("p_type")
+    topics = kinds.select(F.col("key").alias("ord"), F.concat_ws(" ", name, kind).alias("name"))
+    forms = F.when(F.col("key") % 4 == 0, F.concat_ws(" ", kind, name)).when(F.col("key") % 4 == 1, F.substring_index(name, " ", 1)).when(
+        F.col("key") % 4 == 2, F.concat_ws(" ", name, kind, F.lit("basics"))).otherwise(F.concat(F.substring_index(name, " ", -1), F.lit("-"), kind))
+    return matching.match_entries(topics, kinds.select(F.col("key").alias("idx"), forms.alias("title")))
+
+
+def prompt_material(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("source", F.col("doc_id").alias("ord"), F.col("text").alias("content"))
+    return assemble.material_rows(docs, "source", 20_000, 3).select("source", F.col("ord").alias("doc_id"), F.length("part").cast("long").alias("n_chars"), F.md5("part").alias("part_md5"))
+
+
 def chapter_topic_overlap(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part")
     topics = parts.groupBy("p_type").agg(F.min("p_partkey").alias("ord")).select("ord", F.col("p_type").alias("name"), F.lit("").alias("description"))
@@ -552,7 +567,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         dedup_exact, dedup_by_language, dedup_near_pairs_bound, dedup_near, normalize_metrics, pdf_garbage_flag, doc_type_syllabus,
-        paragraphs_sentences, chunks, keyword_chunks, tiered_chunks, best_match_entry, chapter_topic_overlap, image_rank_topk,
+        paragraphs_sentences, chunks, keyword_chunks, tiered_chunks, best_match_entry, entry_match_in_turn, prompt_material, chapter_topic_overlap, image_rank_topk,
         first_wins_distinct, anchors_unique, language_ratio, sentence_overlap_dups, split_sections, order_violations, budget_prefix,
         validation_rollup, incremental_state, cache_probe, cache_misses, upsert_latest, latest_hashes, toc_render, sources_block,
         keyword_chunks_documents, tiered_chunks_documents,

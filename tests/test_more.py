@@ -25,7 +25,7 @@ def test_images(spark):
     rows = images.extracted_images(df).collect()
     assert [(r["source_document_id"], r["width"], r["height"]) for r in rows] == [("d1", 200, 150)]
     found = spark.createDataFrame([("i", 1, 0.0, 0.0)], "id string, page int, x double, y double")
-    blocks = spark.createDataFrame([(1, 1.0, 1.0, "near"), (1, 5.0, 5.0, "far"), (2, 0.0, 0.0, "other")], "page int, bx double, by double, text string")
+    blocks = spark.createDataFrame([(1, 0, 1.0, 1.0, "near"), (1, 1, 5.0, 5.0, "far"), (2, 0, 0.0, 0.0, "other")], "page int, block int, bx double, by double, text string")
     assert images.nearest_captions(found, blocks).first()["caption"] == "near"
     text = ["# T", "intro", "## A", "a", "## Conclusion", "c"]
     assert images.insert_images(text, [("after introduction", "I"), ("before conclusion", "J"), ("nowhere", "K")]) == ["# T", "intro", "I", "## A", "a", "J", "## Conclusion", "c", "K"]

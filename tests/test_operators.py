@@ -1,9 +1,12 @@
 import io
 import zipfile
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
-from scholia.operators import assemble, chunking, dedup, generation, markdown, matching, syllabus
+from scholia.operators import assemble, chunking, dedup, generation, images, markdown, matching, syllabus
 from scholia.plans import study
 from scholia.plans.storage import Store
 from scholia.sources import files, state
@@ -104,9 +107,14 @@ def test_manual_checks(spark):
 def test_template(spark):
     df = spark.createDataFrame([("T", "Body", "- [a](#a)\n- [b](#b)")], "title string, content string, toc string")
     cols = {c: F.col(c) for c in ("title", "content", "toc")}
-    assert df.select(assemble.apply_template("# {{title}}\n\n> {{toc}}\n\n{{content}}\n", cols)).first()[0] == "# T\n\n> - [a](#a)\n> - [b](#b)\n\nBody\n"
+    assert df.select(assemble.apply_template("# {{title}}\n\n> {{toc}}\n\n{{content}}\n", cols)).first()[0] == "# T\n\n> - [a](#a)\n\n> - [b](#b)\nBody\n"
     empty = cols | {"toc": F.lit("")}
-    assert df.select(assemble.apply_template("# {{title}}\n> {{toc}}\n{{content}}", empty)).first()[0] == "# T\nBody"
+    assert df.select(assemble.apply_template("# {{title}}\n> {{toc}}\n{{content}}", empty)).first()[0] == "# T\n\nBody"
+    call = "# {{title}}\n\n> [!recap] R\n>\n> {{toc}}\n\n{{content}}"
+    assert df.select(assemble.apply_template(call, cols)).first()[0] == "# T\n\n> [!recap] R\n>\n> - [a](#a)\n> - [b](#b)\nBody"
+    assert df.select(assemble.apply_template(">> {{toc}}\n{{title}} {{content}}", cols)).first()[0] == ">> - [a](#a)\n>> - [b](#b)\nT Body"
+    with pytest.raises(assemble.TemplateRenderError):
+        assemble.apply_template("# {{title}} without the other", cols)
 
 
 def test_sources_and_merge(spark):
@@ -162,3 +170,62 @@ def test_phases(spark):
     bodies = spark.createDataFrame([(0, "# Vectors\n\n## spaces\n\nA vector. Another. Third.\n")], "ord int, md string")
     manual, checks = study.chapters_phase(outlined, bodies, "2024-01-01")
     assert "# 1. Vectors" in manual.first()["md"] and checks.first()["n_checks"] == 6
+
+
+def in_turn(names, entries, words, least, strict):
+    """What a pass over the entries ends with, by plain loops."""
+    out = {}
+    for o, name in names:
+        a, best, score = name.lower().strip(), None, 0.0
+        for i, entry in entries:
+            b = entry.lower().strip()
+            if a == b:
+                best, score = i, 2.0
+                break
+            held = min(len(a), len(b)) / max(len(a), len(b), 1) if a in b or b in a else 0.0
+            x, y = words(a), words(b)
+            shared = len(x & y) / max(len(x), len(y), 1)
+            if held > score or shared > score:
+                best, score = i, held if held > score else shared
+        if best is not None and (score > least if strict else score >= least):
+            out[o] = (best, score)
+    return out
+
+
+def test_entries_are_seen_in_turn(spark):
+    names = list(enumerate(["sde ito", "PDE", "Bayes", "x", "stochastic calculus of ito", "linear algebra", "none of these", "", "é b", "ito calculus sde"]))
+    titles = ["sde ito fundamentals", "ito sde calculus", "Bayes rule", "the x", "pde", "algebra, linear", "algebra linear and more", "linear", "b", "calculus", "é b c", "PDE", "Stochastic"]
+    entries = list(enumerate(titles))
+    tp, en = spark.createDataFrame(names, "ord int, name string"), spark.createDataFrame(entries, "idx int, title string")
+    split = lambda t: {w for w in re.split(r"[^a-z0-9]+", t) if len(w) >= 2}
+    got = {r["ord"]: (r["idx"], r["score"]) for r in matching.match_entries(tp, en).collect()}
+    assert got == in_turn(names, entries, split, 0.2, False) and got[0] == (1, 2 / 3)
+    for focus in ("ito calculus", "Linear", "zzz", "é"):
+        got = [(r["idx"], r["score"]) for r in matching.closest_topic(focus, en.select(F.col("idx").alias("ord"), F.col("title").alias("name"))).collect()]
+        assert got == list(in_turn([(0, focus)], entries, lambda t: set(t.split()), 0.0, True).values())
+
+
+def test_words_of_a_long_segment_overlap():
+    got = chunking.chunk_text(" ".join(f"w{i:05d}" for i in range(3000)))
+    starts = [c.split()[0] for c in got]
+    assert starts[0] == "w00000" and all(len(c.split()) <= 1024 for c in got) and len(got) > 1
+    for a, b in zip(got, got[1:]):
+        tail = [w for w in a.split() if w in set(b.split())]
+        assert 0 < len(tail) and sum(max(1, len(w + " ") // 4) for w in tail) <= 64 and b.split()[: len(tail)] == tail == a.split()[-len(tail) :]
+    assert chunking.chunk_text("aa " * 9, 4, 0)[0] == "aa aa aa aa" and chunking.chunk_text("aa " * 9, 4, 100)[1] == "aa aa aa"
+
+
+def test_material_within_a_budget(spark):
+    body = [(0, "x" * 10), (1, " " + "a" * 300 + " "), (2, "b" * 400), (3, "c" * 50)]
+    df = spark.createDataFrame([("t", o, c) for o, c in body], "topic string, ord int, content string")
+    got = lambda most, depth=1: (assemble.chunks_text(df, "topic", most, depth).first() or [None, None])[1]
+    full = ["--- Source 2 ---\n" + "a" * 300, "--- Source 3 ---\n" + "b" * 400, "--- Source 4 ---\n" + "c" * 50]
+    assert got(10_000) == "\n\n".join(full) and got(316) == full[0] and got(315) == "--- Source 2 ---\n" + "a" * 295 + "\n...[truncated]"
+    assert got(316 + 200) == full[0] and got(316 + 201) == full[0] + "\n\n--- Source 3 ---\n" + "b" * 181 + "\n...[truncated]"
+    assert got(400, 2) == got(532) and got(200) is None and assemble.material_limit(150_000, 10) == 131072
+
+
+def test_nearer_blocks_give_the_caption(spark):
+    found = spark.createDataFrame([("i", 1, 0.0, 0.0), ("j", 2, 0.0, 0.0)], "id string, page int, x double, y double")
+    blocks = spark.createDataFrame([(1, 0, 5.0, 0.0, " far "), (1, 1, 1.0, 0.0, "  "), (1, 2, 3.0, 0.0, "behind"), (2, 0, 9.0, 0.0, "")], "page int, block int, bx double, by double, text string")
+    assert {r["id"]: r["caption"] for r in images.nearest_captions(found, blocks).collect()} == {"i": "far", "j": None}
