@@ -144,15 +144,31 @@ SQL = {
         WITH c AS (SELECT doc_id, source, """ + _CLEAN.format("text") + r""" AS c FROM documents),
         u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY length(source) DESC, doc_id) AS k FROM c WHERE c <> '') WHERE k = 1),
         s AS (SELECT doc_id, CASE WHEN length(c) // 4 <= 1024 THEN [c] ELSE list_filter(string_split(regexp_replace(c, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') END AS ss FROM u),
+        -- A sentence over 1024 tokens is packed by words, whose last ones within 64 tokens are handed on, unless that is all.
+        x AS (SELECT doc_id, list_transform(ss, lambda x: {'n': length(x)::BIGINT, 'held': []::BIGINT[], 'done': []::BIGINT[], 'words': CASE WHEN length(x) // 4 > 1024
+              THEN list_transform(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> ''), lambda y: length(y)::BIGINT) ELSE []::BIGINT[] END}) AS es FROM s),
+        y AS (SELECT doc_id, list_transform(es, lambda e: {'n': e.n, 'held': e.held, 'done': e.done, 'parts': list_reduce(
+                list_transform(e.words, lambda m: {'m': m, 'held': []::BIGINT[], 'total': 0::BIGINT, 'done': []::BIGINT[]}),
+                lambda a, w: CASE WHEN len(a.held) > 0 AND a.total + greatest(1, (w.m + 1) // 4) > 1024
+                  THEN {'m': 0::BIGINT, 'held': list_append(list_filter(a.held, lambda h, i: i > 1 AND list_sum(list_transform(a.held[i:], lambda g: greatest(1, (g + 1) // 4))) <= 64), w.m),
+                        'total': greatest(1, (coalesce(list_sum(list_filter(a.held, lambda h, i: i > 1 AND list_sum(list_transform(a.held[i:], lambda g: greatest(1, (g + 1) // 4))) <= 64)), 0)
+                                 + len(list_filter(a.held, lambda h, i: i > 1 AND list_sum(list_transform(a.held[i:], lambda g: greatest(1, (g + 1) // 4))) <= 64))) // 4)::BIGINT + greatest(1, (w.m + 1) // 4),
+                        'done': list_append(a.done, list_sum(a.held)::BIGINT + len(a.held) - 1)}
+                  ELSE {'m': 0::BIGINT, 'held': list_append(a.held, w.m), 'total': a.total + greatest(1, (w.m + 1) // 4), 'done': a.done} END,
+                {'m': 0::BIGINT, 'held': []::BIGINT[], 'total': 0::BIGINT, 'done': []::BIGINT[]})}) AS es FROM x),
+        z AS (SELECT doc_id, list_transform(es, lambda e: {'n': e.n, 'held': e.held, 'done': e.done,
+              'parts': CASE WHEN len(e.parts.held) > 0 THEN list_append(e.parts.done, list_sum(e.parts.held)::BIGINT + len(e.parts.held) - 1) ELSE []::BIGINT[] END}) AS es FROM y),
         -- Sentences are packed while they fit in 1024 tokens; a full chunk hands on its last ones within 64, unless that is all of it.
-        f AS (SELECT doc_id, list_reduce(list_transform(ss, lambda x: {'n': length(x)::BIGINT, 'held': []::BIGINT[], 'done': []::BIGINT[]}),
-              lambda a, x: CASE WHEN len(a.held) > 0 AND list_sum(list_transform(a.held, lambda h: greatest(1, h // 4))) + greatest(1, x.n // 4) > 1024
+        f AS (SELECT doc_id, list_reduce(es,
+              lambda a, x: CASE WHEN len(x.parts) > 0
+                THEN {'n': 0::BIGINT, 'held': []::BIGINT[], 'done': list_concat(CASE WHEN len(a.held) > 0 THEN list_append(a.done, list_sum(a.held)::BIGINT + 2 * (len(a.held) - 1)) ELSE a.done END, x.parts), 'parts': []::BIGINT[]}
+                WHEN len(a.held) > 0 AND list_sum(list_transform(a.held, lambda h: greatest(1, h // 4))) + greatest(1, x.n // 4) > 1024
                 THEN {'n': 0::BIGINT, 'held': list_append(list_filter(a.held, lambda h, i: i > 1 AND list_sum(list_transform(a.held[i:], lambda g: greatest(1, g // 4))) <= 64
                         AND list_sum(list_transform(a.held, lambda g: greatest(1, g // 4))) > 64), x.n),
-                      'done': list_append(a.done, list_sum(a.held)::BIGINT + 2 * (len(a.held) - 1))}
-                ELSE {'n': 0::BIGINT, 'held': list_append(a.held, x.n), 'done': a.done} END,
-              {'n': 0::BIGINT, 'held': []::BIGINT[], 'done': []::BIGINT[]}) AS r FROM s),
-        p AS (SELECT doc_id, list_append(r.done, list_sum(r.held)::BIGINT + 2 * (len(r.held) - 1)) AS sizes FROM f)
+                      'done': list_append(a.done, list_sum(a.held)::BIGINT + 2 * (len(a.held) - 1)), 'parts': []::BIGINT[]}
+                ELSE {'n': 0::BIGINT, 'held': list_append(a.held, x.n), 'done': a.done, 'parts': []::BIGINT[]} END,
+              {'n': 0::BIGINT, 'held': []::BIGINT[], 'done': []::BIGINT[], 'parts': []::BIGINT[]}) AS r FROM z),
+        p AS (SELECT doc_id, CASE WHEN len(r.held) > 0 THEN list_append(r.done, list_sum(r.held)::BIGINT + 2 * (len(r.held) - 1)) ELSE r.done END AS sizes FROM f)
         SELECT doc_id::VARCHAR AS document_id, len(sizes)::BIGINT AS n_chunks, list_sum(list_transform(sizes, lambda x: greatest(1, x // 4)))::BIGINT AS n_tokens FROM p""",
     "chapter_topic_overlap": f"""
         WITH t AS (SELECT min(p_partkey) AS ord, {_WORDS3.format('p_type')} AS wt FROM part GROUP BY p_type),
