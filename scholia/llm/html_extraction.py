@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|aria-label|itemprop|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PUNCTUATION = re.compile(r"[.,;:!?¿¡…。、，]")
 
 #: Elements by their role in HTML.
@@ -54,6 +54,11 @@ NOISE = frozenset(
     "sponsored subscribe subscription tags teaser toolbar topbar tracking widget widgets complementary contentinfo search alert".split()
 )
 ARTICLE = frozenset("articlebody main".split())
+#: Words among them that containers of the whole content bear too.  Such an element, or a
+#: form, that holds most of the page's text is no noise.
+SHARED_NAMES = frozenset("alert banner consent legal login modal notice popup promo search skip tags toolbar widget widgets".split())
+#: Share of the text left by names that marked articles hold, from which the marks decide.
+MARKED = 0.4
 
 #: Spread of the smoothing over neighbouring blocks, and the share of the page's mean score
 #: that a path has to reach; link text may be at most half of a path.
@@ -87,32 +92,47 @@ class Block(NamedTuple):
     heading: bool
 
 
-def _named(attributes: str) -> tuple[bool, bool, bool]:
-    """Whether an element's attributes name noise, only begin with such a word, or name the article."""
-    noise = suspect = article = False
+def _named(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether an element's attributes name noise, noise by shared names only, only begin with such a word, or name the article."""
+    hits: set[str] = set()
+    hidden = suspect = article = False
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         if name == "hidden":
-            noise = True
+            hidden = True
+        if name not in ("class", "id", "role", "itemprop"):
             continue
-        value = (m[2] or m[3] or m[4] or "").lower()
-        words = re.split(r"[\s_]+", value)
+        words = re.split(r"[\s_]+", (m[2] or m[3] or m[4] or "").lower())
         if name == "itemprop":
             article |= "articlebody" in words
         elif name == "role":
             article |= "main" in words
-            noise |= bool(NOISE.intersection(words))
-        elif name != "aria-label":
+            hits.update(NOISE.intersection(words))
+        else:
             # The last part of a name says what it is: a "page-footer" is one, "comment-policy" no comment.
-            parts = [w.split("-") for w in words]
-            noise |= any(w in NOISE or x[-1] in NOISE for w, x in zip(words, parts, strict=True))
-            suspect |= any(NOISE.intersection(x) for x in parts)
-    return noise, suspect and not noise, article and not noise
+            for w in words:
+                parts = w.split("-")
+                hits.update(NOISE.intersection((w, parts[-1])))
+                suspect |= bool(NOISE.intersection(parts))
+    noise = hidden or bool(hits)
+    return noise, not hidden and hits <= SHARED_NAMES, suspect and not noise, article and not noise
 
 
 def blocks(html: str) -> list[Block]:
     """Text blocks in page order, without those inside cut elements."""
+    spared: set[int] = set()
+    while True:
+        out, most = _read(html, spared)
+        if most is None:
+            return out
+        # An element that is noise by its kind or name alone, and holds most of the page's text.
+        spared.add(most)
+
+
+def _read(html: str, spared: set[int]) -> tuple[list[Block], int | None]:
+    """The blocks, and the number of a cut element that should be `spared` as well."""
     out: list[Block] = []
+    number, doubtful, lost = 0, 0, Counter()
     stack: list[tuple[str, bool, bool, bool, int]] = []  # name, cut, suspect, article, path
     paths: dict[tuple[int, str, bool], int] = {}
     open_of: Counter[str] = Counter()
@@ -151,6 +171,8 @@ def blocks(html: str) -> list[Block]:
             text.append(piece)
             if in_link:
                 links += len(piece.strip())
+        elif piece:
+            lost[doubtful] += len(piece.strip())
 
     at = 0
     while m := _TOKEN.search(html, at):
@@ -189,14 +211,18 @@ def blocks(html: str) -> list[Block]:
             leave()
         if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             leave()
-        noise, suspect, article = _named(m[3]) if m[3] else (False, False, False)
+        noise, shared, suspect, article = _named(m[3]) if m[3] else (False, True, False, False)
         cut = name in CUT or noise or (name == "header" and not n_article)
-        if noise and name in ("html", "body", "article", "main"):
+        number += 1
+        if number in spared or noise and name in ("html", "body", "article", "main"):
             cut = False
+        if cut and not n_cut:
+            doubtful = number if shared and (name == "form" or name not in CUT and name != "header") else 0
         enter(name, cut, suspect, name in ("article", "main") or article)
     add(html[at:])
     close()
-    return out
+    element, size = max(((e, n) for e, n in lost.items() if e), key=lambda x: x[1], default=(None, 0))
+    return out, element if 2 * size > sum(lost.values()) + sum(len(b.text) for b in out) else None
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -229,8 +255,12 @@ def _middle(weighted: list[tuple[float, int]]) -> float:
 
 def select(found: list[Block]) -> list[Block]:
     """The content blocks, by fused and smoothed ratios of their paths."""
-    if any(b.in_article for b in found):
+    # Marked articles that hold little of the text (teasers beside it) are blocks like others.
+    marked = sum(len(b.text) for b in found if b.in_article)
+    if marked and marked >= MARKED * sum(len(b.text) for b in found):
         found = [b for b in found if b.in_article]
+    else:
+        found = [b._replace(in_article=False) for b in found]
     totals: dict[int, list[int]] = {}
     for b in found:
         t = totals.setdefault(b.path, [0, 0, 0, 0])
