@@ -98,19 +98,14 @@ def scan_counters(files: DataFrame) -> DataFrame:
         n("new").alias("n_new"), n("modified").alias("n_modified"), n("unchanged").alias("n_unchanged"))
 
 
-def write(files: DataFrame) -> list[str]:
-    """Writes rows (path, content) of one run, one text at a time, and returns the paths."""
-    spark = files.sparkSession
-    jvm, conf, done = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
-    for row in files.toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(row["path"])
-        out = path.getFileSystem(conf).create(path, True)
-        try:
-            out.write(bytearray((row["content"] or "").encode()))
-        finally:
-            out.close()
-        done.append(row["path"])
-    return done
+def write(files: DataFrame, folder: str = "/") -> list[str]:
+    """Writes rows (path, content) below a folder from the tasks that hold them, and returns the paths."""
+    from .datasource import StudySource
+
+    files.sparkSession.dataSource.register(StudySource)
+    rows = files.select("path", F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"))
+    rows.write.format("study").mode("append").save(folder)
+    return [r["path"] for r in files.select("path").collect()]
 
 
 def read_template(spark, path: str) -> str:  # noqa: ANN001
