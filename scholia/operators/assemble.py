@@ -120,8 +120,17 @@ def sort_by_syllabus(chapters: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def without_local_toc(md: Column) -> Column:
-    """A chapter without the list of links between its title and its first section."""
-    return F.regexp_replace(md, r"(?s)\A(\s*#\s[^\n]*\n)(?:\s*(?:>\s*)?-\s+\[[^\]]*\]\(#[^)]*\)[^\n]*\n)+", "$1\n")
+    """A chapter without the list of links that follows its title, blank lines among them, before its first section.
+
+    Each line is one letter of a word (title, section, link, blank, other); the list is a part of that word.
+    """
+    rows = T.lines(md)
+    kind = lambda x: F.when(F.rlike(x, F.lit(r"(?U)^#\s+")), "T").when(F.rlike(x, F.lit(r"(?U)^##\s+")), "S").when(
+        F.rlike(T.strip(x), F.lit(r"(?U)^-\s+\[")), "L").when(F.length(T.strip(x)) == 0, "B").otherwise("O")
+    word = F.array_join(F.transform(rows, kind), "")
+    head = F.length(F.regexp_extract(word, "^[^TS]*T", 0))
+    listed = F.length(F.regexp_extract(word, "^[^TS]*T((?:B*L)*)", 1))
+    return F.when(listed > 0, F.array_join(F.concat(F.slice(rows, F.lit(1), head), F.slice(rows, head + listed + 1, F.size(rows))), "\n")).otherwise(md)
 
 
 def numbered(md: Column, number: Column) -> Column:

@@ -44,12 +44,16 @@ def result(check: str, errors: Column, level: str = "fail") -> list[Column]:
     return [F.lit(check).alias("check"), F.when(F.size(errors) > 0, level).otherwise("pass").alias("status"), errors.alias("errors")]
 
 
+def structure_errors(md: Column) -> Column:
+    """An odd number of code fences, and headings with blanks in front."""
+    odd = F.regexp_count(md, F.lit(r"(?m)^```")) % 2 == 1
+    indented = F.filter(T.lines(md), lambda x: F.rlike(x, F.lit(r"^ +#{1,6}\s")))
+    return F.concat(F.when(odd, F.array(F.lit("unclosed code fence"))).otherwise(F.array().cast("array<string>")),
+                    F.transform(indented, lambda x: F.concat(F.lit("indented heading: "), F.trim(x))))
+
+
 def check_structure(manual: DataFrame) -> DataFrame:
-    odd = F.regexp_count("md", F.lit(r"(?m)^```")) % 2 == 1
-    indented = F.filter(T.lines(F.col("md")), lambda x: F.rlike(x, F.lit(r"^ +#{1,6}\s")))
-    errors = F.concat(F.when(odd, F.array(F.lit("unclosed code fence"))).otherwise(F.array().cast("array<string>")),
-                      F.transform(indented, lambda x: F.concat(F.lit("indented heading: "), F.trim(x))))
-    return manual.select(*result("markdown_structure", errors))
+    return manual.select(*result("markdown_structure", structure_errors(F.col("md"))))
 
 
 def language_ratio(c: Column) -> Column:
@@ -74,8 +78,13 @@ def check_empty(manual: DataFrame) -> DataFrame:
     return _collected(empty.select(F.concat(F.lit("empty section: "), "title").alias("error")), manual, "empty_chapters")
 
 
+def hollow_sections(manual: DataFrame, key: str = "manual") -> DataFrame:
+    """Sections whose text is headings, rules, quotes and marks only."""
+    return sections(manual, key, "md").where((F.length("body") > 0) & (F.size(T.body_lines(F.col("body"))) == 0))
+
+
 def check_missing(manual: DataFrame) -> DataFrame:
-    hollow = sections(manual, "manual", "md").where((F.length("body") > 0) & (F.size(T.body_lines(F.col("body"))) == 0))
+    hollow = hollow_sections(manual)
     return _collected(hollow.select(F.concat(F.lit("no content: "), "title").alias("error")), manual, "missing_sections")
 
 
@@ -119,22 +128,27 @@ def check_images(manual: DataFrame, known: DataFrame) -> DataFrame:
     return _collected(lost.select(F.concat(F.lit("image not found: "), "target").alias("error")), manual, "image_references")
 
 
-def toc_links(manual: DataFrame) -> DataFrame:
-    """Links of the first list of anchors, from its first link to the first other line."""
-    rows = manual.select(F.posexplode(T.lines(F.col("md"))).alias("pos", "line"))
-    link = F.rlike("line", F.lit(r"^\s*-\s+\[[^\]]*\]\(#[^)]*\)"))
-    first = rows.where(link).agg(F.min("pos").alias("first"))
-    other = ~F.rlike("line", F.lit(r"^\s*-|^\s*$"))
-    rows = rows.join(first).where("pos >= first")
-    end = rows.where(other).agg(F.coalesce(F.min("pos"), F.lit(2**31 - 1)).alias("end"))
-    return rows.join(end).where((F.col("pos") < F.col("end")) & link).select(F.regexp_extract("line", r"\(#([^)]*)\)", 1).alias("anchor"))
+def toc_links(manual: DataFrame, key: str = "manual") -> DataFrame:
+    """Links (key, at, anchor) of texts' first lists of anchors: from the first link to the first line that is neither
+    blank nor begins with a dash."""
+    rows = F.transform(T.lines(F.col("md")), T.strip)
+    link = r"(?U)^-\s+\[([^\]]+)\]\(#([^)]+)\)"
+    kind = lambda x: F.when(F.rlike(x, F.lit(link)), "L").when((F.length(x) == 0) | F.startswith(x, F.lit("-")), "D").otherwise("O")
+    word = F.array_join(F.transform(rows, kind), "")
+    before, block = F.length(F.regexp_extract(word, "^[^L]*", 0)), F.length(F.regexp_extract(word, "^[^L]*(L[LD]*)", 1))
+    listed = manual.select(key, F.posexplode(F.slice(rows, before + 1, block)).alias("at", "line")).where(F.rlike("line", F.lit(link)))
+    return listed.select(key, "at", F.regexp_extract("line", link, 2).alias("anchor"))
+
+
+def broken_links(manual: DataFrame, key: str = "manual") -> DataFrame:
+    """Links of the list of contents without a heading of that slug."""
+    slugs = manual.select(key, F.explode(T.headings(F.col("md"))).alias("h")).select(key, U.slug(F.col("h")).alias("anchor")).distinct()
+    return toc_links(manual, key).join(slugs, [key, "anchor"], "left_anti")
 
 
 def check_toc(manual: DataFrame) -> DataFrame:
-    links = toc_links(manual)
-    slugs = manual.select(F.explode(T.headings(F.col("md"))).alias("h")).select(U.slug(F.col("h")).alias("anchor")).distinct()
-    broken = links.join(slugs, "anchor", "left_anti").select(F.concat(F.lit("broken anchor: "), "anchor").alias("error"))
-    none = links.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("no table of contents").alias("error"))
+    broken = broken_links(manual).select(F.concat(F.lit("broken anchor: "), "anchor").alias("error"))
+    none = toc_links(manual).agg(F.count("*").alias("n")).where("n = 0").select(F.lit("no table of contents").alias("error"))
     return _collected(broken.unionByName(none), manual, "toc_structure")
 
 

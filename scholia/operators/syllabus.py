@@ -70,8 +70,8 @@ def syllabus_structure(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def entries(c: Column) -> Column:
-    """Syllabus entries, one a line, without one bullet, number or Roman numeral in front."""
-    bare = F.transform(T.lines(c), lambda x: T.strip(F.regexp_replace(x, r"(?i)^\s*(?:[-*+•]|\d+[.)]|[ivxlcdm]+[.)])?\s*", "")))
+    """Syllabus entries, one a line, without one bullet, number or Roman numeral in front; of three characters or more."""
+    bare = F.transform(text_lines(c), lambda x: T.strip(F.regexp_replace(T.strip(x), r"(?U)^(?:[-•*]|\d+[.)]|[ivxIVX]+[.)])\s+", "")))
     return F.filter(bare, lambda x: F.length(x) > 2)
 
 

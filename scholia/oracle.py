@@ -374,3 +374,81 @@ SQL = {
     "chunk_positions": "SELECT conv_id || '/' || turn AS document_id, 1::BIGINT AS n_chunks, 0::BIGINT AS last FROM conversations",
     "latest_document": "SELECT source, max(doc_id) AS doc_id, arg_max(lang, doc_id) AS lang FROM documents GROUP BY source",
 }
+
+_MARKDOWN = r"""m AS (SELECT doc_id, array_to_string(list_transform(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '[^A-Za-z0-9 ]', '', 'g')[:60]),
+        lambda x, j: CASE ((j - 1) * (doc_id % 3 + 1) + doc_id) % 13 WHEN 0 THEN '# ' || x WHEN 1 THEN '- [' || x || '](#a)' WHEN 3 THEN '## ' || x WHEN 4 THEN '> ' || x WHEN 5 THEN '```' || x
+          WHEN 6 THEN '  ### ' || x WHEN 8 THEN '### ' || x WHEN 9 THEN '---' WHEN 10 THEN '![i](' || x || ')' WHEN 11 THEN '[...]' WHEN 12 THEN '  - [x](#' || x || ')' ELSE x END), chr(10)) AS md FROM documents)"""
+_NO_BODY = r"'^$|^#{1,6}\s|^-{3,}$|^>|^\[Chunk |^\[\.\.\.\]$'"
+_MD_SECTIONS = r"""l AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) AS pos FROM m),
+        h AS (SELECT *, regexp_matches(line, '^#{2,3}\s+\S') AS head FROM l),
+        s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h),
+        b AS (SELECT doc_id, section::BIGINT AS section, trim(max(CASE WHEN head THEN regexp_replace(line, '^#{2,3}\s+', '') END)) AS title,
+              regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT head), ''), '^\s+|\s+$', '', 'g') AS body FROM s WHERE section > 0 GROUP BY doc_id, section)"""
+SQL |= {
+    "markdown_heads": rf"""
+        WITH {_MARKDOWN},
+        l AS (SELECT doc_id, md, string_split(md, chr(10)) AS ls FROM m),
+        -- Lines as letters: the list of links follows the title, blank lines among them.
+        k AS (SELECT *, array_to_string(list_transform(ls, lambda x: CASE WHEN regexp_matches(x, '^#\s+') THEN 'T' WHEN regexp_matches(x, '^##\s+') THEN 'S'
+              WHEN regexp_matches(trim(x), '^-\s+\[') THEN 'L' WHEN trim(x) = '' THEN 'B' ELSE 'O' END), '') AS w FROM l),
+        c AS (SELECT *, length(regexp_extract(w, '^[^TS]*T', 0)) AS a, length(regexp_extract(w, '^[^TS]*T((?:B*L)*)', 1)) AS n FROM k),
+        t AS (SELECT *, trim(regexp_extract(md, '(?m)^#\s+(.+)', 1)) AS title FROM c)
+        SELECT doc_id, CASE WHEN title <> '' THEN title ELSE 'Untitled' END AS title, array_to_string(list_transform(regexp_extract_all(md, '(?m)^#{{1,6}}\s+(.+)', 1), lambda x: trim(x)), '|') AS headings,
+               md5(CASE WHEN n > 0 THEN array_to_string(ls[:a] || ls[a + n + 1:], chr(10)) ELSE md END) AS without_toc,
+               md5(regexp_replace(md, '!\[([^\]]*)\]\(([^)]+)\)', '![\1](output/\2)', 'g')) AS image_paths,
+               len(list_filter(ls, lambda x: NOT regexp_matches(trim(x), {_NO_BODY})))::BIGINT AS n_body,
+               md5(array_to_string(list_filter(ls, lambda x: trim(x) <> '[...]'), chr(10))) AS clean FROM t""",
+    "structure_errors": rf"""
+        WITH {_MARKDOWN}, l AS (SELECT doc_id, string_split(md, chr(10)) AS ls FROM m)
+        SELECT doc_id, array_to_string(list_concat(CASE WHEN len(list_filter(ls, lambda x: x[:3] = '```')) % 2 = 1 THEN ['unclosed code fence'] ELSE [] END,
+               list_transform(list_filter(ls, lambda x: regexp_matches(x, '^ +#{{1,6}}\s')), lambda x: 'indented heading: ' || trim(x))), '|') AS errors FROM l""",
+    "empty_and_hollow_sections": rf"""
+        WITH {_MARKDOWN}, {_MD_SECTIONS}
+        SELECT CASE WHEN body = '' THEN 'empty' ELSE 'hollow' END AS kind, doc_id, section, title FROM b
+        WHERE body = '' OR len(list_filter(string_split(body, chr(10)), lambda x: NOT regexp_matches(trim(x), {_NO_BODY}))) = 0""",
+    "toc_anchors": rf"""
+        WITH {_MARKDOWN},
+        l AS (SELECT doc_id, list_transform(string_split(md || chr(10) || '## a', chr(10)), lambda x: trim(x)) AS ls FROM m),
+        k AS (SELECT *, array_to_string(list_transform(ls, lambda x: CASE WHEN regexp_matches(x, '^-\s+\[[^\]]+\]\(#[^)]+\)') THEN 'L' WHEN x = '' OR x[1] = '-' THEN 'D' ELSE 'O' END), '') AS w FROM l),
+        b AS (SELECT *, length(regexp_extract(w, '^[^L]*', 0)) AS a, length(regexp_extract(w, '^[^L]*(L[LD]*)', 1)) AS n FROM k),
+        u AS (SELECT doc_id, ls, unnest(ls[a + 1:a + n]) AS line, unnest(range(n)) AS k FROM b),
+        v AS (SELECT doc_id, ls, k, regexp_extract(line, '^-\s+\[([^\]]+)\]\(#([^)]+)\)', 2) AS anchor FROM u WHERE regexp_matches(line, '^-\s+\[[^\]]+\]\(#[^)]+\)')),
+        g AS (SELECT DISTINCT doc_id, trim(regexp_replace(regexp_replace(lower(h), '[^a-z0-9 -]', '', 'g'), '[ -]+', '-', 'g'), '-') AS anchor
+              FROM (SELECT doc_id, unnest(list_filter(ls, lambda x: regexp_matches(x, '^#{{1,6}}\s+.'))) AS h0, regexp_replace(h0, '^#{{1,6}}\s+', '') AS h FROM l))
+        SELECT v.doc_id, k::BIGINT AS at, v.anchor, g.anchor IS NULL AS broken FROM v LEFT JOIN g ON v.doc_id = g.doc_id AND v.anchor = g.anchor""",
+    "syllabus_entries": SQL["syllabus_outline"].split("l AS (SELECT doc_id, len(ls)")[0] + r"""e AS (SELECT doc_id, list_filter(list_transform(ls, lambda x:
+              trim(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^([-•*]|\d+[.)]|[ivxIVX]+[.)])\s+', ''))), lambda x: length(x) > 2) AS es FROM cut)
+        SELECT doc_id, unnest(range(len(es)))::BIGINT AS at, unnest(es) AS entry FROM e""",
+    "chapters_by_syllabus": rf"""
+        WITH {_NTOPICS},
+        c AS (SELECT n_nationkey AS ord, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM nation),
+        p AS (SELECT c.ord, c.title, row_number() OVER (ORDER BY t.syllabus_position IS NULL, t.syllabus_position, c.ord) AS place FROM c LEFT JOIN t ON lower(t.name) = lower(c.title))
+        SELECT ord, place::BIGINT AS place, 'intro' || chr(10) || '# ' || place || '. ' || title || chr(10) || '# x' AS md FROM p""",
+    "cut_json": r"""
+        WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[^A-Za-z ]', '', 'g'))), lambda x: x <> '') AS ls FROM documents)
+        SELECT doc_id, unnest(range(len(ls)))::BIGINT AS idx, unnest(ls) AS title, CASE WHEN doc_id % 2 = 0 THEN 's' ELSE 's|t' END AS sections FROM l WHERE len(ls) > 1""",
+    "parsed_topics": """
+        WITH r AS (SELECT p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS ord, p_brand AS description, greatest(0, p_size - 20)::BIGINT AS subtopic_count,
+                   CASE WHEN p_partkey % 9 = 0 OR p_partkey % 11 = 0 THEN NULL ELSE p_name END AS name FROM part),
+        n AS (SELECT * REPLACE (coalesce(name, 'Topic ' || (ord + 1)) AS name) FROM r)
+        SELECT p_type, ord, name, description, subtopic_count FROM (SELECT *, row_number() OVER (PARTITION BY p_type, lower(trim(name)) ORDER BY ord) AS k FROM n) WHERE k = 1""",
+    "vision_candidates": """
+        WITH r AS (SELECT conv_id, turn AS ord, length(text) % 2 = 0 AS relevant, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) % 3 <> 0, turn) AS rank FROM conversations),
+        p AS (SELECT conv_id, ord, row_number() OVER (PARTITION BY conv_id ORDER BY rank) AS place FROM r WHERE relevant AND rank <= 4)
+        SELECT r.conv_id, r.ord, r.rank, coalesce(p.place, 0) AS place FROM r LEFT JOIN p ON p.conv_id = r.conv_id AND p.ord = r.ord AND p.place <= 2 WHERE r.rank <= 4""",
+    "heading_keys": r"""
+        SELECT doc_id, md5(regexp_replace(regexp_replace(lower('12. ' || regexp_replace(text, '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '', 'g'), '^\d+', '')) AS key_md5,
+               replace(text[:200], chr(10), ' ') AS preview FROM documents""",
+    "syllabus_coverage": f"""
+        WITH {_CHUNKS},
+        t AS (SELECT min(p_partkey) AS ord, p_name AS a FROM part WHERE p_partkey % 3 > 0 GROUP BY p_name),
+        e AS (SELECT item_id AS idx, array_to_string(string_split(text, ' ')[:2], ' ') || CASE WHEN item_id % 4 = 0 THEN ' red widget' ELSE '' END AS b FROM benchmark),
+""" + SQL["best_match_entry"].split("FROM region),\n")[1].split("        SELECT ord, r.idx")[0].rstrip().rstrip(",") + r""",
+        g AS (SELECT ord, r.idx AS idx FROM f WHERE r.score >= 0.2),
+        lost AS (SELECT idx, b FROM e WHERE idx NOT IN (SELECT idx FROM g)),
+        ks AS (SELECT idx, list_distinct(list_filter(regexp_split_to_array(lower(b), '\s+'), lambda w: length(w) > 1)) AS ws, b FROM lost),
+        kw AS (SELECT idx, unnest(CASE WHEN len(ws) > 0 THEN ws ELSE [lower(b)] END) AS k FROM ks),
+        d AS (SELECT idx, count(DISTINCT document_id) AS n FROM kw JOIN chunks ON contains(lower(content), k) GROUP BY idx)
+        SELECT t.ord, a AS name, coalesce(g.idx, -1) AS syllabus_position, false AS missing_from_notes, g.idx IS NULL AS extra_in_notes, 1::BIGINT AS n_documents FROM t LEFT JOIN g USING (ord)
+        UNION ALL SELECT idx, b, idx, n IS NULL, false, coalesce(n, 0) FROM lost LEFT JOIN d USING (idx)""",
+}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import llm_json as J
 from .functions import unicode as U
-from .operators import assemble, chapters, chunking, dedup, headings, markdown, matching, outline, syllabus
+from .operators import assemble, chapters, chunking, dedup, generation, headings, images, markdown, matching, outline, syllabus
 from .plans.study import flagship
 from .sources import output, state
 
@@ -563,6 +563,100 @@ def chunk_positions(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.create_chunks(turns, "id", "content").groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.max("position").cast("long").alias("last"))
 
 
+def _as_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts as Markdown: their lines in turn become titles, links, sections, quotes, fences, images and prose."""
+    around = (("# ", ""), ("- [", "](#a)"), ("", ""), ("## ", ""), ("> ", ""), ("```", ""), ("  ### ", ""), ("", ""), ("### ", ""), ("---", None), ("![i](", ")"), ("[...]", None), ("  - [x](#", ")"))
+    k = lambda i: F.pmod(i * (F.col("doc_id") % 3 + 1) + F.col("doc_id"), F.lit(13))
+
+    def form(x, i):  # noqa: ANN001, ANN202
+        out = x
+        for n, (a, b) in enumerate(around):
+            out = F.when(k(i) == n, F.lit(a) if b is None else F.concat(F.lit(a), x, F.lit(b))).otherwise(out)
+        return out
+
+    cut = F.transform(F.split("text", "\n"), lambda x: F.substring(F.regexp_replace(x, r"[^A-Za-z0-9 ]", ""), 1, 60))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(cut, form), "\n").alias("md"))
+
+
+def markdown_heads(spark: SparkSession, sf: str) -> DataFrame:
+    md = F.col("md")
+    return _as_markdown(spark, sf).select(
+        "doc_id", T.title(md).alias("title"), F.array_join(T.headings(md), "|").alias("headings"), F.md5(assemble.without_local_toc(md)).alias("without_toc"),
+        F.md5(T.image_paths(md)).alias("image_paths"), F.size(T.body_lines(md)).cast("long").alias("n_body"), F.md5(T.without_artifacts(md)).alias("clean"))
+
+
+def structure_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return _as_markdown(spark, sf).select("doc_id", F.array_join(markdown.structure_errors(F.col("md")), "|").alias("errors"))
+
+
+def empty_and_hollow_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections without text, and those whose text is no content."""
+    md = _as_markdown(spark, sf)
+    empty = markdown.sections(md, "doc_id", "md").where(F.length("body") == 0)
+    columns = ("doc_id", F.col("section").cast("long").alias("section"), "title")
+    return empty.select(F.lit("empty").alias("kind"), *columns).unionByName(markdown.hollow_sections(md, "doc_id").select(F.lit("hollow").alias("kind"), *columns))
+
+
+def toc_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of each text's first list, and whether a heading has that slug."""
+    md = _as_markdown(spark, sf).withColumn("md", F.concat("md", F.lit("\n## a")))
+    broken = markdown.broken_links(md, "doc_id").withColumn("broken", F.lit(True))
+    links = markdown.toc_links(md, "doc_id").join(broken, ["doc_id", "at", "anchor"], "left")
+    return links.select("doc_id", F.col("at").cast("long").alias("at"), "anchor", F.coalesce("broken", F.lit(False)).alias("broken"))
+
+
+def syllabus_entries(spark: SparkSession, sf: str) -> DataFrame:
+    return _as_syllabi(spark, sf).select("doc_id", F.posexplode(syllabus.entries(F.col("text"))).alias("at", "entry")).select("doc_id", F.col("at").cast("long").alias("at"), "entry")
+
+
+def syllabus_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds of parts as entries and names as topics, turns as notes: matched topics, entries without one, extras."""
+    parts = table(spark, sf, "part")
+    topics = parts.where("p_partkey % 3 > 0").groupBy("p_name").agg(F.min("p_partkey").alias("ord")).select("ord", F.col("p_name").alias("name"), F.array(F.lit("d")).alias("related_documents"))
+    entries = table(spark, sf, "benchmark").select(F.col("item_id").cast("int").alias("idx"), F.concat(F.substring_index("text", " ", 2), F.when(F.col("item_id") % 4 == 0, F.lit(" red widget")).otherwise("")).alias("title"))
+    found = matching.covered_syllabus(topics, entries, _chunks(spark, sf))
+    return found.select(F.col("ord").cast("long").alias("ord"), "name", F.coalesce("syllabus_position", F.lit(-1)).cast("long").alias("syllabus_position"), "missing_from_notes", "extra_in_notes",
+                        F.when(~F.col("extra_in_notes") & (F.col("ord") == F.col("syllabus_position")), F.size("related_documents")).otherwise(1).cast("long").alias("n_documents"))
+
+
+def chapters_by_syllabus(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as chapters in the order of their topics' positions, those without one behind."""
+    topics = _nation_topics(spark, sf)
+    chapters_ = table(spark, sf, "nation").select(F.col("n_nationkey").alias("ord"), F.initcap("n_name").alias("title"))
+    numbered = assemble.numbered(F.concat(F.lit("intro\n# "), F.col("title"), F.lit("\n# x")), F.col("place"))
+    return assemble.sort_by_syllabus(chapters_, topics).select("ord", F.col("place").cast("long").alias("place"), numbered.alias("md"))
+
+
+def cut_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Outlines whose JSON ends too early, and outlines written as Markdown, as lists of chapters."""
+    text = table(spark, sf, "documents").select("doc_id", F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0), lambda x: F.regexp_replace(x, "[^A-Za-z ]", "")).alias("ls"))
+    named = text.select("doc_id", F.filter("ls", lambda x: F.length(F.trim(x)) > 0).alias("ls")).where("size(ls) > 1")
+    as_json = F.concat(F.lit('{"chapters": ['), F.array_join(F.transform("ls", lambda x: F.concat(F.lit('{"title": "'), F.trim(x), F.lit('", "sections": ["s"]}'))), ", "), F.lit(', {"title": "cut'))
+    as_md = F.array_join(F.transform("ls", lambda x, i: F.concat(F.lit("## Chapter "), (i + 1).cast("string"), F.lit(": "), F.trim(x), F.lit("\n- s\n2. t"))), "\n")
+    asked = named.select("doc_id", F.when(F.col("doc_id") % 2 == 0, as_json).otherwise(as_md).alias("response"))
+    return generation.parse_outline(asked, "doc_id").select("doc_id", F.col("idx").cast("long").alias("idx"), "title", F.array_join("sections", "|").alias("sections"))
+
+
+def parsed_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of parts as a model's lists of topics: repeated names once, names that name nothing by number."""
+    rows = table(spark, sf, "part").withColumn("name", F.when(F.col("p_partkey") % 9 == 0, F.lit(" Topic 3 ")).when(F.col("p_partkey") % 11 == 0, F.lit("N/A")).otherwise(F.col("p_name")))
+    listed = F.sort_array(F.collect_list(F.struct("p_partkey", F.struct("name", F.col("p_brand").alias("description"), (F.col("p_size") - 20).alias("subtopic_count")).alias("t"))))
+    asked = rows.groupBy("p_type").agg(F.to_json(F.struct(F.transform(listed, lambda x: x["t"]).alias("topics"))).alias("response"))
+    return generation.parse_topics(asked, "p_type").select("p_type", F.col("ord").cast("long").alias("ord"), "name", "description", F.col("subtopic_count").cast("long").alias("subtopic_count"))
+
+
+def vision_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as images of their conversations: described ones first, up to the cap; of the relevant ones the first."""
+    turns = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("ord"), F.when(F.length("text") % 3 == 0, F.col("text")).alias("ai_description"), (F.length("text") % 2 == 0).alias("relevant"))
+    few = images.vision_candidates(turns, "conv_id", 4)
+    kept = images.accepted(few, "conv_id", 2).select("conv_id", "ord", F.col("place").cast("long").alias("place"))
+    return few.join(kept, ["conv_id", "ord"], "left").select("conv_id", "ord", F.col("rank").cast("long").alias("rank"), F.coalesce("place", F.lit(0)).cast("long").alias("place"))
+
+
+def heading_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.md5(U.heading_key(F.concat(F.lit("12. "), F.regexp_replace("text", "[^\\x00-\\x7F]", "")))).alias("key_md5"), F.regexp_replace(F.substring("text", 1, 200), "\n", " ").alias("preview"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -576,6 +670,7 @@ QUERIES: dict[str, Query] = {
         topic_coverage, chapter_selection, record_violations, normalized_documents, inventory_json, topics_json, outline_md, index_checklist, chapter_files,
         existing_chapters, chapters_to_generate, validation_json, scan_counters, syllabus_probe, ocr_images, encoded_images, depth_budget, invalidated_state,
         previous_models, latest_topics, topics_update, state_lookup, document_deletion, cache_without_model, cache_upsert, reused_chunks, topic_images,
-        meaningful_content, invalid_names, token_estimate, chunk_positions,
+        meaningful_content, invalid_names, token_estimate, chunk_positions, markdown_heads, structure_errors, empty_and_hollow_sections, toc_anchors, syllabus_entries,
+        syllabus_coverage, chapters_by_syllabus, cut_json, parsed_topics, vision_candidates, heading_keys,
     )
 }
