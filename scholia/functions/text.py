@@ -20,8 +20,8 @@ PDF_STRUCTURE = (
     r"/Length\s+\d+", r"/Root\s+\d+\s+\d+\s+R", r"/Info\s+\d+\s+\d+\s+R", r"/Type\s*/Page\b", r"/Type\s*/Catalog\b",
     r"/Type\s*/Font\b", r"/Type\s*/XObject\b", r"^\d+\s+\d+\s+\w+$",
 )
-#: A text without any of these, whatever their case, has no line of the patterns above.
-PDF_HINTS = r"(?i)xref|%%EOF|obj|stream|trailer|/Type|/Subtype|/Filter|/Width|/Height|/Length|/Root|/Info|(?m:^\s*\d+\s+\d+\s+\w+\s*$)"
+#: A text without any of these in upper case, and without a line of the last pattern above, has no such line.
+PDF_HINTS = ("XREF", "%%EOF", "OBJ", "STREAM", "TRAILER", "/TYPE", "/SUBTYPE", "/FILTER", "/WIDTH", "/HEIGHT", "/LENGTH", "/ROOT", "/INFO")
 #: Patterns, whatever their case, of which three show an unparsed PDF.
 PDF_MARKERS = (
     r"\bstartxref\b", r"%%EOF", r"\b\d+\s+\d+\s+obj\b", r"\bendobj\b", r"\bstream\b", r"\bendstream\b", r"\bxref\b",
@@ -64,9 +64,12 @@ def normalize_lines(c: Column) -> Column:
     text = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     text = F.regexp_replace(text, r"(?U)[^\S\n]+", " ")
     drop = "(?U)" + "|".join(f"(?:{p})" for p in PDF_STRUCTURE)
-    trimmed = F.transform(lines(text), strip)
-    kept = F.when(text.rlike("(?U)" + PDF_HINTS), F.filter(trimmed, lambda x: ~F.rlike(x, F.lit(drop)))).otherwise(trimmed)
-    return strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+    # All white space but line ends is single spaces now, so plain trims do.
+    trimmed = F.transform(lines(text), lambda x: F.trim(x))
+    upper = F.upper(text)
+    hinted = reduce(lambda a, b: a | b, [F.contains(upper, F.lit(h)) for h in PDF_HINTS]) | text.rlike(r"(?mU)^ ?\d+ \d+ \w+ ?$")
+    kept = F.when(hinted, F.filter(trimmed, lambda x: ~F.rlike(x, F.lit(drop)))).otherwise(trimmed)
+    return F.btrim(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"), F.lit(" \n"))
 
 
 def n_words(c: Column) -> Column:

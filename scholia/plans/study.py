@@ -183,6 +183,8 @@ def flagship(spark: SparkSession, documents: DataFrame) -> DataFrame:
     rows = documents.select(
         F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_path"), F.col("text").alias("content"), F.col("doc_id").alias("ord"))
     clean = rows.withColumn("content", T.normalize_lines(F.col("content"))).where(F.length("content") > 0)
+    # Written once: choosing one of each content reads it twice.
+    clean = Store(spark).save(clean, "clean")
     unique = dedup.dedup_exact(clean, "content", "source_path", "ord")
     chunks = chunking.create_chunks(unique, "id", "content")
     return chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))
