@@ -150,11 +150,16 @@ class FilesWriter(DataSourceWriter):
         from pyarrow import fs
 
         system, root = _open(self.folder)
-        done = []
+        root, done = posixpath.normpath(root), []
         for row in iterator:
-            data, place = row[self.content], posixpath.normpath(posixpath.join(root, row[self.path].lstrip("/")))
-            if not place.startswith(posixpath.normpath(root) + "/"):
-                raise ValueError(f"{row[self.path]} leaves the folder")
+            data, place = row[self.content], row[self.path]
+            if self.folder == "/" and (place.startswith("file:") or "://" in place):
+                # Without a folder, paths may be addresses.
+                system, place = _open(place)
+            else:
+                place = posixpath.normpath(posixpath.join(root, place.lstrip("/")))
+                if not place.startswith(root.rstrip("/") + "/"):
+                    raise ValueError(f"{row[self.path]} leaves the folder")
             data = data.encode() if isinstance(data, str) else bytes(data or b"")
             done.append(row[self.path])
             info = system.get_file_info(place)
