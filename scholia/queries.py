@@ -364,9 +364,11 @@ def closest_topics(spark: SparkSession, sf: str) -> DataFrame:
 
 def outline_warnings(spark: SparkSession, sf: str) -> DataFrame:
     """Regions as chapters over the nations' topics, without one of them and with all."""
-    topics, chapters_ = _nation_topics(spark, sf), _nation_chapters(spark, sf)
+    # A nation's name is one word here: an underline would part it.
+    topics = _nation_topics(spark, sf).withColumn("name", F.translate("name", "_", "x"))
+    chapters_ = _nation_chapters(spark, sf).withColumn("sections", F.transform("sections", lambda s: F.translate(s, "_", "x")))
     found = [outline.outline_warnings(c, topics).withColumn("outline", F.lit(n)) for n, c in (("cut", chapters_.where("idx <> 2")), ("whole", chapters_))]
-    return found[0].unionByName(found[1])
+    return found[0].unionByName(found[1]).withColumn("name", F.translate("name", "x", "_"))
 
 
 def topic_order(spark: SparkSession, sf: str) -> DataFrame:
