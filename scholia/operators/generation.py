@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import llm_json as J
 from ..functions import text as T
+from ..functions.batches import bound_batches
 from ..plans.storage import Store
 from ..sources import state
 
@@ -133,8 +134,10 @@ def read_outline(c: Column) -> Column:
 
 
 def parse_outline(responses: DataFrame, *keys: str) -> DataFrame:
+    bound_batches(responses.sparkSession)
     rows = responses.withColumn("outline", read_outline(F.col("response")))
-    return rows.select(*keys, F.posexplode("outline.chapters").alias("idx", "c")).select(*keys, "idx", "c.title", "c.sections")
+    # An outer explode: for a plain one the optimiser would read each response twice, once in a test of the list's size.
+    return rows.select(*keys, F.posexplode_outer("outline.chapters").alias("idx", "c")).where("idx IS NOT NULL").select(*keys, "idx", "c.title", "c.sections")
 
 
 def judge_outlines(topics: DataFrame):  # noqa: ANN201

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import llm_json
 from scholia.functions import text as T
-from scholia.operators import assemble, chapters, generation, headings, markdown, outline
+from scholia.operators import assemble, chapters, generation, headings, markdown, outline, syllabus
 from scholia.sources import output, state
 
 
@@ -139,3 +139,17 @@ def test_cache_and_state_admin(spark):
 def test_chapter_numbers():
     assert outline.selected_chapters(" 1,3, x,9 ", 4) == [0, 2]
     assert outline.selected_chapters(" ", 4) is None
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_outlines_are_read_once_in_bounded_batches(spark):
+    df = spark.createDataFrame([("m", '{"chapters": [{"title": "a", "sections": ["s"]}, {"title": "b"'), ("n", "no outline")], "k string, response string")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    found = generation.parse_outline(df, "k")
+    assert _plan(found).count("ArrowEvalPython") == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    assert [tuple(r) for r in found.collect()] == [("m", 0, "a", ["s"])]
