@@ -1,8 +1,8 @@
 """Syllabus structure and outlines.
 
-A syllabus is a relation of lines.  What a line is follows from its own form, from the next
+A syllabus is an array of lines.  What a line is follows from its own form, from the next
 line that is not blank (a numbered line with something deeper below is a chapter) and from
-the chapters before it, so the grammar is one projection over two windows of a text's lines;
+the chapters before it, so the grammar is projections over the arrays of a text's own lines;
 any number of texts is read at once.
 """
 
@@ -35,6 +35,29 @@ def text_lines(c: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+def _line_forms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, items), items the structs (pos, chapter, section) of a text's lines that are not blank."""
+    rows = df.select(F.col(key).cast("string").alias("key"), text_lines(F.col(text)).alias("lines"))
+    indent = lambda x: F.length(x) - F.length(F.regexp_replace(x, r"(?U)^\s+", ""))
+    cut = F.transform("lines", lambda x, i: F.struct(i.alias("pos"), T.strip(x).alias("bare"), indent(x).alias("indent")))
+    rows = rows.select("key", F.size("lines").alias("n"), F.filter(cut, lambda x: F.length(x["bare"]) > 0).alias("cut"))
+    # A form's group is never empty, so an empty extract is a line of another form.
+    form = lambda x, pattern: T.strip(F.nullif(F.regexp_extract(x["bare"], pattern, 1), F.lit("")))
+
+    def chapter(x, i):  # noqa: ANN001, ANN202
+        deeper = F.coalesce(F.get("cut", i + 1)["indent"] > x["indent"], x["pos"] == F.col("n") - 2)
+        return F.coalesce(form(x, NAMED), F.when(deeper, form(x, NUMBERED)), form(x, MARKED))
+
+    def section(x):  # noqa: ANN001, ANN202
+        lettered = form(x, LETTERED_SECTION)
+        return F.coalesce(form(x, NUMBERED_SECTION), F.when(F.length(lettered) > 1, lettered), form(x, BULLET_SECTION))
+
+    named = F.transform("cut", lambda x, i: F.struct(x["pos"].alias("pos"), x["bare"].alias("bare"), chapter(x, i).alias("chapter")))
+    rows = rows.select("key", named.alias("named"))
+    return rows.select("key", F.transform("named", lambda x: F.struct(
+        x["pos"].alias("pos"), x["chapter"].alias("chapter"), F.when(x["chapter"].isNull(), section(x)).alias("section"))).alias("items"))
+
+
 def syllabus_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """The lines of texts that are not blank, as rows (key, pos, chapter, section): the title of a
     chapter that begins there, or the section that the line is if it stands in a chapter.
@@ -43,30 +66,27 @@ def syllabus_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     numbered heading; then a numbered, lettered or bulleted section.  A numbered line counts as
     a chapter too if the text ends with one blank line after it.
     """
-    lines = text_lines(F.col(text))
-    rows = df.select(F.col(key).cast("string").alias("key"), F.size(lines).alias("n"), F.posexplode(lines).alias("pos", "line"))
-    bare = T.strip(F.col("line"))
-    rows = rows.withColumns({"bare": bare, "indent": F.length("line") - F.length(F.regexp_replace("line", r"(?U)^\s+", ""))}).where(F.length("bare") > 0)
-    below = F.lead("indent").over(W.partitionBy("key").orderBy("pos"))
-    rows = rows.withColumn("deeper", F.coalesce(below > F.col("indent"), F.col("pos") == F.col("n") - 2))
-    form = lambda pattern: F.when(F.rlike("bare", F.lit(pattern)), T.strip(F.regexp_extract("bare", pattern, 1)))
-    chapter = F.coalesce(form(NAMED), F.when(F.col("deeper"), form(NUMBERED)), form(MARKED))
-    lettered = form(LETTERED_SECTION)
-    section = F.coalesce(form(NUMBERED_SECTION), F.when(F.length(lettered) > 1, lettered), form(BULLET_SECTION))
-    rows = rows.withColumn("chapter", chapter)
-    return rows.select("key", "pos", "chapter", F.when(F.col("chapter").isNull(), section).alias("section"))
+    return _line_forms(df, key, text).select("key", F.explode_outer("items").alias("x")).where("x IS NOT NULL").select("key", "x.pos", "x.chapter", "x.section")
 
 
 def syllabus_structure(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key, idx, title, sections): the chapters of texts in order, with their sections.
 
     Lines before a text's first chapter are left out; a text without one (a flat or empty
-    syllabus) has no rows.  One shuffle, by text: windows and groups share it.
+    syllabus) has no rows.  Each text is read where it is: nothing is shuffled.
     """
-    so_far = W.partitionBy("key").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = syllabus_lines(df, key, text).withColumn("idx", (F.count("chapter").over(so_far) - 1).cast("int")).where("idx >= 0")
-    found = F.sort_array(F.collect_list(F.when(F.col("section").isNotNull(), F.struct("pos", "section"))))
-    return rows.groupBy("key", "idx").agg(F.max("chapter").alias("title"), F.transform(found, lambda x: x["section"]).alias("sections"))
+    items = F.col("items")
+    starts = F.filter(F.transform(items, lambda x, i: F.when(x["chapter"].isNotNull(), i)), lambda i: i.isNotNull())
+    rows = _line_forms(df, key, text).withColumn("starts", starts)
+
+    def held(i, j):  # noqa: ANN001, ANN202
+        own = F.slice(items, i + 2, F.coalesce(F.get("starts", j + 1), F.size(items)) - i - 1)
+        return F.transform(F.filter(own, lambda x: x["section"].isNotNull()), lambda x: x["section"])
+
+    chapters = F.transform("starts", lambda i, j: F.struct(F.get(items, i)["chapter"].alias("title"), held(i, j).alias("sections")))
+    # An outer explode: for a plain one the optimiser puts a test of the array's size below all
+    # projections, where each array would be computed again.
+    return rows.select("key", F.posexplode_outer(chapters).alias("idx", "c")).where("idx IS NOT NULL").select("key", "idx", "c.title", "c.sections")
 
 
 def entries(c: Column) -> Column:

@@ -145,6 +145,13 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_syllabus_structure_moves_no_lines(spark):
+    df = spark.createDataFrame([("a", "x\nChapter 1: One\n- s\n\n2) t\nModule II: Two"), ("b", "flat"), ("c", "")], "k string, t string")
+    found = syllabus.syllabus_structure(df, "k", "t")
+    assert "Exchange" not in _plan(found) and _plan(found).count("Filter") == 1
+    assert [tuple(r) for r in found.orderBy("key", "idx").collect()] == [("a", 0, "One", ["s", "t"]), ("a", 1, "Two", [])]
+
+
 def test_outlines_are_read_once_in_bounded_batches(spark):
     df = spark.createDataFrame([("m", '{"chapters": [{"title": "a", "sections": ["s"]}, {"title": "b"'), ("n", "no outline")], "k string, response string")
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
