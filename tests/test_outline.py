@@ -152,6 +152,14 @@ def test_syllabus_structure_moves_no_lines(spark):
     assert [tuple(r) for r in found.orderBy("key", "idx").collect()] == [("a", 0, "One", ["s", "t"]), ("a", 1, "Two", [])]
 
 
+def test_links_of_a_list_are_checked_in_one_pass(spark):
+    md = "# Été\n- [a](#ete)\n\n- [b](#nothing)\n- [c](#ete)\nend\n- [d](#late)"
+    found = markdown.checked_links(spark.createDataFrame([("m", md), ("n", "# x"), ("o", "- [a](#a)")], "manual string, md string"))
+    plan = _plan(found)
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+    assert sorted(tuple(r) for r in found.collect()) == [("m", 0, "ete", False), ("m", 2, "nothing", True), ("m", 3, "ete", False), ("o", 0, "a", True)]
+
+
 def test_outlines_are_read_once_in_bounded_batches(spark):
     df = spark.createDataFrame([("m", '{"chapters": [{"title": "a", "sections": ["s"]}, {"title": "b"'), ("n", "no outline")], "k string, response string")
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
