@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.storage import Store
 
 
 def chunks_by_id(topics: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -42,19 +43,28 @@ def chunks_by_keyword(topics: DataFrame, chunks: DataFrame, longer_than: int = 3
     """Chunks that contain any of a topic's keywords; a topic without keywords stands for itself.
 
     A keyword has no white space, so it stands within one of a chunk's tokens; distinct tokens
-    are looked up by grams.  Only names that have no keyword, and keywords shorter than a gram,
-    are compared with whole chunks.
+    are looked up by grams.  The tokens that name topics are written first: their size is known
+    then, so where they are few, the chunks' tokens meet them without being shuffled.  A chunk's
+    topics are bits of words of 64 places (`ord` is a whole number), so a few rows of a chunk are
+    moved, however many of its tokens name a topic.  Only names that have no keyword, and keywords
+    shorter than a gram, are compared with whole chunks.
     """
     words = T.space_keywords(F.col("name"), longer_than)
     named = topics.select("ord", F.when(F.size(words) > 0, words).otherwise(F.array(F.lower("name"))).alias("ks"))
     keys = named.select("ord", F.explode("ks").alias("k")).distinct()
     lowered = chunks.select("id", F.lower("content").alias("lowered"))
-    held = lowered.select("id", F.explode(F.array_distinct(F.split("lowered", r"(?U)\s+"))).alias("t")).where(F.length("t") >= GRAM)
+    # An outer explode: for a plain one the optimiser would cut each text twice, once in a test of the array's size.
+    held = lowered.select("id", F.explode_outer(F.array_distinct(F.split("lowered", r"(?U)\s+"))).alias("t")).where(F.length("t") >= GRAM)
     usual = (F.length("k") >= GRAM) & ~F.rlike("k", F.lit(r"(?U)\s"))
     pairs = _containing(held.select("t").distinct(), keys.where(usual).select("k").distinct())
-    found = held.join(pairs, "t").select("id", "k").distinct().join(keys, "k").select("ord", "id")
-    odd = lowered.join(keys.where(~usual), F.contains("lowered", "k")).select("ord", "id")
-    return found.unionByName(odd).distinct()
+    word, bits = F.shiftright(F.col("ord").cast("long"), 6).alias("word"), F.expr("shiftleft(1L, cast(ord & 63 AS INT))").alias("bits")
+    naming = pairs.join(keys, "k").select("t", word, bits).groupBy("t", "word").agg(F.bit_or("bits").alias("bits"))
+    naming = Store(topics.sparkSession).save(naming, "naming_tokens")
+    odd = lowered.join(keys.where(~usual), F.contains("lowered", "k")).select("id", word, bits)
+    found = held.join(naming, "t").select("id", "word", "bits").unionByName(odd).groupBy("id", "word").agg(F.bit_or("bits").alias("bits"))
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("bits", b) == 1)
+    ords = found.select("id", "word", F.explode_outer(places).alias("bit"))
+    return ords.select((F.col("word") * 64 + F.col("bit")).cast(topics.schema["ord"].dataType).alias("ord"), "id")
 
 
 def chunks_for_topics(topics: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -229,3 +229,16 @@ def test_nearer_blocks_give_the_caption(spark):
     found = spark.createDataFrame([("i", 1, 0.0, 0.0), ("j", 2, 0.0, 0.0)], "id string, page int, x double, y double")
     blocks = spark.createDataFrame([(1, 0, 5.0, 0.0, " far "), (1, 1, 1.0, 0.0, "  "), (1, 2, 3.0, 0.0, "behind"), (2, 0, 9.0, 0.0, "")], "page int, block int, bx double, by double, text string")
     assert {r["id"]: r["caption"] for r in images.nearest_captions(found, blocks).collect()} == {"i": "far", "j": None}
+
+
+def test_topics_of_chunks_are_found_once_in_few_rows(spark):
+    from scholia.operators import matching
+
+    topics = spark.createDataFrame([(i, "Shared words") for i in range(-70, 200)] + [(500, "it"), (501, "other thing")], "ord int, name string")
+    chunks = spark.createDataFrame([("a", "a", "the Words are shared, it is"), ("b", "b", "nothing"), ("c", "c", None)], "id string, document_id string, content string")
+    found = matching.chunks_by_keyword(topics, chunks)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\((ord#\d+L?, id#|id#\d+, ord#|t#)", plan)
+    want = {(i, "a") for i in range(-70, 200)} | {(500, "a"), (501, "b")}
+    got = [(r["ord"], r["id"]) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want and found.schema["ord"].dataType.typeName() == "integer"
