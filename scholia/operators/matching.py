@@ -7,6 +7,8 @@ grouped maxima.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,14 +70,17 @@ def chunks_by_keyword(topics: DataFrame, chunks: DataFrame, longer_than: int = 3
 
 
 def chunks_for_topics(topics: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The first tier with hits for each topic: by chunk id, by document, by keyword."""
-    tiers = (
-        chunks_by_id(topics, chunks).withColumn("tier", F.lit(1))
-        .unionByName(chunks_by_document(topics, chunks).withColumn("tier", F.lit(2)))
-        .unionByName(chunks_by_keyword(topics, chunks).withColumn("tier", F.lit(3)))
-    )
-    first = tiers.groupBy("ord").agg(F.min("tier").alias("tier"))
-    return tiers.join(first, ["ord", "tier"]).distinct()
+    """The first tier with hits for each topic: by chunk id, by document, by keyword.
+
+    A tier only looks for the topics that the tiers before it left, so the last and largest one
+    need not be compared with them.
+    """
+    by_id = chunks_by_id(topics, chunks).distinct()
+    left = topics.join(by_id.select("ord").distinct(), "ord", "left_anti")
+    by_document = chunks_by_document(left, chunks).distinct()
+    left = left.join(by_document.select("ord").distinct(), "ord", "left_anti")
+    tiers = enumerate((by_id, by_document, chunks_by_keyword(left, chunks)), start=1)
+    return reduce(DataFrame.unionByName, (found.select("ord", "id", F.lit(n).alias("tier")) for n, found in tiers))
 
 
 def entry_words(c: Column) -> Column:
