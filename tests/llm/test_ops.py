@@ -19,7 +19,7 @@ from scholia.llm.html_extraction import extract_pages, main_text
 from scholia.llm.license_scan import license_scan
 from scholia.llm.media_columns import media_column, media_features, padded
 from scholia.llm.mix_sources import mix_sources, mixed_documents
-from scholia.llm.ngram_join import Edits, Meeting, Trie, one_of_each, similar_documents
+from scholia.llm.ngram_join import Edits, Meeting, Trie, distinct, one_of_each, similar_documents
 from scholia.llm.quality_rules import kept_documents, quality_rules
 from scholia.llm.queries import QUERIES
 from scholia.llm.suffix_dedup import deduplicated, suffix_dedup
@@ -304,6 +304,21 @@ def test_a_hub_of_edited_copies_is_quick():
     assert 1000 < sum(linked) <= len(links) < 2999
 
 
+def test_sets_are_distinct_by_one_sort():
+    import time
+
+    rng = np.random.default_rng(31)
+    lists = [np.zeros(0, dtype=np.uint64), np.zeros(5, dtype=np.uint64), np.array([2**64 - 1, 0, 2**64 - 1], dtype=np.uint64)]
+    lists += [rng.integers(0, 1 << 62, 900).repeat(k) for k in (1, 2) for _ in range(400)]
+    start = time.perf_counter()
+    want = [np.unique(x) for x in lists]
+    plain = time.perf_counter() - start
+    start = time.perf_counter()
+    got = [distinct(x) for x in lists]
+    assert time.perf_counter() - start < plain
+    assert all(np.array_equal(x, y) and x.dtype == y.dtype for x, y in zip(got, want, strict=True))
+
+
 def test_trie_finds_what_pairs_find():
     rng = np.random.default_rng(3)
     base = [np.sort(rng.choice(5000, rng.integers(1, 300), replace=False)) for _ in range(12)]
